@@ -118,7 +118,7 @@ def monthly_activity(df: DataFrame, ts: str, dims: list[str], distinct_of: str,
                      count_name: str = "instrument_count", distinct_name: str = "titles_affected") -> DataFrame:
     """Rows and distinct ``distinct_of`` by month of ``ts`` and ``dims``."""
     return (df.where(F.col(ts).isNotNull())
-              .groupBy(F.date_trunc("month", F.col(ts)).alias("lodged_month"), *dims)
+              .groupBy(F.trunc(F.col(ts), "month").alias("lodged_month"), *dims)
               .agg(F.count(F.lit(1)).alias(count_name),
                    F.countDistinct(distinct_of).alias(distinct_name)))
 

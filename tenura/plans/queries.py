@@ -41,3 +41,452 @@ def register(key):
 @register("title_search_core")
 def q_title_search_core(spark, sf_dir) -> DataFrame:
     return G.title_search_core(tables(spark, sf_dir)).drop("maori_land", "ste_id")
+
+
+def as_json(df: DataFrame, *cols: str) -> DataFrame:
+    """Nested columns as JSON text (NULL fields kept), for engine-neutral comparison."""
+    opts = {"ignoreNullFields": "false"}
+    return df.select(*[F.to_json(F.col(c), opts).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+# ---------------------------------------------------------------------------
+# F: filters
+# ---------------------------------------------------------------------------
+from tenura.functions import text as X  # noqa: E402
+from tenura.operators import aggregates as A  # noqa: E402
+from tenura.operators import filters as FL  # noqa: E402
+from tenura.operators import joins as J  # noqa: E402
+from tenura.operators import ordering as O  # noqa: E402
+from tenura.operators.windows import latest_row  # noqa: E402
+
+
+@register("filter_in_codes")
+def q_filter_in_codes(spark, sf_dir):
+    t = tables(spark, sf_dir).title
+    return t.where(FL.in_codes("status", ("LIVE", "REGD"))).select("title_no", "status")
+
+
+@register("filter_open_interval")
+def q_filter_open_interval(spark, sf_dir):
+    c = tables(spark, sf_dir).aims_address_component
+    return c.where(FL.still_open("end_lifecycle")).select("address_id", "component_type", "component_value")
+
+
+@register("filter_not_hist")
+def q_filter_not_hist(spark, sf_dir):
+    p = tables(spark, sf_dir).proprietor
+    return p.where(FL.not_code("status", "HIST")).select("id", "ets_id", "status")
+
+
+@register("filter_current_both")
+def q_filter_current_both(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    te = t.title_encumbrance.select("id", "ttl_title_no", F.col("is_current").alias("te_cur"))
+    ti = t.title.select(F.col("title_no"), F.col("is_current").alias("t_cur"))
+    j = te.join(ti, te["ttl_title_no"] == ti["title_no"])
+    return j.where(FL.both_current("te_cur", "t_cur")).select("id", "ttl_title_no")
+
+
+@register("filter_not_null_pair")
+def q_filter_not_null_pair(spark, sf_dir):
+    h = tables(spark, sf_dir).title_hierarchy
+    return h.where(FL.both_present("ttl_title_no_prior", "ttl_title_no_flw")) \
+            .select("id", "ttl_title_no_prior", "ttl_title_no_flw")
+
+
+@register("filter_any_contains")
+def q_filter_any_contains(spark, sf_dir):
+    t = tables(spark, sf_dir).title
+    cols = [X.fold_text("title_no"), X.fold_text("type"), X.fold_text("register_type")]
+    return t.where(X.any_contains(cols, "le")).select("title_no", "type", "register_type")
+
+
+@register("filter_null_safe_equal")
+def q_filter_null_safe_equal(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    ld = t.legal_description
+    tpa = t.title_parcel_association.select(F.col("ttl_title_no").alias("__t"))
+    return ld.join(tpa, FL.blank_safe_eq(ld["ttl_title_no"], tpa["__t"]), "left_semi").select("id", "ttl_title_no")
+
+
+# ---------------------------------------------------------------------------
+# J: joins
+# ---------------------------------------------------------------------------
+@register("join_bridge_inner")
+def q_join_bridge_inner(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    j = J.bridge_join(t.title_instrument_title, t.title_instrument, {"tin_id": "id"})
+    return j.select("ttl_title_no", "tin_id", "inst_no", "status")
+
+
+@register("join_lookup_composite")
+def q_join_lookup_composite(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    tt = t.transaction_type.withColumnRenamed("type", "tt_type")
+    j = J.lookup(t.title_instrument, tt, [("trt_grp", "grp"), ("trt_type", "tt_type")])
+    return j.select("id", "trt_grp", "trt_type", "description")
+
+
+@register("join_lookup_code_group")
+def q_join_lookup_code_group(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    j = J.label_codes(t.title, t.system_code, {"status": "TTLS", "type": "TTLT", "register_type": "TTLR",
+                                               "guarantee_status": "TTLG"})
+    return j.select("title_no", "status_desc", "type_desc", "register_type_desc", "guarantee_status_desc")
+
+
+@register("join_chain_left")
+def q_join_chain_left(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    te = t.title_estate.select(F.col("id").alias("title_estate_id"))
+    es = t.estate_share.select(F.col("id").alias("estate_share_id"), "ett_id")
+    p = t.proprietor.select(F.col("id").alias("proprietor_id"), "ets_id")
+    return J.chain_left([te, es, p], [{"title_estate_id": "ett_id"}, {"estate_share_id": "ets_id"}]) \
+            .select("title_estate_id", "estate_share_id", "proprietor_id")
+
+
+@register("join_left_residual")
+def q_join_left_residual(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    e = t.encumbrance.select(F.col("id").alias("enc_id"))
+    es = t.encumbrance_share.select(F.col("id").alias("share_id"), F.col("enc_id").alias("es_enc"),
+                                    F.col("status").alias("share_status"))
+    j = J.left_where(e, es, {"enc_id": "es_enc"}, F.col("share_status") == "REGD")
+    return j.select("enc_id", "share_id", "share_status")
+
+
+@register("join_inner_residual")
+def q_join_inner_residual(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    a = t.appellation.select(F.col("par_id").alias("a_par"), F.col("id").alias("appellation_id"), "title_flag")
+    j = J.inner_where(t.title_parcel_association, a, {"par_id": "a_par"}, F.col("title_flag") == "Y")
+    return j.select("ttl_title_no", "par_id", "appellation_id")
+
+
+@register("join_self_twice")
+def q_join_self_twice(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    j = J.lookup_roles(t.title_hierarchy, t.title, "title_no", {
+        "ttl_title_no_prior": ("p", {"status": "prior_title_status"}),
+        "ttl_title_no_flw": ("f", {"status": "following_title_status"}),
+    })
+    return j.select("id", "prior_title_status", "following_title_status")
+
+
+@register("join_anti_missing")
+def q_join_anti_missing(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return J.missing(t.title.select("title_no"), t.title_parcel_association, {"title_no": "ttl_title_no"})
+
+
+@register("join_anti_not_exists")
+def q_join_anti_not_exists(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return J.without_match(t.title.select("title_no"), t.title_hierarchy, {"title_no": "ttl_title_no_flw"},
+                           F.col("status") == "CURR")
+
+
+@register("join_star_left")
+def q_join_star_left(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    e = t.title_estate.groupBy(F.col("ttl_title_no").alias("k")).agg(A.n_rows().alias("estate_count"))
+    i = t.title_instrument_title.groupBy(F.col("ttl_title_no").alias("k")).agg(
+        A.n_distinct("tin_id").alias("instrument_count"))
+    n = t.title_encumbrance.groupBy(F.col("ttl_title_no").alias("k")).agg(A.n_rows().alias("encumbrance_count"))
+    j = J.star_left(t.title.select("title_no"), [e, i, n], "title_no", "k")
+    z = F.lit(0).cast("bigint")
+    return j.select("title_no", *[F.coalesce(c, z).alias(c) for c in
+                                  ("estate_count", "instrument_count", "encumbrance_count")])
+
+
+@register("join_coalesced_key")
+def q_join_coalesced_key(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    ld = t.legal_description.select(F.col("id").alias("ld_id"), F.col("ttl_title_no").alias("ld_title"))
+    ldp = t.legal_description_parcel.select("lgd_id", F.col("par_id").alias("ldp_par"))
+    tpa = t.title_parcel_association.select(F.col("par_id").alias("tpa_par"), F.col("ttl_title_no").alias("tpa_title"))
+    j = J.chain_left([ld, ldp, tpa], [{"ld_id": "lgd_id"}, {"ldp_par": "tpa_par"}])
+    return j.groupBy(J.group_by_either_key(j, "ld_title", "tpa_title", "title_no")).agg(
+        A.n_distinct("ld_id").alias("legal_description_count"))
+
+
+@register("join_fallback_attr")
+def q_join_fallback_attr(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    addr = G.address_search_table(G.dim_address(t.aims_address, t.aims_address_component,
+                                                t.title_parcel_association))
+    j = J.inherit_attr(t.title_hierarchy, addr, "ttl_title_no_prior", "ttl_title_no_flw", "title_no",
+                       "full_address", "address")
+    return j.select("id", "ttl_title_no_prior", "ttl_title_no_flw", "address", "address_inherited")
+
+
+# ---------------------------------------------------------------------------
+# A: aggregates
+# ---------------------------------------------------------------------------
+def _detail(t):
+    return G.instrument_detail(t.title_instrument_title, t.title_instrument, t.transaction_type)
+
+
+@register("agg_count")
+def q_agg_count(spark, sf_dir):
+    te = tables(spark, sf_dir).title_estate
+    return te.groupBy("ttl_title_no").agg(A.n_rows().alias("estate_count"))
+
+
+@register("agg_count_if")
+def q_agg_count_if(spark, sf_dir):
+    te = tables(spark, sf_dir).title_estate
+    return te.groupBy("ttl_title_no").agg(A.n_where("is_current").alias("current_count_if"),
+                                          A.n_where_sum("is_current").alias("current_sum"))
+
+
+@register("agg_count_distinct")
+def q_agg_count_distinct(spark, sf_dir):
+    d = _detail(tables(spark, sf_dir))
+    return d.groupBy("title_no").agg(A.n_distinct("tin_id").alias("instrument_count"))
+
+
+@register("agg_bool_any")
+def q_agg_bool_any(spark, sf_dir):
+    te = tables(spark, sf_dir).title_estate
+    return te.groupBy("ttl_title_no").agg(A.any_true(F.col("share").isNotNull()).alias("has_share"),
+                                          A.any_true("is_current").alias("has_current"))
+
+
+@register("agg_min_max")
+def q_agg_min_max(spark, sf_dir):
+    d = _detail(tables(spark, sf_dir))
+    return d.groupBy("title_no").agg(F.max("lodged_date").alias("latest_date"), F.max("tin_id").alias("max_tin_id"),
+                                     F.min("tin_id").alias("min_tin_id"))
+
+
+def _latest(spark, sf_dir, fn):
+    d = _detail(tables(spark, sf_dir))
+    g = d.groupBy("title_no").agg(fn(F.struct("tin_id", "inst_no", "trt_type", "instrument_status"),
+                                     "lodged_date", "tin_id").alias("l"))
+    return g.select("title_no", F.col("l.tin_id").alias("latest_tin_id"), F.col("l.inst_no").alias("latest_inst_no"),
+                    F.col("l.trt_type").alias("latest_trt_type"), F.col("l.instrument_status").alias("latest_status"))
+
+
+@register("agg_latest_by")
+def q_agg_latest_by(spark, sf_dir):
+    return _latest(spark, sf_dir, A.latest_by)
+
+
+@register("agg_latest_by_raw")
+def q_agg_latest_by_raw(spark, sf_dir):
+    return _latest(spark, sf_dir, A.latest_by_raw)
+
+
+@register("agg_collect_structs")
+def q_agg_collect_structs(spark, sf_dir):
+    te = tables(spark, sf_dir).title_estate
+    g = te.groupBy("ttl_title_no").agg(A.collect_structs("id", "type", "status", "share").alias("estates"))
+    return as_json(g, "estates")
+
+
+@register("agg_sorted_set")
+def q_agg_sorted_set(spark, sf_dir):
+    te = tables(spark, sf_dir).title_estate
+    return as_json(te.groupBy("ttl_title_no").agg(A.sorted_set("type").alias("estate_types")), "estate_types")
+
+
+@register("agg_concat_summary")
+def q_agg_concat_summary(spark, sf_dir):
+    te = tables(spark, sf_dir).title_estate
+    return te.groupBy("ttl_title_no").agg(A.concat_summary("share", "; ").alias("estate_share_summary"))
+
+
+@register("agg_listagg_distinct")
+def q_agg_listagg_distinct(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    ettt = t.system_code.where(F.col("code_group") == "ETTT").select(F.col("code").alias("c"),
+                                                                     F.col("description").alias("d"))
+    te = t.title_estate.join(F.broadcast(ettt), F.col("type") == F.col("c"), "left")
+    return te.groupBy("ttl_title_no").agg(
+        A.list_distinct("type", ", ").alias("estate_types"),
+        A.list_distinct(X.code_label("d", "type"), ", ").alias("estate_types_desc"))
+
+
+@register("agg_listagg_ordered")
+def q_agg_listagg_ordered(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    es = t.estate_share.select(F.col("id").alias("es_id"), "ett_id")
+    p = t.proprietor.where(FL.not_code("status", "HIST"))
+    j = (t.title_estate.select(F.col("id").alias("te_id"), "ttl_title_no")
+         .join(es, F.col("te_id") == F.col("ett_id")).join(p, F.col("es_id") == F.col("ets_id")))
+    return j.groupBy("ttl_title_no").agg(
+        A.n_distinct("id").alias("proprietor_count"),
+        A.list_ordered(X.party_name("type", "prime_other_names", "prime_surname"), "prime_surname", "id",
+                       " | ").alias("proprietors"))
+
+
+@register("agg_pivot_eav")
+def q_agg_pivot_eav(spark, sf_dir):
+    return G.address_parts(tables(spark, sf_dir).aims_address_component)
+
+
+@register("agg_preview_top8")
+def q_agg_preview_top8(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    a = t.appellation.select(F.col("par_id").alias("a_par"), "parcel_type", "parcel_value", "appellation_value")
+    ta = t.title_parcel_association.join(a, F.col("par_id") == F.col("a_par"))
+    return A.preview(ta, "ttl_title_no", F.concat_ws(" ", "parcel_type", "parcel_value", "appellation_value"),
+                     8, " | ", "appellation_preview")
+
+
+@register("agg_month_activity")
+def q_agg_month_activity(spark, sf_dir):
+    d = _detail(tables(spark, sf_dir))
+    return A.monthly_activity(d, "lodged_date", ["trt_type"], "title_no")
+
+
+@register("agg_bag_text")
+def q_agg_bag_text(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    a = t.appellation.select(F.col("par_id").alias("a_par"), "appellation_value", "parcel_value", "block_number")
+    ta = t.title_parcel_association.join(a, F.col("par_id") == F.col("a_par"), "left")
+    return ta.groupBy("ttl_title_no").agg(
+        F.concat_ws(" ", A.bag_text("appellation_value"), A.bag_text("parcel_value"),
+                    A.bag_text("block_number")).alias("appellation_search_text"))
+
+
+# ---------------------------------------------------------------------------
+# W, O, U: windows, ordering, set operations
+# ---------------------------------------------------------------------------
+@register("win_latest_row")
+def q_win_latest_row(spark, sf_dir):
+    h = tables(spark, sf_dir).title_hierarchy.where(F.col("status") == "CURR")
+    r = latest_row(h, ["ttl_title_no_flw"], [F.col("id").desc()])
+    return r.select(F.col("ttl_title_no_flw").alias("title_no"), F.col("ttl_title_no_prior").alias("prior_title_no"),
+                    "id")
+
+
+def _t360(spark, sf_dir):
+    return G.title_360(tables(spark, sf_dir))
+
+
+@register("sort_multi_nulls_last")
+def q_sort_multi_nulls_last(spark, sf_dir):
+    return O.page(_t360(spark, sf_dir), O.search_order("latest_lodged_date", "desc"), 50, 0) \
+            .select("title_no", "is_current", "latest_instrument_date")
+
+
+@register("page_limit_offset")
+def q_page_limit_offset(spark, sf_dir):
+    lim, off = O.clamp("20", 25, 1, 200), O.clamp("100", 0, 0, 100_000)
+    return O.page(_t360(spark, sf_dir), O.search_order("instrument_count", "asc"), lim, off) \
+            .select("title_no", "is_current", "instrument_count")
+
+
+@register("topk_by_count")
+def q_topk_by_count(spark, sf_dir):
+    t = _t360(spark, sf_dir).where(F.col("is_active"))
+    return O.top_k(t, "instrument_count", 5, "title_no").select("title_no", "instrument_count", "encumbrance_count")
+
+
+@register("distinct_rows")
+def q_distinct_rows(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    d = G.dim_address(t.aims_address, t.aims_address_component, t.title_parcel_association)
+    return O.distinct_cols(d.where(F.col("title_no").isNotNull()), ["title_no", "address_id", "full_address"])
+
+
+# ---------------------------------------------------------------------------
+# X: scalar functions
+# ---------------------------------------------------------------------------
+@register("fn_fold_text")
+def q_fn_fold_text(spark, sf_dir):
+    c = tables(spark, sf_dir).aims_address_component
+    return c.select("address_id", "component_type", X.fold_text("component_value").alias("folded"))
+
+
+@register("fn_join_skip_null")
+def q_fn_join_skip_null(spark, sf_dir):
+    p = G.address_parts(tables(spark, sf_dir).aims_address_component)
+    return p.select("address_id", X.join_parts(", ", "road_name", "suburb", "city", "postcode").alias("joined"))
+
+
+@register("fn_person_name")
+def q_fn_person_name(spark, sf_dir):
+    p = tables(spark, sf_dir).proprietor
+    return p.select("id", X.party_name("type", "prime_other_names", "prime_surname", "name_suffix").alias("name"))
+
+
+@register("fn_street_number")
+def q_fn_street_number(spark, sf_dir):
+    p = G.address_parts(tables(spark, sf_dir).aims_address_component)
+    return p.select("address_id", X.street_no("street_number", "street_number_high",
+                                              "street_number_suffix").alias("street_no"))
+
+
+@register("fn_code_label")
+def q_fn_code_label(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    ettt = t.system_code.where(F.col("code_group") == "ETTT").select(F.col("code").alias("c"),
+                                                                     F.col("description").alias("d"))
+    j = t.title_estate.join(F.broadcast(ettt), F.col("type") == F.col("c"), "left")
+    return j.select("id", X.code_label("d", "type").alias("type_desc"))
+
+
+# The literal CASE labels of the older 360 view.
+TITLE_STATUS_CASE = {"LIVE": "Live", "HIST": "Historical", "CANC": "Cancelled"}
+TITLE_TYPE_CASE = {"F": "Fee Simple", "LH": "Leasehold", "SRS": "Unit Title (SRS)", "ML": "Maori Land",
+                   "MOT": "Miscellaneous Owners"}
+REGISTER_TYPE_CASE = {"CF": "Computer Freehold Register", "CI": "Computer Interest Register"}
+
+
+@register("fn_code_label_case")
+def q_fn_code_label_case(spark, sf_dir):
+    t = tables(spark, sf_dir).title
+    return t.select("title_no", X.code_label_case("status", TITLE_STATUS_CASE).alias("title_status_desc"),
+                    X.code_label_case("type", TITLE_TYPE_CASE).alias("title_type_desc"),
+                    X.code_label_case("register_type", REGISTER_TYPE_CASE).alias("register_type_desc"))
+
+
+@register("fn_type_code")
+def q_fn_type_code(spark, sf_dir):
+    ti = tables(spark, sf_dir).title_instrument
+    return ti.select("id", X.type_code("trt_grp", "trt_type").alias("instrument_code"))
+
+
+@register("fn_file_parts")
+def q_fn_file_parts(spark, sf_dir):
+    p = tables(spark, sf_dir).raw("pages").select("page_id", "url")
+    name = X.file_name("url")
+    return p.select("page_id", name.alias("file_name"), X.file_entity(name, 3, "-").alias("entity"))
+
+
+@register("fn_address_query_parse")
+def q_fn_address_query_parse(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    p = G.address_parts(t.aims_address_component)
+    q = p.select("address_id", F.concat_ws(" ", F.concat(F.col("street_number"),
+                                                          F.coalesce(F.col("street_number_suffix"), F.lit(""))),
+                                            "road_name", "road_type").alias("q"))
+    s = q.select("address_id", "q", X.parse_address_query("q").alias("p"))
+    return s.select("address_id", "q", "p.norm", "p.spaced", "p.num", "p.unit", "p.road", "p.road_name")
+
+
+@register("fn_valid_key")
+def q_fn_valid_key(spark, sf_dir):
+    c = tables(spark, sf_dir).raw("conversations").select("conv_id", "turn", "text")
+    return c.select("conv_id", "turn", X.valid_key("text").alias("valid"))
+
+
+@register("fn_array_ops")
+def q_fn_array_ops(spark, sf_dir):
+    te = tables(spark, sf_dir).title_estate
+    g = te.groupBy("ttl_title_no").agg(F.collect_set(F.when(F.col("is_current"), F.col("type"))).alias("cur"),
+                                       F.collect_set("type").alias("all_types"))
+    out = g.select("ttl_title_no", X.first_sorted("cur").alias("primary_estate_type"),
+                   F.sort_array(X.non_null_items("all_types")).alias("estate_types"),
+                   F.slice(F.sort_array("all_types"), 1, 2).alias("first_two"))
+    return as_json(out, "estate_types", "first_two")
+
+
+@register("fn_split_list")
+def q_fn_split_list(spark, sf_dir):
+    d = _detail(tables(spark, sf_dir))
+    g = d.groupBy("inst_no").agg(A.list_distinct("title_no", ",").alias("title_nos_str"))
+    return as_json(g.select("inst_no", X.split_list("title_nos_str").alias("title_nos")), "title_nos")
