@@ -490,3 +490,226 @@ def q_fn_split_list(spark, sf_dir):
     d = _detail(tables(spark, sf_dir))
     g = d.groupBy("inst_no").agg(A.list_distinct("title_no", ",").alias("title_nos_str"))
     return as_json(g.select("inst_no", X.split_list("title_nos_str").alias("title_nos")), "title_nos")
+
+
+# ---------------------------------------------------------------------------
+# G: gold products
+# ---------------------------------------------------------------------------
+from tenura.plans import search as S  # noqa: E402
+
+
+def _dim_address(t):
+    return G.dim_address(t.aims_address, t.aims_address_component, t.title_parcel_association)
+
+
+@register("dim_title")
+def q_dim_title(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return G.dim_title(t.title, t.land_district).drop("provisional", "maori_land", "ste_id", "sur_wrk_id")
+
+
+@register("dim_appellation")
+def q_dim_appellation(spark, sf_dir):
+    d = G.dim_appellation(tables(spark, sf_dir).appellation)
+    return d.select("appellation_id", "par_id", "appellation_value", "status", "title_flag", "parcel_type",
+                    "parcel_value", "block_number")
+
+
+@register("bridge_title_parcel")
+def q_bridge_title_parcel(spark, sf_dir):
+    return G.bridge_title_parcel(tables(spark, sf_dir).title_parcel_association)
+
+
+@register("fact_title_estate")
+def q_fact_title_estate(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return G.fact_title_estate(t.title_estate, t.estate_share, t.proprietor)
+
+
+@register("fact_title_instrument")
+def q_fact_title_instrument(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return G.fact_title_instrument(t.title_instrument_title, t.title_instrument, t.transaction_type)
+
+
+@register("fact_title_encumbrance")
+def q_fact_title_encumbrance(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return G.fact_title_encumbrance(t.title_encumbrance, t.encumbrance, t.encumbrancee, t.encumbrance_share)
+
+
+@register("v_title_lineage")
+def q_v_title_lineage(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return G.title_lineage(t.title_hierarchy, t.title).drop("tdr_id")
+
+
+@register("v_title_appellation")
+def q_v_title_appellation(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return G.title_appellation(t.title_parcel_association, t.appellation)
+
+
+@register("v_title_legal")
+def q_v_title_legal(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return G.title_legal(t.legal_description, t.legal_description_parcel)
+
+
+@register("dim_address")
+def q_dim_address(spark, sf_dir):
+    return _dim_address(tables(spark, sf_dir))
+
+
+@register("v_title_address")
+def q_v_title_address(spark, sf_dir):
+    return G.title_address(_dim_address(tables(spark, sf_dir)))
+
+
+@register("title_360")
+def q_title_360(spark, sf_dir):
+    return G.title_360(tables(spark, sf_dir))
+
+
+@register("title_search_wide")
+def q_title_search_wide(spark, sf_dir):
+    w = G.title_search_wide(tables(spark, sf_dir))
+    w = w.drop("provisional", "maori_land", "ste_id", "sur_wrk_id")
+    return as_json(w, "estate_types", "estates", "instruments", "encumbrances", "prior_titles", "follow_on_titles",
+                   "document_references")
+
+
+@register("title_search_enriched")
+def q_title_search_enriched(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    e = G.title_search_enriched(G.title_search_core(t).drop("maori_land", "ste_id"), t)
+    return as_json(e, "parcel_ids")
+
+
+@register("address_search_text")
+def q_address_search_text(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return G.address_search_text(t.aims_address, t.aims_address_component)
+
+
+@register("address_search_table")
+def q_address_search_table(spark, sf_dir):
+    return G.address_search_table(_dim_address(tables(spark, sf_dir)))
+
+
+@register("title_search_table")
+def q_title_search_table(spark, sf_dir):
+    return G.title_search_table(G.title_360(tables(spark, sf_dir)))
+
+
+@register("rpt_instrument_activity")
+def q_rpt_instrument_activity(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return G.rpt_instrument_activity(t.title_instrument, t.title_instrument_title, t.transaction_type)
+
+
+@register("rpt_active_encumbrances")
+def q_rpt_active_encumbrances(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return G.rpt_active_encumbrances(t.title_encumbrance, t.title, t.encumbrance, t.encumbrancee)
+
+
+@register("rpt_estate_by_district")
+def q_rpt_estate_by_district(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return G.rpt_estate_by_district(t.title_estate, t.title, t.land_district)
+
+
+@register("rpt_instrument_status")
+def q_rpt_instrument_status(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return G.rpt_instrument_status(t.title_instrument, t.transaction_type)
+
+
+@register("union_all_counts")
+def q_union_all_counts(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    d = _dim_address(t)
+    views = {
+        "DIM_TITLE": G.dim_title(t.title, t.land_district),
+        "DIM_APPELLATION": G.dim_appellation(t.appellation),
+        "BRIDGE_TITLE_PARCEL": G.bridge_title_parcel(t.title_parcel_association),
+        "FACT_TITLE_ESTATE": G.fact_title_estate(t.title_estate, t.estate_share, t.proprietor),
+        "FACT_TITLE_INSTRUMENT": G.fact_title_instrument(t.title_instrument_title, t.title_instrument,
+                                                         t.transaction_type),
+        "FACT_TITLE_ENCUMBRANCE": G.fact_title_encumbrance(t.title_encumbrance, t.encumbrance, t.encumbrancee,
+                                                           t.encumbrance_share),
+        "V_TITLE_LINEAGE": G.title_lineage(t.title_hierarchy, t.title),
+        "V_TITLE_APPELLATION": G.title_appellation(t.title_parcel_association, t.appellation),
+        "V_TITLE_LEGAL": G.title_legal(t.legal_description, t.legal_description_parcel),
+        "DIM_ADDRESS": d,
+        "V_TITLE_ADDRESS": G.title_address(d),
+        "RPT_INSTRUMENT_ACTIVITY": G.rpt_instrument_activity(t.title_instrument, t.title_instrument_title,
+                                                             t.transaction_type),
+        "RPT_ACTIVE_ENCUMBRANCES": G.rpt_active_encumbrances(t.title_encumbrance, t.title, t.encumbrance,
+                                                             t.encumbrancee),
+        "RPT_ESTATE_BY_LAND_DISTRICT": G.rpt_estate_by_district(t.title_estate, t.title, t.land_district),
+        "RPT_INSTRUMENT_STATUS": G.rpt_instrument_status(t.title_instrument, t.transaction_type),
+    }
+    return O.union_counts(views)
+
+
+# ---------------------------------------------------------------------------
+# Q: search and detail queries (request tables derived from the data)
+# ---------------------------------------------------------------------------
+def _search_tbl(spark, sf_dir):
+    return G.title_search_table(G.title_360(tables(spark, sf_dir)))
+
+
+def _fact_ti(t):
+    return G.fact_title_instrument(t.title_instrument_title, t.title_instrument, t.transaction_type)
+
+
+@register("title_search")
+def q_title_search(spark, sf_dir):
+    return S.title_search(_search_tbl(spark, sf_dir), "Building", "latest_lodged_date", "desc", 25, 10)
+
+
+@register("address_search")
+def q_address_search(spark, sf_dir):
+    tbl = G.address_search_table(_dim_address(tables(spark, sf_dir)))
+    return S.address_search(tbl, "20A Āhuri Road", 50, 0)
+
+
+@register("title_detail")
+def q_title_detail(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    req = t.title_encumbrance.select(F.col("ttl_title_no").alias("title_no"))
+    return S.title_detail(_search_tbl(spark, sf_dir), req)
+
+
+@register("title_instruments")
+def q_title_instruments(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return S.title_instruments(_fact_ti(t), t.title.select("title_no"), 1000)
+
+
+@register("title_encumbrances")
+def q_title_encumbrances(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    fact = G.fact_title_encumbrance(t.title_encumbrance, t.encumbrance, t.encumbrancee, t.encumbrance_share)
+    return S.title_encumbrances(fact, t.title.select("title_no"), 1000)
+
+
+@register("title_addresses")
+def q_title_addresses(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    tbl = G.address_search_table(_dim_address(t))
+    return S.title_addresses(tbl, t.title.select("title_no"), 100)
+
+
+@register("instrument_search")
+def q_instrument_search(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return as_json(S.instrument_search(_fact_ti(t), "Prom", 500), "title_nos")
+
+
+@register("instrument_detail")
+def q_instrument_detail(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return as_json(S.instrument_detail(_fact_ti(t), t.title_instrument.select("inst_no")), "title_nos")
