@@ -713,3 +713,45 @@ def q_instrument_search(spark, sf_dir):
 def q_instrument_detail(spark, sf_dir):
     t = tables(spark, sf_dir)
     return as_json(S.instrument_detail(_fact_ti(t), t.title_instrument.select("inst_no")), "title_nos")
+
+
+# ---------------------------------------------------------------------------
+# L: lineage
+# ---------------------------------------------------------------------------
+from tenura.plans import lineage as L  # noqa: E402
+
+
+@register("lineage_depth")
+def q_lineage_depth(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return L.lineage_depth(t.title, t.title_hierarchy)
+
+
+@register("lineage_ancestors")
+def q_lineage_ancestors(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return L.ancestors(t.title.select("title_no"), t.title_hierarchy, t.title, max_depth=100)
+
+
+@register("lineage_neighbours")
+def q_lineage_neighbours(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    lin = G.title_lineage(t.title_hierarchy, t.title)
+    return L.neighbours(t.title.select("title_no"), lin, G.address_search_table(_dim_address(t)))
+
+
+@register("lineage_ego_graph")
+def q_lineage_ego_graph(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return L.ego_graph(t.title.select("title_no"), G.title_lineage(t.title_hierarchy, t.title))[0]
+
+
+@register("lineage_ego_graph_edges")
+def q_lineage_ego_graph_edges(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return L.ego_graph(t.title.select("title_no"), G.title_lineage(t.title_hierarchy, t.title))[1]
+
+
+@register("lineage_adjacent_lists")
+def q_lineage_adjacent_lists(spark, sf_dir):
+    return as_json(L.adjacent_lists(tables(spark, sf_dir).title_hierarchy), "prior_titles", "follow_on_titles")

@@ -118,11 +118,11 @@ def _resolve(names, out):
     return out
 
 
-def with_views(body: str, *extra_ctes: tuple[str, str], views: list[str]) -> str:
-    """``WITH <views...>, <extra ctes...> <body>``."""
+def with_views(body: str, *extra_ctes: tuple[str, str], views: list[str], recursive: bool = False) -> str:
+    """``WITH [RECURSIVE] <views...>, <extra ctes...> <body>``."""
     order = _resolve(views, [])
     ctes = [f"{n} AS (\n{VIEWS[n]}\n)" for n in order]
     ctes += [f"{n} AS (\n{sql}\n)" for n, sql in extra_ctes]
     if not ctes:
         return body
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n" + body
