@@ -755,3 +755,281 @@ def q_lineage_ego_graph_edges(spark, sf_dir):
 @register("lineage_adjacent_lists")
 def q_lineage_adjacent_lists(spark, sf_dir):
     return as_json(L.adjacent_lists(tables(spark, sf_dir).title_hierarchy), "prior_titles", "follow_on_titles")
+
+
+# ---------------------------------------------------------------------------
+# D: data quality
+# ---------------------------------------------------------------------------
+from tenura.plans import conform as P  # noqa: E402
+from tenura.plans import quality as D  # noqa: E402
+from tenura.sources import landing as LD  # noqa: E402
+from tenura.sources import manifest as M  # noqa: E402
+
+ADAPTER_TABLES = ["title", "title_estate", "title_instrument", "title_instrument_title", "transaction_type",
+                  "title_document_reference", "title_encumbrance", "encumbrance", "encumbrance_share",
+                  "encumbrancee", "title_hierarchy", "title_parcel_association", "appellation", "legal_description",
+                  "legal_description_parcel", "estate_share", "proprietor", "land_district", "aims_address",
+                  "aims_address_component"]
+# Silver tables the gold build requires.
+REQUIRED_SILVER = ADAPTER_TABLES + ["statute", "statute_action", "statutory_action_parcel"]
+
+
+def _adapter_dict(t, names=ADAPTER_TABLES):
+    return {n: getattr(t, n) for n in names}
+
+
+@register("dq_missing_tables")
+def q_dq_missing_tables(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return D.require_tables(spark, REQUIRED_SILVER, D.present_tables(_adapter_dict(t)))
+
+
+@register("dq_required_columns")
+def q_dq_required_columns(spark, sf_dir):
+    p = tables(spark, sf_dir).proprietor
+    return D.column_completeness(p, ["id", "ets_id", "status", "type", "prime_surname", "prime_other_names",
+                                     "name_suffix"])
+
+
+KEY_TABLE_LABELS = {"SILVER.TITLE": "title", "SILVER.TITLE_ESTATE": "title_estate",
+                    "SILVER.TITLE_INSTRUMENT": "title_instrument", "SILVER.TITLE_ENCUMBRANCE": "title_encumbrance",
+                    "SILVER.TITLE_PARCEL_ASSOCIATION": "title_parcel_association", "SILVER.PROPRIETOR": "proprietor",
+                    "SILVER.APPELLATION": "appellation"}
+
+
+@register("dq_table_counts")
+def q_dq_table_counts(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    dfs = {label: getattr(t, n) for label, n in KEY_TABLE_LABELS.items()}
+    dfs["GOLD.DIM_ADDRESS_SEARCH"] = G.address_search_table(_dim_address(t))
+    return D.table_counts(dfs)
+
+
+@register("dq_unique_key")
+def q_dq_unique_key(spark, sf_dir):
+    return D.duplicate_keys(tables(spark, sf_dir).title_parcel_association, ["par_id"])
+
+
+@register("dq_nonzero")
+def q_dq_nonzero(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    counts = D.table_counts(_adapter_dict(t))
+    req = spark.createDataFrame([(n,) for n in REQUIRED_SILVER], "table_name string")
+    full = req.join(counts, "table_name", "left").select(
+        "table_name", F.coalesce("row_count", F.lit(0).cast("bigint")).alias("row_count"))
+    return D.empty_tables(full)
+
+
+def _audit_history(t):
+    e = t.raw("events")
+    return e.groupBy(F.col("event_type").alias("table_name"), F.col("ts").cast("date").alias("extract_date")) \
+            .agg(F.count(F.lit(1)).alias("row_count"))
+
+
+@register("dq_count_drop")
+def q_dq_count_drop(spark, sf_dir):
+    return D.count_drops(_audit_history(tables(spark, sf_dir)), 20.0)
+
+
+@register("dq_link_band")
+def q_dq_link_band(spark, sf_dir):
+    return D.link_band(tables(spark, sf_dir).title_instrument_title, "ttl_title_no", 1, 5)
+
+
+@register("dq_gold_matches_base")
+def q_dq_gold_matches_base(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return D.row_parity(G.title_search_core(t), t.title)
+
+
+# ---------------------------------------------------------------------------
+# P: conforming
+# ---------------------------------------------------------------------------
+def _bronze_title(t):
+    ti = t.title
+    return LD.land(ti.select("title_no", F.col("ldt_loc_id").cast("string").alias("ldt_loc_id"),
+                             F.col("register_type").alias("register_t"),
+                             F.date_format("issue_date", "yyyyMMdd").alias("issue_date"),
+                             F.col("guarantee_status").alias("guarantee_"), "status", "type"))
+
+
+@register("conform_table")
+def q_conform_table(spark, sf_dir):
+    return P.conform(_bronze_title(tables(spark, sf_dir)), "title")
+
+
+def _dirty_lineitem(t):
+    li = t.raw("lineitem")
+    n = F.col("l_linenumber")
+    ship = (F.when(n == 1, F.lit("00000000")).when(n == 2, F.date_format("l_shipdate", "yyyy-MM-dd"))
+             .otherwise(F.date_format("l_shipdate", "yyyyMMdd")))
+    qty = F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit(".0"))
+    return li.select("l_orderkey", "l_linenumber", qty.alias("qty"), F.col("l_returnflag").alias("flag"),
+                     ship.alias("ship"))
+
+
+@register("cast_lenient")
+def q_cast_lenient(spark, sf_dir):
+    d = _dirty_lineitem(tables(spark, sf_dir))
+    return d.select("l_orderkey", "l_linenumber", P.to_long(F.col("qty")).alias("qty"),
+                    P.to_long(F.col("flag")).alias("flag_long"), P.to_date_lenient(F.col("ship")).alias("ship_date"),
+                    P.to_decimal(F.col("qty")).alias("qty_dec"))
+
+
+@register("blank_to_null")
+def q_blank_to_null(spark, sf_dir):
+    te = tables(spark, sf_dir).title_estate
+    s = te.select("id", F.coalesce("share", F.lit("")).alias("share"))
+    return s.select("id", P.blank_to_null(F.col("share")).alias("share"))
+
+
+@register("flag_current")
+def q_flag_current(spark, sf_dir):
+    te = tables(spark, sf_dir).title_estate
+    return te.select("id", "status", FL.current_flag("status").alias("is_current"),
+                     FL.current_flag("status", ("REGD",)).alias("is_current_strict"))
+
+
+FLAGGED = ["title", "title_estate", "title_instrument", "title_hierarchy", "encumbrance", "title_encumbrance",
+           "encumbrance_share"]
+
+
+@register("flag_current_split")
+def q_flag_current_split(spark, sf_dir):
+    return D.flag_split(_adapter_dict(tables(spark, sf_dir), FLAGGED))
+
+
+@register("dedupe_business")
+def q_dedupe_business(spark, sf_dir):
+    tit = tables(spark, sf_dir).title_instrument_title
+    a = LD.stamp(tit, "title_instrument_title", "2024-01-31", "run-1", "chunk-1", F.lit("tit.dbf"))
+    b = LD.stamp(tit, "title_instrument_title", "2024-01-31", "run-1", "chunk-2", F.lit("tit.2.dbf"))
+    return P.dedupe(a.unionByName(b)).select("tin_id", "ttl_title_no")
+
+
+ESTATE_TARGET = [("id", "bigint"), ("ttl_title_no", "string"), ("type", "string"), ("status", "string"),
+                 ("share", "string")]
+
+
+@register("evolve_schema")
+def q_evolve_schema(spark, sf_dir):
+    te = tables(spark, sf_dir).title_estate
+    old = te.where(F.col("id") % 2 == 0).select("id", F.col("ttl_title_no").alias("ttl_title_"), "type", "status",
+                                                F.lit(1).cast("bigint").alias("audit_id"))
+    new = te.where(F.col("id") % 2 != 0).select("id", "ttl_title_no", "type", "status", "share")
+    return P.union_aligned([P.align(old, ESTATE_TARGET, {"ttl_title_": "ttl_title_no"}),
+                            P.align(new, ESTATE_TARGET)])
+
+
+@register("reflag_update")
+def q_reflag_update(spark, sf_dir):
+    return P.reflag(tables(spark, sf_dir).title, ("LIVE",)).select("title_no", "status", "is_current")
+
+
+def _code_target(t):
+    ti = t.title
+    a = ti.select(F.lit("TTLT").alias("code_group"), F.col("type").alias("code"))
+    b = ti.select(F.lit("TTLS").alias("code_group"), F.col("status").alias("code"))
+    return a.unionByName(b).distinct().withColumn("description", F.lit(None).cast("string"))
+
+
+@register("upsert_codes")
+def q_upsert_codes(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return P.upsert_codes(_code_target(t), t.system_code)
+
+
+@register("code_group_counts")
+def q_code_group_counts(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return P.code_group_counts(P.upsert_codes(_code_target(t), t.system_code))
+
+
+# ---------------------------------------------------------------------------
+# S: landing, provenance, manifests, audit
+# ---------------------------------------------------------------------------
+@register("decode_fields")
+def q_decode_fields(spark, sf_dir):
+    li = tables(spark, sf_dir).raw("lineitem")
+    n = F.col("l_linenumber")
+    raw = li.select(
+        "l_orderkey", "l_linenumber",
+        F.when(n == 7, F.lit("*****")).otherwise(F.lpad(F.col("l_quantity").cast("bigint").cast("string"), 5, " "))
+         .alias("qty"),
+        F.when(n == 1, F.lit("00000000")).otherwise(F.date_format("l_shipdate", "yyyyMMdd")).alias("shipped"),
+        F.when(F.col("l_linestatus") == "O", F.lit("T")).otherwise(F.lit("n")).alias("open"),
+        F.rpad("l_returnflag", 4, " ").alias("flag"))
+    return LD.decode(raw, {"l_orderkey": "N", "l_linenumber": "N", "qty": "N", "shipped": "D", "open": "L",
+                           "flag": "C"})
+
+
+@register("land_strings")
+def q_land_strings(spark, sf_dir):
+    c = tables(spark, sf_dir).raw("conversations")
+    return LD.land(c.select(F.col("conv_id").alias("CONV_ID"), F.col("turn").alias("Turn"), "role", "text"))
+
+
+@register("stamp_provenance")
+def q_stamp_provenance(spark, sf_dir):
+    tit = tables(spark, sf_dir).title_instrument_title
+    return LD.stamp(tit, "title_instrument_title", "2024-01-31", "run-1", source_file=F.lit("tit.dbf")) \
+             .drop("ingested_at")
+
+
+def _inventory(t):
+    e = t.raw("events")
+    return e.select(
+        F.concat(F.lit("stage/landonline-"), (F.col("user_id") % 40).cast("string"), F.lit("-"),
+                 F.col("event_type"), F.lit(".dbf")).alias("relative_path"),
+        F.when(F.col("user_id") % 10 == 0, F.lit(None).cast("string"))
+         .otherwise(F.col("user_id").cast("string")).alias("md5"),
+        F.floor(F.col("value") * 100).cast("bigint").alias("size"),
+        F.col("ts").alias("last_modified"), F.col("ts").alias("snapshot_at"), "event_id")
+
+
+@register("file_inventory_latest")
+def q_file_inventory_latest(spark, sf_dir):
+    return M.latest_files(_inventory(tables(spark, sf_dir)), tie="event_id").drop("event_id")
+
+
+@register("register_new_files")
+def q_register_new_files(spark, sf_dir):
+    inv = _inventory(tables(spark, sf_dir))
+    early = M.latest_files(inv.where(F.col("snapshot_at") < F.lit("2024-01-15").cast("timestamp")), tie="event_id")
+    empty = early.limit(0).select(F.lit(None).cast("string").alias("source_entity"),
+                                  F.lit(None).cast("string").alias("file_name"),
+                                  F.lit(None).cast("bigint").alias("file_size"),
+                                  F.lit(None).cast("string").alias("file_md5"),
+                                  F.col("last_modified").alias("file_last_modified"))
+    control = M.register_files(empty, early)
+    return M.register_files(control, M.latest_files(inv, tie="event_id"))
+
+
+def _file_names(t):
+    e = t.raw("events")
+    return e.select(F.concat(F.lit("landonline-"), F.col("event_type"), F.lit("."),
+                             F.col("user_id").cast("string"), F.lit(".dbf")).alias("file_name"), "ts")
+
+
+@register("pick_shards_to_load")
+def q_pick_shards_to_load(spark, sf_dir):
+    f = _file_names(tables(spark, sf_dir))
+    loaded = f.where(F.col("ts") < F.lit("2024-01-02").cast("timestamp"))
+    return M.pending(f.select("file_name").distinct(), loaded)
+
+
+@register("audit_progress")
+def q_audit_progress(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    landed = LD.stamp(t.title_instrument_title, "title_instrument_title", "2024-01-31", "run-1",
+                      source_file=F.lit("a")).unionByName(
+        LD.stamp(t.title_parcel_association, "title_parcel_association", "2024-01-31", "run-1",
+                 source_file=F.lit("b")), allowMissingColumns=True)
+    expected = spark.createDataFrame([("run-1", n) for n in ("title_instrument_title", "title_parcel_association",
+                                                             "statute")], "run_id string, source_table string")
+    return M.load_summary(landed, expected).drop("started_at", "finished_at")
+
+
+@register("audit_table_counts")
+def q_audit_table_counts(spark, sf_dir):
+    return D.table_counts(_adapter_dict(tables(spark, sf_dir)), "2024-01-31")
