@@ -1033,3 +1033,56 @@ def q_audit_progress(spark, sf_dir):
 @register("audit_table_counts")
 def q_audit_table_counts(spark, sf_dir):
     return D.table_counts(_adapter_dict(tables(spark, sf_dir)), "2024-01-31")
+
+
+# ---------------------------------------------------------------------------
+# File round trips (written under the shared checkpoint folder)
+# ---------------------------------------------------------------------------
+import uuid as _uuid  # noqa: E402
+
+from tenura.session import checkpoint_dir  # noqa: E402
+from tenura.sources import fixed_width as FW  # noqa: E402
+
+
+def _scratch(spark, name: str) -> str:
+    base = checkpoint_dir(spark).replace("file:", "")
+    return f"{base.rstrip('/')}/tenura-{name}-{_uuid.uuid4().hex}"
+
+
+# 10-character field names of the instrument extract -> silver names.
+INSTRUMENT_RENAMES = {"lodged_dat": "lodged_date", "priority_n": "priority_no", "is_current": "is_current"}
+
+
+@register("scan_fixed_width")
+def q_scan_fixed_width(spark, sf_dir):
+    ti = tables(spark, sf_dir).title_instrument
+    path = _scratch(spark, "dbf")
+    FW.register(spark)
+    ti.repartition(4).write.format("dbf").mode("overwrite").save(path)
+    raw = FW.read_fixed_width(spark, f"{path}/*.dbf", recordsPerPartition=256)
+    typed = LD.decode(raw, FW.field_types(f"{path}/*.dbf"))
+    return typed.withColumnsRenamed(INSTRUMENT_RENAMES)
+
+
+@register("scan_shards")
+def q_scan_shards(spark, sf_dir):
+    tit = tables(spark, sf_dir).title_instrument_title
+    path = _scratch(spark, "shards")
+    FW.register(spark)
+    tit.repartition(3).write.format("dbf").mode("append").option("shardPrefix", "title-instrument-title").save(path)
+    raw = FW.read_fixed_width(spark, f"{path}/title-instrument-title-*.dbf", recordsPerPartition=8192,
+                              includeSourceFile=True)
+    typed = LD.decode(raw.drop("source_file"), {"tin_id": "N", "ttl_title_": "C"})
+    return typed.withColumnsRenamed({"ttl_title_": "ttl_title_no"})
+
+
+@register("read_csv_by_name")
+def q_read_csv_by_name(spark, sf_dir):
+    te = tables(spark, sf_dir).title_estate
+    path = _scratch(spark, "csv")
+    # header order differs from the target order; loading is by name
+    LD.write_extract_csv(te.select(F.col("share").alias("SHARE"), F.col("status").alias("STATUS"),
+                                   F.col("ttl_title_no").alias("TTL_TITLE_"), F.col("id").alias("ID"),
+                                   F.col("type").alias("TYPE")), path)
+    df = LD.read_extract_csv(spark, path, {"ttl_title_": "ttl_title_no"})
+    return df.select(P.to_long(F.col("id")).alias("id"), "ttl_title_no", "type", "status", "share")
