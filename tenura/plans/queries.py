@@ -1086,3 +1086,13 @@ def q_read_csv_by_name(spark, sf_dir):
                                    F.col("type").alias("TYPE")), path)
     df = LD.read_extract_csv(spark, path, {"ttl_title_": "ttl_title_no"})
     return df.select(P.to_long(F.col("id")).alias("id"), "ttl_title_no", "type", "status", "share")
+
+
+@register("search_batch")
+def q_search_batch(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    req = t.raw("nation").select(F.col("n_nationkey").alias("req_id"), F.col("n_name").alias("q"))
+    # the search table is a materialised table (K3); build it once, then search it
+    tbl = _search_tbl(spark, sf_dir).checkpoint(eager=True)
+    out = S.search_batch(req, tbl, k=10)
+    return out.select("req_id", "title_no", "is_current", "issue_date", "primary_address")
