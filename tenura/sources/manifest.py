@@ -22,20 +22,22 @@ def latest_files(inv: DataFrame, path: str = "relative_path", md5: str = "md5",
     return latest_row(inv, [path, md5], order)
 
 
-def register_files(control: DataFrame, listing: DataFrame, path: str = "relative_path", md5: str = "md5",
-                   size: str = "size", modified: str = "last_modified") -> DataFrame:
-    """Idempotent manifest insert keyed on (file name, md5), NULL md5 = ''.
-
-    Returns the new control table = old rows + listing rows not yet registered,
-    with the entity taken from the third '-' token of the file name.
-    """
+def new_files(control: DataFrame, listing: DataFrame, path: str = "relative_path", md5: str = "md5",
+              size: str = "size", modified: str = "last_modified") -> DataFrame:
+    """Listing rows not yet in the control table, keyed on (file name, md5) with
+    NULL md5 equal to ''; the entity is the third '-' token of the file name."""
     s = listing.select(file_name(path).alias("file_name"), F.col(size).alias("file_size"),
                        F.col(md5).alias("file_md5"), F.col(modified).alias("file_last_modified"))
     c = control.select(F.col("file_name").alias("__fn"), F.col("file_md5").alias("__md5"))
     new = s.join(c, (s["file_name"] == c["__fn"]) & blank_safe_eq(s["file_md5"], c["__md5"]), "left_anti")
-    new = new.select(file_entity("file_name", 3, "-").alias("source_entity"), "file_name", "file_size", "file_md5",
-                     "file_last_modified")
-    return control.unionByName(new, allowMissingColumns=True)
+    return new.select(file_entity("file_name", 3, "-").alias("source_entity"), "file_name", "file_size",
+                      "file_md5", "file_last_modified")
+
+
+def register_files(control: DataFrame, listing: DataFrame, **cols) -> DataFrame:
+    """Idempotent manifest insert; returns the new control table
+    (old rows + listing rows not registered yet)."""
+    return control.unionByName(new_files(control, listing, **cols), allowMissingColumns=True)
 
 
 def pending(files: DataFrame, loaded: DataFrame, keys=("file_name",)) -> DataFrame:
