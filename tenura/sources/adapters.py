@@ -61,16 +61,21 @@ class RegistryTables:
     @cached_property
     def title_estate(self) -> DataFrame:
         li = self.raw("lineitem")
+        # min() over the code strings, computed on their rank (FSIM < LEAS < QQQQ,
+        # HIST < REGD) so the aggregate stays a hash aggregate on fixed-width values.
+        type_rank = (F.when(F.col("l_returnflag") == "A", 0)
+                      .when(F.col("l_returnflag") == "N", 1).otherwise(2))
+        status_rank = F.when(F.col("l_linestatus") == "O", 1).otherwise(0)
         df = li.groupBy("l_orderkey", "l_partkey", "l_suppkey").agg(
-            F.min(F.when(F.col("l_returnflag") == "A", "FSIM")
-                  .when(F.col("l_returnflag") == "N", "LEAS").otherwise("QQQQ")).alias("type"),
-            F.min(F.when(F.col("l_linestatus") == "O", "REGD").otherwise("HIST")).alias("status"),
-            F.min(F.when(F.col("l_linenumber") % 2 == 0, F.lit("1/2"))).alias("share"),
+            F.min(type_rank).alias("t"), F.min(status_rank).alias("s"),
+            F.max((F.col("l_linenumber") % 2 == 0).cast("int")).alias("h"),
         ).select(
             (F.col("l_orderkey") * 100000000 + F.col("l_partkey") * 1000
              + F.col("l_suppkey") % 1000).alias("id"),
             _title_key(F.col("l_orderkey")).alias("ttl_title_no"),
-            "type", "status", "share",
+            F.when(F.col("t") == 0, "FSIM").when(F.col("t") == 1, "LEAS").otherwise("QQQQ").alias("type"),
+            F.when(F.col("s") == 1, "REGD").otherwise("HIST").alias("status"),
+            F.when(F.col("h") == 1, F.lit("1/2")).alias("share"),
         )
         return df.withColumn("is_current", current_flag("status"))
 
@@ -143,9 +148,10 @@ class RegistryTables:
 
     @cached_property
     def encumbrance_share(self) -> DataFrame:
+        # Three shares per encumbrance, one per nation key 0..2.  Expressed as an
+        # explode of those keys rather than a supplier x nation theta join.
         s = self.raw("supplier").select("s_suppkey")
-        n = self.raw("nation").select("n_nationkey").where(F.col("n_nationkey") < 3)
-        df = s.join(n).select(
+        df = s.select("s_suppkey", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("n_nationkey")).select(
             (F.col("s_suppkey") * 10 + F.col("n_nationkey") % 3).alias("id"),
             F.col("s_suppkey").alias("enc_id"),
             F.when(F.col("n_nationkey") % 2 == 0, "REGD").otherwise("HIST").alias("status"),
