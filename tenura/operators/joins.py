@@ -4,7 +4,8 @@ Physical strategy is left to Catalyst + AQE: dimension sides that are small at
 run time become broadcast joins through AQE's measured-size rule
 (``spark.sql.adaptive.autoBroadcastJoinThreshold``), large sides shuffle on the
 key with AQE skew splitting.  An explicit ``broadcast`` hint is only placed on
-the fixed code list, whose size is bounded by construction.
+the fixed code list, whose size is bounded by construction, and by
+``broadcast_if_small`` after the side has been measured.
 """
 
 from __future__ import annotations
@@ -27,6 +28,39 @@ def _cond(left: DataFrame, right: DataFrame, on) -> Column:
     return reduce(lambda a, b: a & b, [left[lk] == right[rk] for lk, rk in _pairs(on)])
 
 
+def _broadcast_limit(df: DataFrame) -> int:
+    conf = df.sparkSession.conf
+    v = conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) or \
+        conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    v = str(v).strip().lower()
+    for unit, mult in (("kb", 1 << 10), ("mb", 1 << 20), ("gb", 1 << 30), ("b", 1)):
+        if v.endswith(unit):
+            return int(float(v[: -len(unit)]) * mult)
+    return int(v)
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, bool]:
+    """Broadcast ``df`` only when it is measured to fit.
+
+    For a side that is joined many times (the edge table of an iterative walk):
+    one aggregate job measures its rows and string bytes; when the estimate is
+    within ``max_bytes`` (default: the session's broadcast threshold) the hint
+    is placed, otherwise the side is returned unchanged and joins shuffle.
+    ``df`` should be materialised (checkpointed), so the measurement does not
+    recompute it.
+    """
+    limit = _broadcast_limit(df) if max_bytes is None else max_bytes
+    if limit <= 0:
+        return df, False
+    width = [F.coalesce(F.length(F.col(f.name)), F.lit(0)) if f.dataType.simpleString() == "string"
+             else F.lit(8) for f in df.schema.fields]
+    row = df.select(reduce(lambda a, b: a + b, width).alias("__w")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("__w").alias("w")).first()
+    # per row: the values plus an 8-byte pointer per column and a 16-byte row header
+    est = (row["w"] or 0) + row["n"] * (16 + 8 * len(df.columns))
+    return (F.broadcast(df), True) if est <= limit else (df, False)
+
+
 def bridge_join(bridge: DataFrame, entity: DataFrame, on, how: str = "inner") -> DataFrame:
     """Bridge rows joined to the entity they point at (fan-out intended)."""
     return bridge.join(entity, _cond(bridge, entity, on), how)

@@ -43,14 +43,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must be a shared, fault-tolerant path set by the operator
-    of the cluster; we only read it.  When it is unset (tests, a laptop), a
-    fresh scratch folder is created and registered, which is fine for a
-    single-machine session.
+    of the cluster; we only read it.  When it is unset on a local master
+    (tests, a laptop), a fresh scratch folder is created and registered; when it
+    is unset on a cluster, this raises instead.
     """
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
         cur = spark.sparkContext.getCheckpointDir()
     if not cur:
+        if not spark.sparkContext.master.startswith("local"):
+            # A machine-local folder would not survive the loss of an executor.
+            raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder for this cluster")
         cur = tempfile.mkdtemp(prefix="tenura-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", cur)
     if spark.sparkContext.getCheckpointDir() is None:
