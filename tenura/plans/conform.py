@@ -100,17 +100,35 @@ def to_long(c: Column) -> Column:
     """Lenient BIGINT: '12' and '12.0' -> 12, junk -> NULL (through DECIMAL,
     since a direct cast of '12.0' to BIGINT gives NULL)."""
     s = F.trim(c.cast("string"))
-    return F.coalesce(s.try_cast("bigint"), s.try_cast("decimal(38,10)").try_cast("bigint"))
+    return (F.when(s.rlike(r"^[+-]?[0-9]+$"), s.try_cast("bigint"))
+             .when(numeric_text(s), s.try_cast("decimal(38,10)").try_cast("bigint")))
+
+
+# Text that a numeric cast can accept: sign, digits with an optional point,
+# optional exponent.  Other text gives NULL without attempting the cast, whose
+# decimal path would throw (and catch) a JVM exception for every such row.
+_NUMERIC = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def numeric_text(s: Column) -> Column:
+    return s.rlike(_NUMERIC)
 
 
 def to_decimal(c: Column, precision: int = 20, scale: int = 4) -> Column:
-    return F.trim(c.cast("string")).try_cast(f"decimal({precision},{scale})")
+    s = F.trim(c.cast("string"))
+    return F.when(numeric_text(s), s.try_cast(f"decimal({precision},{scale})"))
 
 
 def to_date_lenient(c: Column) -> Column:
     """ISO or yyyyMMdd text -> DATE; '00000000', blanks and junk -> NULL."""
     s = F.trim(c.cast("string"))
-    return F.coalesce(F.try_to_date(s, "yyyy-MM-dd"), F.try_to_date(s, "yyyyMMdd"))
+    iso, compact = F.try_to_date(s, "yyyy-MM-dd"), F.try_to_date(s, "yyyyMMdd")
+    # A failed parse costs a JVM exception per row, so each format is tried only
+    # on text of its own shape; any other shape takes both, as before.
+    return (F.when(s == "00000000", F.lit(None).cast("date"))
+             .when(s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), iso)
+             .when(s.rlike(r"^[0-9]{8}$"), compact)
+             .otherwise(F.coalesce(iso, compact)))
 
 
 def blank_to_null(c: Column) -> Column:

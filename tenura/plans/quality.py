@@ -38,16 +38,21 @@ def require_tables(spark: SparkSession, required: list[str], present: DataFrame,
     return req.join(present.select(name_col), name_col, "left_anti")
 
 
-def assert_empty(findings: DataFrame, message: str) -> DataFrame:
+def assert_empty(findings: DataFrame, message: str, show: int = 50) -> DataFrame:
     """Fail the job with ``message`` + the finding list when ``findings`` has rows.
 
-    The list is built by an aggregate over the findings and raised by
-    ``raise_error`` inside the query, so it runs where the data is.
+    The list holds the first ``show`` distinct findings in sorted order (then
+    ``...`` when there are more), taken with a top-k that is bounded per task;
+    it is built by an aggregate and raised by ``raise_error`` inside the query,
+    so it runs where the data is and never gathers the whole finding set.
     """
     first = findings.columns[0]
-    listed = findings.agg(F.array_join(F.array_sort(F.collect_set(F.col(first).cast("string"))), ", ").alias("l"),
-                          F.count(F.lit(1)).alias("n"))
-    return listed.select(F.when(F.col("n") > 0, F.raise_error(F.concat(F.lit(message), F.col("l"))))
+    top = (findings.select(F.col(first).cast("string").alias("__v")).distinct()
+                   .orderBy(F.col("__v").asc_nulls_first()).limit(show + 1))
+    listed = top.agg(F.slice(F.array_sort(F.collect_list("__v")), 1, show).alias("l"),
+                     F.count(F.lit(1)).alias("n"))
+    text = F.concat(F.array_join(F.col("l"), ", "), F.when(F.col("n") > show, F.lit(", ...")).otherwise(F.lit("")))
+    return listed.select(F.when(F.col("n") > 0, F.raise_error(F.concat(F.lit(message), text)))
                           .otherwise(F.lit("ok")).alias("check"))
 
 

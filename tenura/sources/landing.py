@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.plans.conform import to_long
+from tenura.plans.conform import numeric_text, to_long
 
 # Characters Python's str.strip() treats as ASCII whitespace.
 _WS = "[\\t\\n\\x0B\\f\\r ]"
@@ -42,9 +42,11 @@ def decode(df: DataFrame, spec: dict[str, str]) -> DataFrame:
         if t == "N":
             e = to_long(v)
         elif t == "F":
-            e = v.try_cast("decimal(38,10)")
+            e = F.when(numeric_text(v), v.try_cast("decimal(38,10)"))
         elif t == "D":
-            e = F.try_to_date(v, "yyyyMMdd")
+            # '00000000' (no date) is common; skip the parse, which would throw per row
+            e = (F.when(v == "00000000", F.lit(None).cast("date"))
+                  .otherwise(F.try_to_date(v, "yyyyMMdd")))
         elif t == "L":
             e = F.when(v.isNull(), F.lit(None).cast("boolean")).otherwise(F.upper(v).isin("T", "Y", "1"))
         else:

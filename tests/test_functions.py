@@ -108,3 +108,21 @@ def test_preview_top_n(spark):
 def test_open_interval_spellings(spark):
     df = spark.createDataFrame([(None,), ("",), ("00000000",), ("0000-00-00",), ("20200101",)], "e string")
     assert df.where(FL.still_open("e")).count() == 4
+
+
+def test_gated_casts_equal_the_plain_try_casts(spark):
+    from tenura.plans import conform as P
+    vals = ["12", "12.0", " 12 ", "+5", "-3.7", "1e3", "1E+2", ".5", "5.", "A", "", "12abc", "1.2.3",
+            "99999999999999999999", "9223372036854775807", "9223372036854775808", "-0", "0x10", "NaN",
+            "2020-01-05", "20200105", "00000000", "2020-02-30", "20200230", "2020-1-5", "12020-01-01",
+            "2020-01-05 10:00", "junk", None]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    s = F.trim(F.col("v"))
+    plain = df.select(
+        "v",
+        F.coalesce(s.try_cast("bigint"), s.try_cast("decimal(38,10)").try_cast("bigint")).alias("l"),
+        s.try_cast("decimal(20,4)").alias("d"),
+        F.coalesce(F.try_to_date(s, "yyyy-MM-dd"), F.try_to_date(s, "yyyyMMdd")).alias("t"))
+    gated = df.select("v", P.to_long(F.col("v")).alias("l"), P.to_decimal(F.col("v")).alias("d"),
+                      P.to_date_lenient(F.col("v")).alias("t"))
+    assert sorted(map(tuple, gated.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)

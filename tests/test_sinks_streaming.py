@@ -51,6 +51,9 @@ def test_assert_empty_raises_inside_the_job(spark):
     with pytest.raises(Exception, match="Missing required tables: statute"):
         D.assert_empty(missing, "Missing required tables: ").collect()
     assert D.assert_empty(missing.where("false"), "x").first()[0] == "ok"
+    many = spark.range(1000).selectExpr("lpad(cast(id as string), 4, '0') as k")
+    with pytest.raises(Exception, match="dupes: 0000, 0001, 0002, ..."):
+        D.assert_empty(many, "dupes: ", show=3).collect()
 
 
 def test_manifest_stream_is_incremental_and_idempotent(spark, tmp_path):
