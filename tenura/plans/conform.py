@@ -18,7 +18,7 @@ from tenura.operators.filters import CURRENT_CODES, current_flag
 
 # Silver specs (target column, bronze column, kind).  Kinds:
 # str = string, nstr = string with blank -> NULL, long = BIGINT, date = DATE,
-# dec = DECIMAL(20,4), flag = current flag from the status column.
+# ts = TIMESTAMP, dec = DECIMAL(20,4), flag = current flag from the status column.
 SILVER_SPECS: dict[str, list[tuple[str, str, str]]] = {
     "title": [
         ("title_no", "title_no", "str"), ("ldt_loc_id", "ldt_loc_id", "long"),
@@ -93,6 +93,120 @@ SILVER_SPECS: dict[str, list[tuple[str, str, str]]] = {
         ("part_affected", "part_affec", "nstr"), ("share", "share", "nstr"), ("audit_id", "audit_id", "long"),
         ("sur_wrk_id", "sur_wrk_id", "long"),
     ],
+    "appellation": [
+        ("id", "id", "long"), ("par_id", "par_id", "long"), ("type", "type", "str"), ("title", "title", "str"),
+        ("survey", "survey", "str"), ("status", "status", "str"), ("part_indicator", "part_indic", "str"),
+        ("maori_name", "maori_name", "nstr"), ("sub_type", "sub_type", "str"),
+        ("appellation_value", "appellatio", "nstr"), ("parcel_type", "parcel_typ", "str"),
+        ("parcel_value", "parcel_val", "nstr"), ("second_parcel_type", "second_par", "str"),
+        ("second_parcel_value", "second_prc", "nstr"), ("block_number", "block_numb", "nstr"),
+        ("sub_type_position", "sub_type_p", "str"), ("other_appellation", "other_appe", "nstr"),
+        ("act_id_crt", "act_id_crt", "long"), ("act_tin_id_crt", "act_tin_id", "long"),
+        ("act_id_ext", "act_id_ext", "long"), ("act_tin_id_ext", "act_tin__1", "long"),
+        ("audit_id", "audit_id", "long"), ("height_limited", "height_lim", "str"), ("is_current", "status", "flag"),
+    ],
+    "statute": [
+        ("id", "id", "long"), ("section", "section", "nstr"), ("name_and_description", "name_and_d", "nstr"),
+        ("still_in_force", "still_in_f", "str"), ("in_force_date", "in_force_d", "date"),
+        ("repeal_date", "repeal_dat", "date"), ("type", "type", "str"), ("default_flag", "default", "str"),
+        ("audit_id", "audit_id", "long"),
+    ],
+    "statute_action": [
+        ("id", "id", "long"), ("type", "type", "str"), ("status", "status", "str"), ("ste_id", "ste_id", "long"),
+        ("sur_wrk_id", "sur_wrk_id", "long"), ("gazette_year", "gazette_ye", "long"),
+        ("gazette_page", "gazette_pa", "long"), ("gazette_type", "gazette_ty", "str"),
+        ("other_legal_description", "other_lega", "nstr"), ("recorded_date", "recorded_d", "date"),
+        ("gazette_number", "gazette_no", "nstr"), ("audit_id", "audit_id", "long"), ("is_current", "status", "flag"),
+    ],
+    "statutory_action_parcel": [
+        ("sta_id", "sta_id", "long"), ("par_id", "par_id", "long"), ("status", "status", "str"),
+        ("action", "action", "str"), ("purpose", "purpose", "nstr"), ("name", "name", "nstr"),
+        ("comments", "comments", "nstr"), ("audit_id", "audit_id", "long"), ("img_id", "img_id", "long"),
+        ("description", "descriptio", "nstr"), ("is_current", "status", "flag"),
+    ],
+    # address register extracts
+    "aims_address": [
+        ("address_id", "address_id", "long"), ("change_id", "change_id", "long"),
+        ("primary_address", "primary_ad", "str"), ("address_lifecycle_stage", "address_li", "str"),
+        ("address_position_type", "address_pr", "str"), ("alternative_address_type", "address_ma", "str"),
+        ("addressable_object_id", "addressabl", "long"), ("address_class", "address_cl", "str"),
+        ("parcel_id", "parcel_id", "long"),
+    ],
+    "aims_address_component": [
+        ("address_component_id", "address_co", "long"), ("address_id", "address_id", "long"),
+        ("component_type", "address__1", "str"), ("component_value", "address__2", "nstr"),
+        ("sequence", "address__3", "long"), ("language_code", "address__4", "str"),
+        ("begin_lifespan", "begin_life", "date"), ("end_lifespan", "end_lifesp", "date"),
+    ],
+    "aims_address_component_type": [
+        ("component_type", "address_co", "str"), ("description", "address__1", "nstr"),
+        ("active_flag", "address__2", "str"), ("notes", "address__3", "nstr"),
+    ],
+    "aims_address_reference": [
+        ("address_reference_id", "address_re", "long"), ("address_id", "address_id", "long"),
+        ("reference_object_type", "address__1", "str"), ("reference_value", "address__2", "nstr"),
+    ],
+    "aims_address_reference_object_type": [
+        ("reference_object_type", "address_re", "str"), ("description", "address__1", "nstr"),
+    ],
+    "aims_address_class": [("address_class", "address_cl", "str"), ("description", "address__1", "nstr")],
+    "aims_address_lifecycle_stage": [
+        ("address_lifecycle_stage", "address_li", "str"), ("description", "address__1", "nstr"),
+    ],
+    "aims_address_position_type": [
+        ("address_position_type", "address_po", "str"), ("description", "address__1", "nstr"),
+    ],
+    "aims_addressable_object": [
+        ("addressable_object_id", "addressabl", "long"), ("object_type", "addressa_1", "str"),
+        ("lifecycle_stage", "addressa_2", "str"), ("organisation_id", "organisati", "long"),
+    ],
+    "aims_addressable_object_external": [
+        ("addressable_object_id", "addressabl", "long"), ("object_type", "addressa_1", "str"),
+        ("lifecycle_stage", "addressa_2", "str"), ("external_id", "external_i", "nstr"),
+        ("external_system", "external_1", "nstr"),
+    ],
+    "aims_addressable_object_lifecycle_stage": [
+        ("lifecycle_stage", "addressabl", "str"), ("description", "addressa_1", "nstr"),
+    ],
+    "aims_addressable_object_type": [("object_type", "addressabl", "str"), ("description", "addressa_1", "nstr")],
+    "aims_alternative_address_type": [
+        ("alternative_address_type", "alternativ", "str"), ("description", "alternat_1", "nstr"),
+    ],
+    "aims_organisation": [
+        ("organisation_id", "organisati", "long"), ("organisation_name", "organisa_1", "nstr"),
+        ("address_id", "address_id", "long"), ("addressable_object_id", "addressabl", "long"),
+    ],
+    # CSV extracts: header names are the target names; types as in the target DDL
+    # (geometry columns are not carried)
+    "estate_share": [
+        ("id", "id", "long"), ("ett_id", "ett_id", "long"), ("status", "status", "str"), ("share", "share", "nstr"),
+        ("act_tin_id_crt", "act_tin_id_crt", "long"), ("original_flag", "original_flag", "str"),
+        ("system_crt", "system_crt", "str"), ("executorship", "executorship", "nstr"),
+        ("act_id_crt", "act_id_crt", "long"), ("share_memorial", "share_memorial", "nstr"),
+        ("is_current", "status", "flag"),
+    ],
+    "proprietor": [
+        ("id", "id", "long"), ("ets_id", "ets_id", "long"), ("status", "status", "str"), ("type", "type", "str"),
+        ("prime_surname", "prime_surname", "nstr"), ("prime_other_names", "prime_other_names", "nstr"),
+        ("name_suffix", "name_suffix", "nstr"), ("original_flag", "original_flag", "str"),
+    ],
+    "encumbrancee": [
+        ("id", "id", "long"), ("ens_id", "ens_id", "long"), ("status", "status", "str"), ("name", "name", "nstr"),
+    ],
+    "parcel": [
+        ("id", "id", "long"), ("ldt_loc_id", "ldt_loc_id", "long"), ("img_id", "img_id", "long"),
+        ("fen_id", "fen_id", "long"), ("toc_code", "toc_code", "str"), ("alt_id", "alt_id", "long"),
+        ("area", "area", "dec"), ("nonsurvey_def", "nonsurvey_def", "nstr"),
+        ("appellation_date", "appellation_date", "ts"), ("parcel_intent", "parcel_intent", "str"),
+        ("status", "status", "str"), ("total_area", "total_area", "dec"),
+        ("calculated_area", "calculated_area", "dec"), ("se_row_id", "se_row_id", "long"),
+        ("audit_id", "audit_id", "long"),
+    ],
+    "land_district": [
+        ("ldt_loc_id", "ldt_loc_id", "long"), ("off_code", "off_code", "str"), ("name", "name", "nstr"),
+        ("abbrev", "abbrev", "str"), ("status", "status", "str"), ("default_ind", "default_ind", "str"),
+        ("usr_tm_id", "usr_tm_id", "str"), ("audit_id", "audit_id", "long"),
+    ],
 }
 
 
@@ -138,7 +252,8 @@ def blank_to_null(c: Column) -> Column:
 
 def _expr(df: DataFrame, source: str, kind: str, codes) -> Column:
     if source not in df.columns:
-        typ = {"long": "bigint", "date": "date", "dec": "decimal(20,4)", "flag": "boolean"}.get(kind, "string")
+        typ = {"long": "bigint", "date": "date", "ts": "timestamp", "dec": "decimal(20,4)",
+               "flag": "boolean"}.get(kind, "string")
         return F.lit(False) if kind == "flag" else F.lit(None).cast(typ)
     c = F.col(source)
     if kind == "str":
@@ -149,6 +264,9 @@ def _expr(df: DataFrame, source: str, kind: str, codes) -> Column:
         return to_long(c)
     if kind == "date":
         return to_date_lenient(c)
+    if kind == "ts":
+        # without a format this is the cast parser: NULL for bad text, no exception
+        return F.try_to_timestamp(F.trim(c.cast("string")))
     if kind == "dec":
         return to_decimal(c)
     if kind == "flag":

@@ -126,3 +126,29 @@ def test_gated_casts_equal_the_plain_try_casts(spark):
     gated = df.select("v", P.to_long(F.col("v")).alias("l"), P.to_decimal(F.col("v")).alias("d"),
                       P.to_date_lenient(F.col("v")).alias("t"))
     assert sorted(map(tuple, gated.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+def test_every_silver_spec_conforms_a_bronze_row(spark):
+    import datetime as dt
+    from decimal import Decimal
+
+    from tenura.plans.conform import SILVER_SPECS, conform
+    sample = {"str": "ABC", "nstr": "", "long": "42", "date": "20200105", "ts": "2020-01-05 10:30:00",
+              "dec": "12.5", "flag": "LIVE"}
+    expect = {"str": "ABC", "nstr": None, "long": 42, "date": dt.date(2020, 1, 5),
+              "ts": dt.datetime(2020, 1, 5, 10, 30), "dec": Decimal("12.5000"), "flag": True}
+    types = {"str": "string", "nstr": "string", "long": "bigint", "date": "date", "ts": "timestamp",
+             "dec": "decimal(20,4)", "flag": "boolean"}
+    for name, spec in SILVER_SPECS.items():
+        src = {}
+        for _, col, kind in spec:
+            src.setdefault(col, sample["flag"] if any(k == "flag" and c == col for _, c, k in spec) else sample[kind])
+        cols = sorted(src)
+        bronze = spark.createDataFrame([tuple(src[c] for c in cols)], ", ".join(f"`{c}` string" for c in cols))
+        out = conform(bronze, name)
+        assert [f.name for f in out.schema] == [t for t, _, _ in spec], name
+        assert [f.dataType.simpleString() for f in out.schema] == [types[k] for _, _, k in spec], name
+        row = out.first()
+        for tgt, col, kind in spec:
+            if src[col] == sample[kind]:
+                assert row[tgt] == expect[kind], (name, tgt)
