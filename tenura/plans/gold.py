@@ -370,12 +370,13 @@ def title_search_table(t360: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # G13-G15 title search tables
 # ---------------------------------------------------------------------------
-def _search_branches(t, with_arrays: bool, latest: str = "struct"):
+def _search_branches(t, with_arrays: bool, latest: str = "struct", primary_estate: str = "min"):
     te = t.title_estate
+    pick_type = F.max if primary_estate == "max" else F.min      # C2: smallest current type by default
     est_aggs = [
         A.n_rows().alias("estate_count"),
         A.n_where_sum("is_current").alias("current_estate_count"),
-        F.min(F.when(F.col("is_current"), F.col("type"))).alias("primary_estate_type"),
+        pick_type(F.when(F.col("is_current"), F.col("type"))).alias("primary_estate_type"),
     ]
     if with_arrays:
         est_aggs += [
@@ -457,12 +458,14 @@ def _search_text() -> Column:
                                F.coalesce(F.col("latest_instrument_description"), F.lit(""))))
 
 
-def title_search_core(t, latest: str = "struct", as_of: Column | None = None) -> DataFrame:
+def title_search_core(t, latest: str = "struct", as_of: Column | None = None,
+                      primary_estate: str = "min") -> DataFrame:
     """One row per title, counts and latest instrument, no arrays (the hot table)."""
     base = t.title.select("title_no", F.col("status").alias("title_status"), F.col("type").alias("title_type"),
                           "register_type", "issue_date", "guarantee_status", opt(t.title, "maori_land"),
                           "is_current", opt(t.title, "ste_id", "bigint"), "ldt_loc_id")
-    j = star_left(base, _search_branches(t, with_arrays=False, latest=latest), "title_no", "k")
+    j = star_left(base, _search_branches(t, with_arrays=False, latest=latest, primary_estate=primary_estate),
+                  "title_no", "k")
     zero = F.lit(0).cast("bigint")
     cols = [
         "title_no", "title_status", "title_type", "register_type", "issue_date", "guarantee_status",
@@ -486,14 +489,16 @@ def title_search_core(t, latest: str = "struct", as_of: Column | None = None) ->
     return j.select(*cols)
 
 
-def title_search_wide(t, latest: str = "struct", as_of: Column | None = None) -> DataFrame:
+def title_search_wide(t, latest: str = "struct", as_of: Column | None = None,
+                      primary_estate: str = "min") -> DataFrame:
     """One row per title with nested arrays, counts, lineage lists and search text."""
     tt = t.title
     base = tt.select("title_no", F.col("status").alias("title_status"), F.col("type").alias("title_type"),
                      "register_type", "issue_date", "guarantee_status", opt(tt, "provisional"),
                      opt(tt, "maori_land"), opt(tt, "ste_id", "bigint"), opt(tt, "sur_wrk_id", "bigint"),
                      "ldt_loc_id", "is_current", (F.col("status") == "LIVE").alias("is_live"))
-    j = star_left(base, _search_branches(t, with_arrays=True, latest=latest), "title_no", "k")
+    j = star_left(base, _search_branches(t, with_arrays=True, latest=latest, primary_estate=primary_estate),
+                  "title_no", "k")
     zero = F.lit(0).cast("bigint")
 
     def arr(c):
