@@ -9,18 +9,23 @@ from pyspark.sql import functions as F
 from tenura.plans.conform import numeric_text, to_long
 
 # Characters Python's str.strip() treats as ASCII whitespace.
-_WS = "[\\t\\n\\x0B\\f\\r ]"
+_WS = "\t\n\x0b\x0c\r "
 
 
 def strip(c: Column) -> Column:
     """Strip leading/trailing whitespace (tab, LF, VT, FF, CR, space)."""
-    return F.regexp_replace(c, f"^{_WS}+|{_WS}+$", "")
+    return F.btrim(c, F.lit(_WS))
 
 
 def clean_value(c: Column) -> Column:
-    """C15 (strictest): strip; blank, all-'*' and all-NUL filler -> NULL."""
+    """C15 (strictest): strip; blank, all-'*' and all-NUL filler -> NULL.
+
+    Plain trims instead of regular expressions: this runs on every landed value.
+    A value is filler when trimming its filler character leaves nothing.
+    """
     s = strip(c.cast("string"))
-    return F.when((s == "") | s.rlike("^\\*+$") | s.rlike("^\\x00+$"), F.lit(None).cast("string")).otherwise(s)
+    filler = (s == "") | (F.btrim(s, F.lit("*")) == "") | (F.btrim(s, F.lit("\x00")) == "")
+    return F.when(filler, F.lit(None).cast("string")).otherwise(s)
 
 
 def land(df: DataFrame) -> DataFrame:

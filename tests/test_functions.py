@@ -152,3 +152,15 @@ def test_every_silver_spec_conforms_a_bronze_row(spark):
         for tgt, col, kind in spec:
             if src[col] == sample[kind]:
                 assert row[tgt] == expect[kind], (name, tgt)
+
+
+def test_clean_value_equals_the_regex_form(spark):
+    from tenura.sources.landing import clean_value
+    vals = [" x ", "\t\nx\r ", "", "   ", "****", "\x00\x00", "a*", "* *", " ** ", "\x00 \x00", None, "x\x0b",
+            "\x0c\x0c", "*\x00", " a b ", " x ", "**x**"]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    ws = "[\\t\\n\\x0B\\f\\r ]"
+    s = F.regexp_replace(F.col("v"), f"^{ws}+|{ws}+$", "")
+    old = F.when((s == "") | s.rlike("^\\*+$") | s.rlike("^\\x00+$"), F.lit(None).cast("string")).otherwise(s)
+    rows = df.select("v", old.alias("old"), clean_value(F.col("v")).alias("new")).collect()
+    assert [(r.v, r.new) for r in rows] == [(r.v, r.old) for r in rows]
