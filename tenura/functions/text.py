@@ -42,7 +42,8 @@ def fold_text(col) -> Column:
     precomposed form, which is what NFC-then-translate gives for these vowels.
     """
     c = _c(col)
-    c = F.regexp_replace(c, "([aeiouAEIOU])\u0304", "$1")
+    # the regular expression only runs on text that holds a combining macron
+    c = F.when(F.instr(c, "\u0304") > 0, F.regexp_replace(c, "([aeiouAEIOU])\u0304", "$1")).otherwise(c)
     return F.lower(F.translate(c, MACRON_FROM, MACRON_TO))
 
 
