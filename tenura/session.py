@@ -18,6 +18,10 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # let AQE pick a shuffled hash join over sort-merge when every partition's
+    # measured build side is under this size (star joins of per-title aggregates);
+    # it must be >= spark.sql.adaptive.advisoryPartitionSizeInBytes (64MB)
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
