@@ -9,8 +9,7 @@ on a key again and again, so later sort-merge joins skip the shuffle.
 
 from __future__ import annotations
 
-import json
-import os
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,31 +46,50 @@ def sized_write(df: DataFrame, path: str, rows_per_file: int, mode: str = "overw
     (df.hint("rebalance").write.mode(mode).option("maxRecordsPerFile", rows_per_file).parquet(path))
 
 
-def refresh(spark: SparkSession, df: DataFrame, root: str, name: str, keys: list[str] | None = None) -> str:
+def _fs(spark: SparkSession, path: str):
+    """Hadoop FileSystem for ``path`` (local, HDFS or an object store alike)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _versions(spark: SparkSession, root: str, name: str) -> list[str]:
+    """Committed versions of ``name``, oldest first: a version counts once the
+    write job has committed it (its ``_SUCCESS`` marker exists)."""
+    fs, _ = _fs(spark, root)
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}/v-*/_SUCCESS")
+    found = fs.globStatus(pattern) or []
+    return sorted(str(st.getPath().getParent().toString()) for st in found)
+
+
+def refresh(spark: SparkSession, df: DataFrame, root: str, name: str, keys: list[str] | None = None,
+            keep: int = 2) -> str:
     """K3: full refresh of a materialised table.
 
-    The new version is written to a fresh directory under ``root``; only after
-    the write job succeeded is the pointer file ``<root>/<name>.current``
-    replaced (an atomic rename), so readers never see a half-written table.
+    Each refresh writes a new version directory ``<root>/<name>/v-<time>-<id>``;
+    Spark's job commit writes its ``_SUCCESS`` marker last, and readers open the
+    newest committed version, so they never see a half-written table (no rename
+    or pointer file, so it works the same on HDFS and object stores).  After a
+    successful write, committed versions beyond the newest ``keep`` are deleted.
     Returns the new version path; ``read_current`` opens the current one.
     """
-    version = os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+    stamp = f"{int(time.time() * 1000):015d}"
+    version = f"{root.rstrip('/')}/{name}/v-{stamp}-{uuid.uuid4().hex[:8]}"
     if keys:
         cluster_write(df, keys, version)
     else:
         df.write.mode("error").parquet(version)
-    os.makedirs(root, exist_ok=True)
-    tmp = os.path.join(root, f".{name}.current.{uuid.uuid4().hex}")
-    with open(tmp, "w") as f:
-        json.dump({"path": version}, f)
-    os.replace(tmp, os.path.join(root, f"{name}.current"))
+    for old in _versions(spark, root, name)[:-keep] if keep > 0 else []:
+        fs, p = _fs(spark, old)
+        fs.delete(p, True)
     return version
 
 
 def read_current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """K3: open the current version of a materialised table."""
-    with open(os.path.join(root, f"{name}.current")) as f:
-        return spark.read.parquet(json.load(f)["path"])
+    """K3: open the newest committed version of a materialised table."""
+    versions = _versions(spark, root, name)
+    if not versions:
+        raise FileNotFoundError(f"no committed version of {name} under {root}")
+    return spark.read.parquet(versions[-1])
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -30,12 +30,21 @@ def test_cluster_and_sized_write(spark, tmp_path):
     assert max(r[1] for r in files) <= 100 and sum(r[1] for r in files) == 1000
 
 
-def test_refresh_swaps_pointer_atomically(spark, tmp_path):
+def test_refresh_reads_newest_committed_version(spark, tmp_path):
     root = str(tmp_path / "m")
     v1 = K.refresh(spark, spark.range(5), root, "dim_title_search")
     assert K.read_current(spark, root, "dim_title_search").count() == 5
     v2 = K.refresh(spark, spark.range(7), root, "dim_title_search", keys=["id"])
     assert v1 != v2 and K.read_current(spark, root, "dim_title_search").count() == 7
+    # a version still being written (no commit marker yet) is not visible
+    half = tmp_path / "m" / "dim_title_search" / "v-999999999999999-zzzz"
+    half.mkdir()
+    (half / "part-0.parquet").write_bytes(b"not yet")
+    assert K.read_current(spark, root, "dim_title_search").count() == 7
+    # older committed versions beyond `keep` are pruned after a successful refresh
+    K.refresh(spark, spark.range(9), root, "dim_title_search", keep=2)
+    assert not (tmp_path / "m" / "dim_title_search" / v1.rsplit("/", 1)[1]).exists()
+    assert K.read_current(spark, root, "dim_title_search").count() == 9
 
 
 def test_export_csv_has_header(spark, tmp_path):
