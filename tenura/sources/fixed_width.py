@@ -6,15 +6,19 @@ size, little-endian), 32-byte field descriptors from byte 32 (name in bytes
 records, each starting with a deletion byte ('*' = deleted); 0x1A ends the file.
 
 Reading is splittable: the driver reads only the headers and cuts every file
-into record ranges; each range is one input partition, read with a single
-seek by an executor and returned as Arrow record batches.  All shards of a
+into record ranges; each range is one input partition, read with ranged reads
+by an executor and returned as Arrow record batches.  Files are opened through
+pyarrow's filesystem layer, so local paths and shared-storage URIs (file://,
+hdfs://, s3://, ...) are read the same way.  All shards of a
 table (``name.dbf``, ``name.2.dbf``, ...) are one DataFrame.  Values land as
 strings (bronze); typing is done by ``tenura.sources.landing.decode`` with the
 field types from the header, as JVM expressions.
 
 Writing (``df.write.format("dbf")``) emits one shard per partition in
 parallel; each shard carries its own header, so shards written by different
-tasks need not agree on field widths.
+tasks need not agree on field widths.  The writer targets a mounted path and
+holds one partition's encoded records while it sizes the fields, so bound the
+partition size (``repartition``) before writing large tables.
 """
 
 from __future__ import annotations
@@ -53,14 +57,27 @@ class Layout:
     fields: tuple[Field, ...]
 
 
+def _open_fs(path: str):
+    """(pyarrow FileSystem, path inside it) for a local path or a URI (file://,
+    hdfs://, s3://, ...), so the same code reads shared storage on a cluster."""
+    from pyarrow import fs as pafs
+    return pafs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+
+
+def _scheme(path: str) -> str:
+    return path[:path.index("://") + 3] if "://" in path else ""
+
+
 def read_layout(path: str) -> Layout:
     """Parse a file's header and field descriptors (a few hundred bytes)."""
-    with open(path, "rb") as f:
-        head = f.read(HEADER_SIZE)
+    fs, inner = _open_fs(path)
+    with fs.open_input_file(inner) as f:
+        size = f.size()
+        head = f.read_at(HEADER_SIZE, 0)
         if len(head) < HEADER_SIZE:
             raise ValueError(f"{path}: not a fixed-width record file (short header)")
         n_records, header_size, record_size = struct.unpack("<IHH", head[4:12])
-        desc = f.read(max(header_size - HEADER_SIZE, 0))
+        desc = f.read_at(max(header_size - HEADER_SIZE, 0), HEADER_SIZE)
     fields, offset, i = [], 1, 0
     while i + DESCRIPTOR_SIZE <= len(desc) and desc[i] != FIELD_TERMINATOR:
         d = desc[i:i + DESCRIPTOR_SIZE]
@@ -70,19 +87,31 @@ def read_layout(path: str) -> Layout:
         fields.append(Field(name, ftype, length, offset))
         offset += length
         i += DESCRIPTOR_SIZE
-    size = os.path.getsize(path)
     available = max(size - header_size, 0) // record_size if record_size else 0
     return Layout(min(n_records, available), header_size, record_size, tuple(fields))
 
 
 def expand_paths(path: str) -> list[str]:
-    """Comma-separated paths or globs, each glob sorted (shard order kept)."""
+    """Comma-separated paths, directories (their ``*.dbf``) or globs in the last
+    path component; each expansion sorted, so shard order is kept."""
+    import fnmatch
+
+    from pyarrow import fs as pafs
     out = []
     for p in [p.strip() for p in path.split(",") if p.strip()]:
-        hits = sorted(_glob.glob(p)) if any(ch in p for ch in "*?[") else [p]
-        if os.path.isdir(p):
-            hits = sorted(_glob.glob(os.path.join(p, "*.dbf")))
-        out.extend(hits)
+        fs, inner = _open_fs(p)
+        pre = _scheme(p)
+        base = inner.rstrip("/").rsplit("/", 1)[-1]
+        if any(ch in base for ch in "*?["):
+            parent, pattern = inner.rstrip("/").rsplit("/", 1)[0] or "/", base
+        elif fs.get_file_info(inner).type == pafs.FileType.Directory:
+            parent, pattern = inner, "*.dbf"
+        else:
+            out.append(p)
+            continue
+        infos = fs.get_file_info(pafs.FileSelector(parent, allow_not_found=True))
+        out.extend(sorted(pre + i.path for i in infos
+                          if i.type == pafs.FileType.File and fnmatch.fnmatch(i.base_name, pattern)))
     if not out:
         raise FileNotFoundError(f"no fixed-width files match {path!r}")
     return out
@@ -125,11 +154,11 @@ class FixedWidthReader(DataSourceReader):
         names = [f.name for f in self.schema.fields if f.name != "source_file"]
         by_name = {f.name: f for f in lay.fields}
         step = 65536  # records per Arrow batch
-        with open(partition.path, "rb") as fh:
+        fs, inner = _open_fs(partition.path)
+        with fs.open_input_file(inner) as fh:
             for lo in range(partition.start, partition.stop, step):
                 hi = min(lo + step, partition.stop)
-                fh.seek(lay.header_size + lo * lay.record_size)
-                buf = fh.read((hi - lo) * lay.record_size)
+                buf = fh.read_at((hi - lo) * lay.record_size, lay.header_size + lo * lay.record_size)
                 n = len(buf) // lay.record_size
                 if n == 0:
                     break

@@ -92,3 +92,15 @@ def test_writer_round_trip(spark, tmp_path):
 def test_missing_path_raises(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         FW.expand_paths(str(tmp_path / "nothing*.dbf"))
+
+
+def test_read_through_uri_glob_and_directory(spark, tmp_path):
+    df = spark.range(0, 300, numPartitions=3).selectExpr("id", "concat('n', cast(id as string)) as name")
+    out = str(tmp_path / "shards")
+    df.write.format("dbf").mode("overwrite").save(out)
+    paths = FW.expand_paths("file://" + out + "/part-*.dbf")
+    assert len(paths) == 3 and all(p.startswith("file://") for p in paths) and paths == sorted(paths)
+    for spec in ("file://" + out + "/part-*.dbf", out):
+        back = FW.read_fixed_width(spark, spec)
+        assert back.count() == 300
+        assert sorted(int(r["id"]) for r in back.select("id").collect()) == list(range(300))
