@@ -122,6 +122,35 @@ def field_types(path: str) -> dict[str, str]:
     return {f.name: f.type for f in read_layout(expand_paths(path)[0]).fields}
 
 
+# Characters Python's str.strip() removes (str.isspace() below U+3001; none above).
+_PY_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
+def _decode_field(cells, encoding: str, errors: str):
+    """One field of a batch of records (n x length bytes) -> Arrow strings.
+
+    Vectorised: trailing NUL bytes dropped, UTF-8 validated by a cast, then
+    trimmed like ``str.strip()``.  Text in another encoding, or a batch with
+    bytes that are not UTF-8, is decoded value by value with ``errors``.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    n, length = cells.shape
+    block = np.ascontiguousarray(cells)
+    if encoding.lower().replace("-", "").replace("_", "") in ("utf8", "ascii") and length > 0:
+        arr = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), n, [None, pa.py_buffer(block.tobytes())])
+        try:
+            text = arr.cast(pa.binary()).cast(pa.string())
+            if encoding.lower() != "ascii" or pc.all(pc.string_is_ascii(text)).as_py() is not False:
+                return pc.utf8_trim(pc.utf8_rtrim(text, characters="\x00"), characters=_PY_SPACE)
+        except pa.ArrowInvalid:
+            pass
+    raw = block.view(f"S{max(length, 1)}").ravel() if length else [b""] * n
+    return pa.array([v.decode(encoding, errors).strip() for v in (raw.tolist() if length else raw)], pa.string())
+
+
 class RecordRange(InputPartition):
     def __init__(self, path: str, start: int, stop: int):
         super().__init__((path, start, stop))
@@ -174,9 +203,7 @@ class FixedWidthReader(DataSourceReader):
                     if f is None:
                         cols.append(pa.nulls(len(rec), pa.string()))
                         continue
-                    raw = np.ascontiguousarray(rec[:, f.offset:f.offset + f.length]).view(f"S{f.length}").ravel()
-                    vals = [v.decode(self.encoding, self.errors).strip() for v in raw.tolist()]
-                    cols.append(pa.array(vals, pa.string()))
+                    cols.append(_decode_field(rec[:, f.offset:f.offset + f.length], self.encoding, self.errors))
                 if self.with_file:
                     cols.append(pa.array([partition.path] * len(rec), pa.string()))
                     batch_names = names + ["source_file"]

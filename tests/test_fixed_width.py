@@ -104,3 +104,26 @@ def test_read_through_uri_glob_and_directory(spark, tmp_path):
         back = FW.read_fixed_width(spark, spec)
         assert back.count() == 300
         assert sorted(int(r["id"]) for r in back.select("id").collect()) == list(range(300))
+
+
+def test_vectorised_field_decode_equals_python_decode():
+    import random
+
+    import numpy as np
+
+    from tenura.sources.fixed_width import _decode_field
+    rnd = random.Random(3)
+    alphabet = [b"a", b"Z", b"1", b" ", b"\t", b"\x00", b"\x1c", b"\xc4\x81", b"*", b"\r"]
+    for trial in range(30):
+        length = rnd.randint(1, 9)
+        vals = []
+        for _ in range(50):
+            v = b"".join(rnd.choice(alphabet) for _ in range(length))[:length]
+            vals.append(v.ljust(length, b" "))
+        if trial % 5 == 0:
+            vals[7] = (b"\xff" + vals[7])[:length]          # not UTF-8: the per-value path
+        cells = np.frombuffer(b"".join(vals), dtype=np.uint8).reshape(len(vals), length)
+        want = [v.decode("utf-8", "replace").strip() for v in cells.view(f"S{length}").ravel().tolist()]
+        assert _decode_field(cells, "utf-8", "replace").to_pylist() == want
+        want_l1 = [v.decode("latin-1").strip() for v in cells.view(f"S{length}").ravel().tolist()]
+        assert _decode_field(cells, "latin-1", "replace").to_pylist() == want_l1
