@@ -1057,8 +1057,7 @@ INSTRUMENT_RENAMES = {"lodged_dat": "lodged_date", "priority_n": "priority_no",
 def q_scan_fixed_width(spark, sf_dir):
     ti = tables(spark, sf_dir).title_instrument
     path = _scratch(spark, "dbf")
-    FW.register(spark)
-    ti.repartition(4).write.format("dbf").mode("overwrite").save(path)
+    FW.write_fixed_width(ti.repartition(4), path)
     raw = FW.read_fixed_width(spark, f"{path}/*.dbf", recordsPerPartition=256)
     typed = LD.decode(raw, FW.field_types(f"{path}/*.dbf"))
     return typed.withColumnsRenamed(INSTRUMENT_RENAMES)
@@ -1068,8 +1067,7 @@ def q_scan_fixed_width(spark, sf_dir):
 def q_scan_shards(spark, sf_dir):
     tit = tables(spark, sf_dir).title_instrument_title
     path = _scratch(spark, "shards")
-    FW.register(spark)
-    tit.repartition(3).write.format("dbf").mode("append").option("shardPrefix", "title-instrument-title").save(path)
+    FW.write_fixed_width(tit.repartition(3), path, mode="append", shardPrefix="title-instrument-title")
     raw = FW.read_fixed_width(spark, f"{path}/title-instrument-title-*.dbf", recordsPerPartition=8192,
                               includeSourceFile=True)
     typed = LD.decode(raw.drop("source_file"), {"tin_id": "N", "ttl_title_": "C"})

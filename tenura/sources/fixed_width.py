@@ -249,6 +249,8 @@ class FixedWidthWriter(DataSourceWriter):
         self.overwrite = overwrite
         self.encoding = options.get("encoding", "utf-8")
         self.prefix = options.get("shardPrefix", "part")
+        w = options.get("fieldWidths")
+        self.widths = [min(max(int(x), 1), 254) for x in w.split(",")] if w else None
 
     def write(self, iterator):
         from pyspark import TaskContext
@@ -256,25 +258,43 @@ class FixedWidthWriter(DataSourceWriter):
         ctx = TaskContext.get()
         pid = ctx.partitionId() if ctx else 0
         codes = [_field_code(f.dataType) for f in self.schema.fields]
-        rows = [[_text(v, c).encode(self.encoding) for v, c in zip(row, codes)] for row in iterator]
-        widths = [max([len(r[i]) for r in rows] + [1]) for i in range(len(codes))]
-        widths = [min(w, 254) for w in widths]
         os.makedirs(self.path, exist_ok=True)
         final = os.path.join(self.path, f"{self.prefix}-{pid:05d}.dbf")
         tmp = os.path.join(self.path, f".{self.prefix}-{pid:05d}-{uuid.uuid4().hex}.tmp")
-        header_size = HEADER_SIZE + DESCRIPTOR_SIZE * len(codes) + 1
-        record_size = 1 + sum(widths)
+        if self.widths is not None:
+            # widths measured beforehand (write_fixed_width): stream the records and
+            # patch the record count into the header at the end
+            widths = self.widths
+            with open(tmp, "wb") as out:
+                self._header(out, 0, codes, widths)
+                n = 0
+                for row in iterator:
+                    enc = [_text(v, c).encode(self.encoding) for v, c in zip(row, codes)]
+                    out.write(b" " + b"".join(v[:w].ljust(w, b" ") for v, w in zip(enc, widths)))
+                    n += 1
+                out.write(bytes([END_OF_FILE]))
+                out.seek(4)
+                out.write(struct.pack("<I", n))
+            return ShardWritten(tmp, final)
+        rows = [[_text(v, c).encode(self.encoding) for v, c in zip(row, codes)] for row in iterator]
+        widths = [max([len(r[i]) for r in rows] + [1]) for i in range(len(codes))]
+        widths = [min(w, 254) for w in widths]
         with open(tmp, "wb") as out:
-            out.write(struct.pack("<B3xIHH20x", 3, len(rows), header_size, record_size))
-            for f, code, w in zip(self.schema.fields, codes, widths):
-                name = f.name.upper().encode("ascii", "replace")[:10]
-                out.write(name.ljust(11, b"\x00") + code.encode() + b"\x00" * 4 + bytes([w]) + b"\x00" * 15)
-            out.write(bytes([FIELD_TERMINATOR]))
+            self._header(out, len(rows), codes, widths)
             for r in rows:
                 out.write(b" " + b"".join(v[:w].ljust(w, b" ") for v, w in zip(r, widths)))
             out.write(bytes([END_OF_FILE]))
         return ShardWritten(tmp, final)
 
+    def _header(self, out, n_rows: int, codes, widths) -> None:
+        header_size = HEADER_SIZE + DESCRIPTOR_SIZE * len(codes) + 1
+        record_size = 1 + sum(widths)
+        out.write(struct.pack("<B3xIHH20x", 3, n_rows, header_size, record_size))
+        for f, code, w in zip(self.schema.fields, codes, widths):
+            name = f.name.upper().encode("ascii", "replace")[:10]
+            out.write(name.ljust(11, b"\x00") + code.encode() + b"\x00" * 4 + bytes([w]) + b"\x00" * 15)
+        out.write(bytes([FIELD_TERMINATOR]))
+
     def commit(self, messages):
         finals = set()
         for m in messages:
@@ -323,6 +343,45 @@ def register(spark) -> None:
     spark.dataSource.register(FixedWidthDataSource)
 
 
+def measured_widths(df) -> list[int]:
+    """Field widths in bytes for ``df`` as the writer encodes it, from one
+    distributed aggregate: dates 8, flags 1, text/numbers the longest UTF-8
+    value (floats at least 24, the longest repr of a double)."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+    aggs = []
+    for i, f in enumerate(df.schema.fields):
+        code = _field_code(f.dataType)
+        if code == "D":
+            aggs.append(F.lit(8).alias(f"w{i}"))
+        elif code == "L":
+            aggs.append(F.lit(1).alias(f"w{i}"))
+        else:
+            w = F.coalesce(F.max(F.octet_length(F.col(f.name).cast("string"))), F.lit(1))
+            if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+                w = F.greatest(w, F.lit(24))
+            elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+                w = F.greatest(w, F.lit(26))      # Python prints six fractional digits
+            aggs.append(w.alias(f"w{i}"))
+    row = df.agg(*aggs).first()
+    return [min(max(int(row[f"w{i}"]), 1), 254) for i in range(len(df.schema.fields))]
+
+
+def write_fixed_width(df, path: str, mode: str = "overwrite", **options) -> None:
+    """Write ``df`` as fixed-width shards (one per partition) with the field
+    widths measured first, so every task streams its records (constant memory)
+    and all shards share one layout."""
+    from pyspark.sql import types as T
+    register(df.sparkSession)
+    w = df.write.format("dbf").mode(mode).options(**{k: str(v) for k, v in options.items()})
+    # nested and binary values print differently in Python than in Spark's cast;
+    # such frames keep the writer's own (in-memory) sizing
+    if not any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
+               for f in df.schema.fields):
+        w = w.option("fieldWidths", ",".join(map(str, measured_widths(df))))
+    w.save(path)
+
+
 def read_fixed_width(spark, path: str, **options):
     """All shards matching ``path`` as one bronze (all-string) DataFrame."""
     register(spark)

@@ -127,3 +127,19 @@ def test_vectorised_field_decode_equals_python_decode():
         assert _decode_field(cells, "utf-8", "replace").to_pylist() == want
         want_l1 = [v.decode("latin-1").strip() for v in cells.view(f"S{length}").ravel().tolist()]
         assert _decode_field(cells, "latin-1", "replace").to_pylist() == want_l1
+
+
+def test_streaming_writer_with_measured_widths(spark, tmp_path):
+    import datetime as dt
+    from decimal import Decimal
+    rows = [(1, "Ānaru", dt.date(2020, 1, 5), True, Decimal("12.5000"), 1e-05, dt.datetime(2020, 1, 5, 10, 30, 0, 100000)),
+            (22, "lee", None, False, Decimal("-3.2500"), 123456.75, None),
+            (333, None, dt.date(1999, 12, 31), None, None, None, dt.datetime(2021, 2, 3))]
+    df = spark.createDataFrame(rows, "id long, name string, d date, ok boolean, amt decimal(20,4), f double, ts timestamp")
+    a, b = str(tmp_path / "measured"), str(tmp_path / "in_memory")
+    FW.write_fixed_width(df.repartition(2), a)
+    df.repartition(2).write.format("dbf").mode("overwrite").save(b)
+    got_a = sorted(tuple(r) for r in FW.read_fixed_width(spark, a).collect())
+    got_b = sorted(tuple(r) for r in FW.read_fixed_width(spark, b).collect())
+    assert got_a == got_b and len(got_a) == 3
+    assert ("1", "Ānaru", "20200105", "T", "12.5000", "1e-05", "2020-01-05 10:30:00.100000") in got_a
