@@ -979,7 +979,7 @@ def q_stamp_provenance(spark, sf_dir):
 def _inventory(t):
     e = t.raw("events")
     return e.select(
-        F.concat(F.lit("stage/landonline-"), (F.col("user_id") % 40).cast("string"), F.lit("-"),
+        F.concat(F.lit("stage/registry-"), (F.col("user_id") % 40).cast("string"), F.lit("-"),
                  F.col("event_type"), F.lit(".dbf")).alias("relative_path"),
         F.when(F.col("user_id") % 10 == 0, F.lit(None).cast("string"))
          .otherwise(F.col("user_id").cast("string")).alias("md5"),
@@ -1007,7 +1007,7 @@ def q_register_new_files(spark, sf_dir):
 
 def _file_names(t):
     e = t.raw("events")
-    return e.select(F.concat(F.lit("landonline-"), F.col("event_type"), F.lit("."),
+    return e.select(F.concat(F.lit("registry-"), F.col("event_type"), F.lit("."),
                              F.col("user_id").cast("string"), F.lit(".dbf")).alias("file_name"), "ts")
 
 
