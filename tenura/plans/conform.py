@@ -125,54 +125,54 @@ SILVER_SPECS: dict[str, list[tuple[str, str, str]]] = {
         ("description", "descriptio", "nstr"), ("is_current", "status", "flag"),
     ],
     # address register extracts
-    "aims_address": [
+    "address_point": [
         ("address_id", "address_id", "long"), ("change_id", "change_id", "long"),
         ("primary_address", "primary_ad", "str"), ("address_lifecycle_stage", "address_li", "str"),
         ("address_position_type", "address_pr", "str"), ("alternative_address_type", "address_ma", "str"),
         ("addressable_object_id", "addressabl", "long"), ("address_class", "address_cl", "str"),
         ("parcel_id", "parcel_id", "long"),
     ],
-    "aims_address_component": [
+    "address_component": [
         ("address_component_id", "address_co", "long"), ("address_id", "address_id", "long"),
         ("component_type", "address__1", "str"), ("component_value", "address__2", "nstr"),
         ("sequence", "address__3", "long"), ("language_code", "address__4", "str"),
         ("begin_lifespan", "begin_life", "date"), ("end_lifespan", "end_lifesp", "date"),
     ],
-    "aims_address_component_type": [
+    "address_component_type": [
         ("component_type", "address_co", "str"), ("description", "address__1", "nstr"),
         ("active_flag", "address__2", "str"), ("notes", "address__3", "nstr"),
     ],
-    "aims_address_reference": [
+    "address_reference": [
         ("address_reference_id", "address_re", "long"), ("address_id", "address_id", "long"),
         ("reference_object_type", "address__1", "str"), ("reference_value", "address__2", "nstr"),
     ],
-    "aims_address_reference_object_type": [
+    "address_reference_object_type": [
         ("reference_object_type", "address_re", "str"), ("description", "address__1", "nstr"),
     ],
-    "aims_address_class": [("address_class", "address_cl", "str"), ("description", "address__1", "nstr")],
-    "aims_address_lifecycle_stage": [
+    "address_class": [("address_class", "address_cl", "str"), ("description", "address__1", "nstr")],
+    "address_lifecycle_stage": [
         ("address_lifecycle_stage", "address_li", "str"), ("description", "address__1", "nstr"),
     ],
-    "aims_address_position_type": [
+    "address_position_type": [
         ("address_position_type", "address_po", "str"), ("description", "address__1", "nstr"),
     ],
-    "aims_addressable_object": [
+    "addressable_object": [
         ("addressable_object_id", "addressabl", "long"), ("object_type", "addressa_1", "str"),
         ("lifecycle_stage", "addressa_2", "str"), ("organisation_id", "organisati", "long"),
     ],
-    "aims_addressable_object_external": [
+    "addressable_object_external": [
         ("addressable_object_id", "addressabl", "long"), ("object_type", "addressa_1", "str"),
         ("lifecycle_stage", "addressa_2", "str"), ("external_id", "external_i", "nstr"),
         ("external_system", "external_1", "nstr"),
     ],
-    "aims_addressable_object_lifecycle_stage": [
+    "addressable_object_lifecycle_stage": [
         ("lifecycle_stage", "addressabl", "str"), ("description", "addressa_1", "nstr"),
     ],
-    "aims_addressable_object_type": [("object_type", "addressabl", "str"), ("description", "addressa_1", "nstr")],
-    "aims_alternative_address_type": [
+    "addressable_object_type": [("object_type", "addressabl", "str"), ("description", "addressa_1", "nstr")],
+    "alternative_address_type": [
         ("alternative_address_type", "alternativ", "str"), ("description", "alternat_1", "nstr"),
     ],
-    "aims_organisation": [
+    "address_organisation": [
         ("organisation_id", "organisati", "long"), ("organisation_name", "organisa_1", "nstr"),
         ("address_id", "address_id", "long"), ("addressable_object_id", "addressabl", "long"),
     ],

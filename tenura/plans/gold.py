@@ -319,7 +319,7 @@ def title_360(t, latest: str = "struct", appellation_status: str = "CURR", edge_
     par = t.title_parcel_association.groupBy(F.col("ttl_title_no").alias("k")).agg(
         A.n_distinct("par_id").alias("parcel_count"))
     # address and appellations
-    addr = title_address(dim_address(t.aims_address, t.aims_address_component, t.title_parcel_association)) \
+    addr = title_address(dim_address(t.address_point, t.address_component, t.title_parcel_association)) \
         .groupBy(F.col("title_no").alias("k")).agg(F.min("full_address").alias("primary_address"))
     appel = title_appellation(t.title_parcel_association, t.appellation) \
         .where(F.col("appellation_status") == appellation_status) \

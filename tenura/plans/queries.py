@@ -68,7 +68,7 @@ def q_filter_in_codes(spark, sf_dir):
 
 @register("filter_open_interval")
 def q_filter_open_interval(spark, sf_dir):
-    c = tables(spark, sf_dir).aims_address_component
+    c = tables(spark, sf_dir).address_component
     return c.where(FL.still_open("end_lifecycle")).select("address_id", "component_type", "component_value")
 
 
@@ -213,7 +213,7 @@ def q_join_coalesced_key(spark, sf_dir):
 @register("join_fallback_attr")
 def q_join_fallback_attr(spark, sf_dir):
     t = tables(spark, sf_dir)
-    addr = G.address_search_table(G.dim_address(t.aims_address, t.aims_address_component,
+    addr = G.address_search_table(G.dim_address(t.address_point, t.address_component,
                                                 t.title_parcel_association))
     j = J.inherit_attr(t.title_hierarchy, addr, "ttl_title_no_prior", "ttl_title_no_flw", "title_no",
                        "full_address", "address")
@@ -323,7 +323,7 @@ def q_agg_listagg_ordered(spark, sf_dir):
 
 @register("agg_pivot_eav")
 def q_agg_pivot_eav(spark, sf_dir):
-    return G.address_parts(tables(spark, sf_dir).aims_address_component)
+    return G.address_parts(tables(spark, sf_dir).address_component)
 
 
 @register("agg_preview_top8")
@@ -388,7 +388,7 @@ def q_topk_by_count(spark, sf_dir):
 @register("distinct_rows")
 def q_distinct_rows(spark, sf_dir):
     t = tables(spark, sf_dir)
-    d = G.dim_address(t.aims_address, t.aims_address_component, t.title_parcel_association)
+    d = G.dim_address(t.address_point, t.address_component, t.title_parcel_association)
     return O.distinct_cols(d.where(F.col("title_no").isNotNull()), ["title_no", "address_id", "full_address"])
 
 
@@ -397,13 +397,13 @@ def q_distinct_rows(spark, sf_dir):
 # ---------------------------------------------------------------------------
 @register("fn_fold_text")
 def q_fn_fold_text(spark, sf_dir):
-    c = tables(spark, sf_dir).aims_address_component
+    c = tables(spark, sf_dir).address_component
     return c.select("address_id", "component_type", X.fold_text("component_value").alias("folded"))
 
 
 @register("fn_join_skip_null")
 def q_fn_join_skip_null(spark, sf_dir):
-    p = G.address_parts(tables(spark, sf_dir).aims_address_component)
+    p = G.address_parts(tables(spark, sf_dir).address_component)
     return p.select("address_id", X.join_parts(", ", "road_name", "suburb", "city", "postcode").alias("joined"))
 
 
@@ -415,7 +415,7 @@ def q_fn_person_name(spark, sf_dir):
 
 @register("fn_street_number")
 def q_fn_street_number(spark, sf_dir):
-    p = G.address_parts(tables(spark, sf_dir).aims_address_component)
+    p = G.address_parts(tables(spark, sf_dir).address_component)
     return p.select("address_id", X.street_no("street_number", "street_number_high",
                                               "street_number_suffix").alias("street_no"))
 
@@ -460,7 +460,7 @@ def q_fn_file_parts(spark, sf_dir):
 @register("fn_address_query_parse")
 def q_fn_address_query_parse(spark, sf_dir):
     t = tables(spark, sf_dir)
-    p = G.address_parts(t.aims_address_component)
+    p = G.address_parts(t.address_component)
     q = p.select("address_id", F.concat_ws(" ", F.concat(F.col("street_number"),
                                                           F.coalesce(F.col("street_number_suffix"), F.lit(""))),
                                             "road_name", "road_type").alias("q"))
@@ -499,7 +499,7 @@ from tenura.plans import search as S  # noqa: E402
 
 
 def _dim_address(t):
-    return G.dim_address(t.aims_address, t.aims_address_component, t.title_parcel_association)
+    return G.dim_address(t.address_point, t.address_component, t.title_parcel_association)
 
 
 @register("dim_title")
@@ -589,7 +589,7 @@ def q_title_search_enriched(spark, sf_dir):
 @register("address_search_text")
 def q_address_search_text(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return G.address_search_text(t.aims_address, t.aims_address_component)
+    return G.address_search_text(t.address_point, t.address_component)
 
 
 @register("address_search_table")
@@ -768,8 +768,8 @@ from tenura.sources import manifest as M  # noqa: E402
 ADAPTER_TABLES = ["title", "title_estate", "title_instrument", "title_instrument_title", "transaction_type",
                   "title_document_reference", "title_encumbrance", "encumbrance", "encumbrance_share",
                   "encumbrancee", "title_hierarchy", "title_parcel_association", "appellation", "legal_description",
-                  "legal_description_parcel", "estate_share", "proprietor", "land_district", "aims_address",
-                  "aims_address_component"]
+                  "legal_description_parcel", "estate_share", "proprietor", "land_district", "address_point",
+                  "address_component"]
 # Silver tables the gold build requires.
 REQUIRED_SILVER = ADAPTER_TABLES + ["statute", "statute_action", "statutory_action_parcel"]
 

@@ -86,10 +86,10 @@ FROM estate_share es JOIN title_estate te ON es.ett_id = te.id
  JOIN customer c ON o.o_custkey = c.c_custkey""",
     "land_district": """SELECT CAST(n_nationkey AS BIGINT) AS ldt_loc_id, n_name AS name, substr(n_name, 1, 3) AS abbrev
 FROM nation WHERE n_nationkey < 20""",
-    "aims_address": """SELECT c_custkey AS address_id, c_custkey AS parcel_id,
+    "address_point": """SELECT c_custkey AS address_id, c_custkey AS parcel_id,
  CASE WHEN c_custkey % 8 = 0 THEN 'Retired' ELSE 'Current' END AS status, 'Road' AS address_class
 FROM customer""",
-    "aims_address_component": """SELECT c_custkey AS address_id, 'Address Number' AS component_type,
+    "address_component": """SELECT c_custkey AS address_id, 'Address Number' AS component_type,
  CAST(c_custkey % 200 AS VARCHAR) AS component_value,
  CASE WHEN c_custkey % 17 = 0 THEN '20200101' ELSE '00000000' END AS end_lifecycle
 FROM customer

@@ -280,7 +280,7 @@ class RegistryTables:
 
     # -- addresses ----------------------------------------------------------
     @cached_property
-    def aims_address(self) -> DataFrame:
+    def address_point(self) -> DataFrame:
         c = self.raw("customer")
         k = F.col("c_custkey")
         return c.select(
@@ -291,7 +291,7 @@ class RegistryTables:
         )
 
     @cached_property
-    def aims_address_component(self) -> DataFrame:
+    def address_component(self) -> DataFrame:
         c = self.raw("customer").select("c_custkey", "c_mktsegment", "c_nationkey")
         k = F.col("c_custkey")
 
