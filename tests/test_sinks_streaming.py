@@ -72,16 +72,16 @@ def test_manifest_stream_is_incremental_and_idempotent(spark, tmp_path):
     def snap(name, rows):
         (landing / name).write_text("\n".join(json.dumps(r) for r in rows))
 
-    snap("s1.json", [{"relative_path": "stage/lds-x-title.dbf", "size": 1, "md5": "a",
+    snap("s1.json", [{"relative_path": "stage/registry-x-title.dbf", "size": 1, "md5": "a",
                       "last_modified": "2024-01-01T00:00:00", "snapshot_at": "2024-01-01T00:00:00"},
-                     {"relative_path": "stage/lds-x-estate.dbf", "size": 2, "md5": None,
+                     {"relative_path": "stage/registry-x-estate.dbf", "size": 2, "md5": None,
                       "last_modified": "2024-01-01T00:00:00", "snapshot_at": "2024-01-01T00:00:00"}])
     run_manifest_stream(spark, str(landing), control, ckpt)
     assert spark.read.parquet(control).count() == 2
     # a later snapshot repeats one file (same md5, NULL md5 = '') and adds one new file
-    snap("s2.json", [{"relative_path": "stage/lds-x-estate.dbf", "size": 2, "md5": "",
+    snap("s2.json", [{"relative_path": "stage/registry-x-estate.dbf", "size": 2, "md5": "",
                       "last_modified": "2024-01-02T00:00:00", "snapshot_at": "2024-01-02T00:00:00"},
-                     {"relative_path": "stage/lds-x-title.dbf", "size": 3, "md5": "b",
+                     {"relative_path": "stage/registry-x-title.dbf", "size": 3, "md5": "b",
                       "last_modified": "2024-01-02T00:00:00", "snapshot_at": "2024-01-02T00:00:00"}])
     run_manifest_stream(spark, str(landing), control, ckpt)
     run_manifest_stream(spark, str(landing), control, ckpt)          # nothing new: no change
