@@ -33,6 +33,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     if master:
         builder = builder.master(master)
     builder = builder.config("spark.ui.enabled", "false")
+    # delete checkpoint files once their DataFrames are garbage collected (core
+    # setting: only takes effect when this call creates the context)
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
