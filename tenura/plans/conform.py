@@ -274,10 +274,11 @@ def _expr(df: DataFrame, source: str, kind: str, codes) -> Column:
     raise ValueError(f"unknown kind {kind}")
 
 
-def conform(df: DataFrame, spec, codes=CURRENT_CODES) -> DataFrame:
-    """One select that renames, casts, blanks -> NULL and flags, per spec."""
+def conform(df: DataFrame, spec, codes=CURRENT_CODES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One select that renames, casts, blanks -> NULL and flags, per spec;
+    ``keep`` columns (e.g. provenance) are carried through unchanged."""
     spec = SILVER_SPECS[spec] if isinstance(spec, str) else spec
-    return df.select(*[_expr(df, src, kind, codes).alias(tgt) for tgt, src, kind in spec])
+    return df.select(*[_expr(df, src, kind, codes).alias(tgt) for tgt, src, kind in spec], *keep)
 
 
 def reflag(df: DataFrame, codes, status: str = "status", flag: str = "is_current") -> DataFrame:

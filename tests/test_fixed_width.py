@@ -143,3 +143,28 @@ def test_streaming_writer_with_measured_widths(spark, tmp_path):
     got_b = sorted(tuple(r) for r in FW.read_fixed_width(spark, b).collect())
     assert got_a == got_b and len(got_a) == 3
     assert ("1", "Ānaru", "20200105", "T", "12.5000", "1e-05", "2020-01-05 10:30:00.100000") in got_a
+
+
+def test_extract_to_silver_in_one_job(spark, tmp_path):
+    import datetime as dt
+
+    from tenura.plans.ingest import ingest_extract
+    cols = ["title_no", "ldt_loc_id", "register_t", "ste_id", "issue_date", "guarantee_", "status", "type",
+            "provisiona", "sur_wrk_id", "ttl_title_", "ttl_titl_1", "maori_land", "audit_id"]
+    a = ("CB1/1", "3", "FREE", "12", "20200105", "GURT", "LIVE", "FHOL", "N", "7", "", "", "N", "99")
+    b = ("CB1/2", "3", "LEAS", "*****", "00000000", "", "HIST", "LEHI", "N", "8", "CB1/1", "", "", "100")
+    schema = ", ".join(f"{c} string" for c in cols)
+    shards = str(tmp_path / "title")
+    FW.write_fixed_width(spark.createDataFrame([a, b], schema).coalesce(1), shards, shardPrefix="title-1")
+    FW.write_fixed_width(spark.createDataFrame([a], schema).coalesce(1), shards, mode="append",
+                         shardPrefix="title-2")                 # the same row again, in another shard
+    out = ingest_extract(spark, shards + "/title-*.dbf", "title", str(tmp_path / "silver"), "2024-01-31", "run-1")
+    rows = {r["title_no"]: r for r in out.collect()}
+    assert sorted(rows) == ["CB1/1", "CB1/2"]                   # copies across shards collapse
+    r1, r2 = rows["CB1/1"], rows["CB1/2"]
+    assert (r1["ldt_loc_id"], r1["issue_date"], r1["is_current"], r1["ttl_title_no_srs"]) == \
+           (3, dt.date(2020, 1, 5), True, None)
+    assert (r2["ste_id"], r2["issue_date"], r2["is_current"], r2["guarantee_status"], r2["ttl_title_no_srs"]) == \
+           (None, None, False, None, "CB1/1")
+    assert r1["source_extract_date"] == dt.date(2024, 1, 31) and r1["run_id"] == "run-1"
+    assert r2["source_file"].endswith("title-1-00000.dbf")
