@@ -8,6 +8,11 @@ snapshot per (path, md5) and appends to the control table only the files not
 registered yet (left anti join on file name + md5, NULL md5 equal to '').
 ``trigger(availableNow=True)`` processes everything pending and stops, so the
 same code serves a nightly batch and a long-running stream.
+
+A micro-batch that is replayed after a failure (the append landed, the offset
+commit did not) appends nothing new: its files are already in the control
+table, and the anti-join removes them.  The sink is idempotent, so the stream
+registers each file exactly once.
 """
 
 from __future__ import annotations
