@@ -242,6 +242,19 @@ def _text(v, code: str) -> str:
     return str(v)
 
 
+# A field length is one header byte.
+MAX_FIELD_BYTES = 254
+
+
+def _check_widths(schema, sizes, limits=None) -> None:
+    """Refuse values that do not fit their field instead of cutting them."""
+    limits = limits or [MAX_FIELD_BYTES] * len(sizes)
+    over = [f.name for f, n, lim in zip(schema.fields, sizes, limits) if n > lim]
+    if over:
+        raise ValueError(f"values longer than their fixed-width field in {over} "
+                         f"(a field holds at most {MAX_FIELD_BYTES} bytes)")
+
+
 class FixedWidthWriter(DataSourceWriter):
     def __init__(self, options: dict, schema: StructType, overwrite: bool):
         self.path = options["path"]
@@ -250,7 +263,9 @@ class FixedWidthWriter(DataSourceWriter):
         self.encoding = options.get("encoding", "utf-8")
         self.prefix = options.get("shardPrefix", "part")
         w = options.get("fieldWidths")
-        self.widths = [min(max(int(x), 1), 254) for x in w.split(",")] if w else None
+        self.widths = [max(int(x), 1) for x in w.split(",")] if w else None
+        if self.widths is not None:
+            _check_widths(schema, self.widths)
 
     def write(self, iterator):
         from pyspark import TaskContext
@@ -270,6 +285,7 @@ class FixedWidthWriter(DataSourceWriter):
                 n = 0
                 for row in iterator:
                     enc = [_text(v, c).encode(self.encoding) for v, c in zip(row, codes)]
+                    _check_widths(self.schema, [len(v) if len(v) > w else 0 for v, w in zip(enc, widths)], widths)
                     out.write(b" " + b"".join(v[:w].ljust(w, b" ") for v, w in zip(enc, widths)))
                     n += 1
                 out.write(bytes([END_OF_FILE]))
@@ -278,7 +294,7 @@ class FixedWidthWriter(DataSourceWriter):
             return ShardWritten(tmp, final)
         rows = [[_text(v, c).encode(self.encoding) for v, c in zip(row, codes)] for row in iterator]
         widths = [max([len(r[i]) for r in rows] + [1]) for i in range(len(codes))]
-        widths = [min(w, 254) for w in widths]
+        _check_widths(self.schema, widths)
         with open(tmp, "wb") as out:
             self._header(out, len(rows), codes, widths)
             for r in rows:
@@ -364,7 +380,7 @@ def measured_widths(df) -> list[int]:
                 w = F.greatest(w, F.lit(26))      # Python prints six fractional digits
             aggs.append(w.alias(f"w{i}"))
     row = df.agg(*aggs).first()
-    return [min(max(int(row[f"w{i}"]), 1), 254) for i in range(len(df.schema.fields))]
+    return [max(int(row[f"w{i}"]), 1) for i in range(len(df.schema.fields))]
 
 
 def write_fixed_width(df, path: str, mode: str = "overwrite", **options) -> None:

@@ -168,3 +168,11 @@ def test_extract_to_silver_in_one_job(spark, tmp_path):
            (None, None, False, None, "CB1/1")
     assert r1["source_extract_date"] == dt.date(2024, 1, 31) and r1["run_id"] == "run-1"
     assert r2["source_file"].endswith("title-1-00000.dbf")
+
+
+def test_writer_refuses_values_longer_than_a_field(spark, tmp_path):
+    df = spark.createDataFrame([("x" * 300,)], "v string")
+    with pytest.raises(Exception, match="longer than their fixed-width field"):
+        FW.write_fixed_width(df, str(tmp_path / "a"))
+    with pytest.raises(Exception, match="longer than their fixed-width field"):
+        df.write.format("dbf").mode("overwrite").save(str(tmp_path / "b"))
