@@ -18,10 +18,6 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # let AQE pick a shuffled hash join over sort-merge when every partition's
-    # measured build side is under this size (star joins of per-title aggregates);
-    # it must be >= spark.sql.adaptive.advisoryPartitionSizeInBytes (64MB)
-    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -32,6 +28,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local") and "driver-memory" not in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):
+            # local mode runs every task in the driver JVM; Spark's 1g default is too
+            # small for the many concurrent sorters of the wide gold tables
+            builder = builder.config("spark.driver.memory", "8g")
     builder = builder.config("spark.ui.enabled", "false")
     # delete checkpoint files once their DataFrames are garbage collected (core
     # setting: only takes effect when this call creates the context)
