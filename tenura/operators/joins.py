@@ -32,8 +32,14 @@ def _broadcast_limit(df: DataFrame) -> int:
     conf = df.sparkSession.conf
     v = conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) or \
         conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    return parse_bytes(v)
+
+
+def parse_bytes(v) -> int:
+    """Spark byte-size text ('10485760b', '10MB', '10m', '1g', '-1') -> bytes."""
     v = str(v).strip().lower()
-    for unit, mult in (("kb", 1 << 10), ("mb", 1 << 20), ("gb", 1 << 30), ("b", 1)):
+    for unit, mult in (("kb", 1 << 10), ("mb", 1 << 20), ("gb", 1 << 30), ("tb", 1 << 40),
+                       ("k", 1 << 10), ("m", 1 << 20), ("g", 1 << 30), ("t", 1 << 40), ("b", 1)):
         if v.endswith(unit):
             return int(float(v[: -len(unit)]) * mult)
     return int(v)
