@@ -35,9 +35,18 @@ def cluster_write(df: DataFrame, keys: list[str], path: str, n_files: int | None
        .write.mode(mode).parquet(path))
 
 
-def bucketed_table(df: DataFrame, table: str, keys: list[str], buckets: int, mode: str = "overwrite") -> None:
-    """K1 (join layout): a bucketed, sorted catalog table on the join keys."""
-    df.write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+def bucketed_table(df: DataFrame, table: str, keys: list[str], buckets: int, mode: str = "overwrite",
+                   path: str | None = None) -> None:
+    """K1 (join layout): a bucketed, sorted catalog table on the join keys.
+
+    Two tables bucketed the same way on the join key join without a shuffle.
+    ``path`` places the table's files (e.g. on shared storage) instead of the
+    session's warehouse folder.
+    """
+    w = df.write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys)
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(table)
 
 
 def sized_write(df: DataFrame, path: str, rows_per_file: int, mode: str = "overwrite") -> None:

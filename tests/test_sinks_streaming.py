@@ -92,3 +92,20 @@ def test_manifest_stream_is_incremental_and_idempotent(spark, tmp_path):
     # commit); the anti-join against the control table keeps the sink unchanged
     run_manifest_stream(spark, str(landing), control, str(tmp_path / "ckpt-replay"))
     assert spark.read.parquet(control).count() == 3
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    import uuid
+    a, b = f"t_a_{uuid.uuid4().hex[:8]}", f"t_b_{uuid.uuid4().hex[:8]}"
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        K.bucketed_table(spark.range(1000).selectExpr("id as k", "id * 2 as v"), a, ["k"], 8, path=str(tmp_path / a))
+        K.bucketed_table(spark.range(500).selectExpr("id as k", "id * 3 as w"), b, ["k"], 8, path=str(tmp_path / b))
+        j = spark.table(a).join(spark.table(b), "k")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and j.count() == 500
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql(f"DROP TABLE IF EXISTS {a}")
+        spark.sql(f"DROP TABLE IF EXISTS {b}")
