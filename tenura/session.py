@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -66,3 +67,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(cur)
     return cur
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of the session (once per context).
+
+    Needed where the package is only on the driver's ``sys.path``; a job submitted with
+    ``--py-files`` does not depend on it.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tenura_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tenura-py-"), "tenura_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._tenura_shipped = True
