@@ -1,11 +1,11 @@
 """Operator 2, quality classifier from weak labels.
 
-Eight heuristic labellers vote bad (-1), nothing (0) or good (1) on every document.  The
+Nine heuristic labellers vote bad (-1), nothing (0) or good (1) on every document.  The
 votes overlap, and nobody knows which labeller is right how often: expectation-maximisation
-estimates, from the counts of all vote patterns of the corpus (at most 3**8, counted in
+estimates, from the counts of all vote patterns of the corpus (at most 3**9, counted in
 Spark), each labeller's vote probabilities given the hidden class.  The posterior of a
-document's pattern is its soft label.  A logistic scorer over hashed features (words,
-beginnings and endings of words by character class, repeated neighbours) is trained on a
+document's pattern is its soft label.  A logistic scorer over hashed features (letter runs,
+their first bytes, beginnings and endings of words by character class, repeated neighbours) is trained on a
 bounded sample of documents (``sample``, chosen by hash) with these soft labels, and a
 second head on labelled toxic documents (also bounded).  Every document is then scored.
 
@@ -27,14 +27,16 @@ from pyspark.sql import functions as F
 from tenura.llm import textops as T
 from tenura.llm.frames import text_uid
 
-LABELLERS = ("length", "symbols", "capitals", "repeats", "lines", "word_length", "endings", "variety")
+LABELLERS = ("symbols", "bars", "capitals", "repeats", "lines", "word_length", "stops", "variety", "prose")
 SAMPLE = 12_000
-BUCKETS = 1 << 17
-STEPS = 60
+BUCKETS = 1 << 20
+STEPS = 100
 CHUNK = 1 << 18
 
 _VALUES = T.byte_values(lower=True)
 _IS_WORD = T.blank_separated()
+_IS_LETTER = np.zeros(256, dtype=bool)
+_IS_LETTER[65:91] = _IS_LETTER[97:123] = _IS_LETTER[128:] = True
 # character classes: letters a / A, digits 0, everything else as it is
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = 65, 97, 48, 97
@@ -55,11 +57,15 @@ def _per_row(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
 def describe(buf: np.ndarray, off: np.ndarray, powers: T.Powers):
     """Word counts, votes (rows x labellers) and hashed features of the texts of a chunk.
 
-    Features are (row, bucket) pairs with repeats: three or four a word."""
+    Features are (row, bucket) pairs with repeats: four or five a word."""
     starts, ends, first = T.word_spans(buf, off, _IS_WORD)
     n = np.diff(first)
-    h = T.span_hashes(T.prefix_sums(_VALUES[buf], powers), starts, ends, powers)
+    values = T.prefix_sums(_VALUES[buf], powers)
+    h = T.span_hashes(values, starts, ends, powers)
     row = np.repeat(np.arange(len(n)), n)
+    l0, l1, l_first = T.word_spans(buf, off, _IS_LETTER)
+    l_row, letters = np.repeat(np.arange(len(n)), np.diff(l_first)), T.span_hashes(values, l0, l1, powers)
+    stem = T.mix(T.span_hashes(values, l0, np.minimum(l1, l0 + 6), powers) ^ np.uint64(0xD6E8FEB86659FD93))
     cls = T.prefix_sums(_CLASS_VALUES[buf], powers)
     tail = T.span_hashes(cls, np.maximum(starts, ends - 4), ends, powers)
     head = T.span_hashes(cls, starts, np.minimum(ends, starts + 2), powers)
@@ -68,6 +74,7 @@ def describe(buf: np.ndarray, off: np.ndarray, powers: T.Powers):
     words = np.maximum(n, 1)
     chars = np.maximum(np.bincount(row, weights=ends - starts, minlength=len(n)), 1)
     symbols = _per_row(_SYMBOL[buf], off) / words
+    bars = _per_row(buf == 124, off) / words
     capitals = _per_row(_UPPER[buf], off) / chars
     repeats = np.bincount(row, weights=twin, minlength=len(n)) / words
     lines = _per_row(buf == 10, off) + 1
@@ -81,15 +88,18 @@ def describe(buf: np.ndarray, off: np.ndarray, powers: T.Powers):
     def vote(bad, good):
         return np.where(bad, -1, np.where(good, 1, 0))
 
+    prose = (symbols < 0.03) & (capitals < 0.3) & (repeats < 0.05) & (stops > 0.02)
     votes = np.stack([
-        vote(n < 20, n >= 40), vote(symbols > 0.1, symbols < 0.02), vote(capitals > 0.4, capitals < 0.15),
-        vote(repeats > 0.1, repeats < 0.02), vote(words / lines < 4, words / lines > 10),
-        vote((chars / words < 3) | (chars / words > 10.5), (chars / words > 4) & (chars / words < 9)),
-        vote((stops < 0.01) | (stops > 0.5), (stops > 0.03) & (stops < 0.3)),
-        vote(variety < np.minimum(0.2, 12 / np.sqrt(words)), variety > 0.4)], axis=1).astype(np.int8)
+        vote(symbols > 0.15, symbols < 0), vote(bars > 0.08, bars < 0), vote(capitals > 0.4, capitals < 0),
+        vote(repeats > 0.08, repeats < 0), vote((lines > 4) & (words / lines < 4), lines < 0),
+        vote((n > 4) & ((chars / words < 2.5) | (chars / words > 12)), n < 0),
+        vote((n > 20) & (stops < 0.02), (stops > 0.04) & (stops < 0.35)),
+        vote((n > 30) & (variety < np.minimum(0.5, 12 / np.sqrt(words))), variety > 0.6),
+        vote(n < 0, prose)], axis=1).astype(np.int8)
     mask = np.uint64(BUCKETS - 1)
     salt = np.uint64(0x2545F4914F6CDD1D)
-    feats = [(row, (h & mask).astype(np.int64)), (row, (T.mix(tail + salt) & mask).astype(np.int64)),
+    feats = [(l_row, (letters & mask).astype(np.int64)),
+             (l_row, (stem & mask).astype(np.int64)), (row, (T.mix(tail + salt) & mask).astype(np.int64)),
              (row, (T.mix(head ^ salt) & mask).astype(np.int64)), (row[twin], np.full(int(twin.sum()), 7, np.int64))]
     return n, votes, np.concatenate([f[0] for f in feats]), np.concatenate([f[1] for f in feats])
 
@@ -167,6 +177,14 @@ def logistic(x_row, x_col, x_val, y, rows: int, l2: float, steps: int = STEPS, r
     return w, b
 
 
+def telling(x_row, x_col, y, least: int = 8, deviations: float = 5.0) -> np.ndarray:
+    """Buckets whose rows are positive far more often than all rows; the rest is noise to a rare class."""
+    n = np.bincount(x_col, minlength=BUCKETS)
+    k = np.bincount(x_col, weights=y[x_row], minlength=BUCKETS)
+    p = y.mean()
+    return (n >= least) & (k - n * p > deviations * np.sqrt(n * p * (1 - p)))
+
+
 def _train(prior: float, table: np.ndarray):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -188,8 +206,9 @@ def _train(prior: float, table: np.ndarray):
             if head == "quality":      # shares of the words
                 val = np.concatenate(part["count"].to_list()) / part["n"].to_numpy()[row]
                 w, b = logistic(row, col, val, y, len(part), 1e-6)
-            else:                      # presence
-                w, b = logistic(row, col, np.ones(len(col)), y, len(part), 1e-4)
+            else:                      # presence of telling buckets
+                use = telling(row, col, y)[col]
+                w, b = logistic(row[use], col[use], np.ones(int(use.sum())), y, len(part), 1e-5)
             out.append(pd.DataFrame({"head": [head], "weights": [w.astype(np.float32).tobytes()], "bias": [float(b)]}))
         return pd.concat(out) if out else pd.DataFrame({"head": [], "weights": [], "bias": []})
     return run
@@ -198,7 +217,7 @@ def _train(prior: float, table: np.ndarray):
 def fit(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE):
     """(prior, labeller table, {head: (weights, bias)})."""
     counts = (docs.select("text").mapInArrow(_patterns, "pattern long, n long").groupBy("pattern")
-              .agg(F.sum("n").alias("n")).orderBy("pattern").collect())     # at most 3**8 rows
+              .agg(F.sum("n").alias("n")).orderBy("pattern").collect())     # at most 3**9 rows
     prior, table = em(np.array([r.pattern for r in counts], dtype=np.int64),
                       np.array([r.n for r in counts], dtype=float), len(LABELLERS)) if counts else (0.5, None)
     if not counts:
@@ -257,7 +276,7 @@ def classify(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE) ->
     model = fit(docs, labels, sample)
     if model[1] is None:
         model = (0.5, np.full((len(LABELLERS), 2, 3), 1 / 3), {})
-    shared = docs.sparkSession.sparkContext.broadcast(model)      # 1 MB: two heads of BUCKETS floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)      # two heads of BUCKETS floats: 8 MB
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         _score(shared), "doc_id long, n_words long, weak_label double, quality double, toxic double")
 

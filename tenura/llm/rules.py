@@ -43,11 +43,13 @@ FEATURES = {
     "distinct_rate": "n_distinct / greatest(n_words, 1)",
     "words": "cast(n_words as double)",
 }
-BINS = 24
+# thresholds are these percentiles of the labelled rows, denser at both ends
+PERCENTILES = (1, 2, 3, 4, 6, 8, 10, 12, 15, 20, 30, 40, 50, 60, 70, 80, 85, 88, 90, 92, 94, 96, 97, 98, 99)
 MAX_RULES = 12
 MAX_CONDITIONS = 3
-MIN_PRECISION = 0.9
-MIN_COVER = 5
+MIN_PRECISION = 0.85
+MIN_COVER = 5           # rows of the growing part that a condition must cover
+MIN_PRUNE = 2           # and of the pruning part
 
 
 def _length_of(text: Column, chars: str) -> Column:
@@ -124,7 +126,7 @@ class Rule:
 
 
 def _thresholds(rows: DataFrame) -> dict[str, list[float]]:
-    at = [k / BINS for k in range(1, BINS)]
+    at = [p / 100 for p in PERCENTILES]
     r = rows.agg(*[F.percentile_approx(F.expr(e), at, 10_000).alias(f) for f, e in FEATURES.items()]).first()
     return {f: sorted(set(r[f] or [])) for f in FEATURES}
 
@@ -186,7 +188,7 @@ def learn(stats: DataFrame, labels: DataFrame, target: int = 0) -> list[Rule]:
             F.count_if(p.column() & F.col("hit")).alias(f"h{k}"), F.count_if(p.column()).alias(f"n{k}"))]).first()
         scores = [((r[f"h{k}"] + 1) / (r[f"n{k}"] + 2), r[f"h{k}"]) for k in range(len(parts))]
         k = max(range(len(parts)), key=lambda i: (scores[i][0], -i))
-        if scores[k][1] < MIN_COVER or scores[k][0] < MIN_PRECISION:
+        if scores[k][1] < MIN_PRUNE or scores[k][0] < MIN_PRECISION:
             break
         rules.append(parts[k])
         left = left.filter(~parts[k].column())

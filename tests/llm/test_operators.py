@@ -177,8 +177,8 @@ def test_rule_statistics(hard, hard_df, spark):
 
 
 def test_decision_list_learns(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     stats = rules.text_stats(docs).persist()
     even = labels.filter("doc_id % 2 = 0").selectExpr("doc_id", "quality as label")
     learned = rules.learn(stats, even)
@@ -250,8 +250,8 @@ def test_quality(spark):
     right = sum((out[r.doc_id].quality >= 0.5) == bool(r.quality) for r in test) / len(test)
     toxic = [r for r in test if r.toxic]
     clean = [r for r in test if not r.toxic]
-    assert right > 0.93
-    assert sum(out[r.doc_id].toxic >= 0.5 for r in toxic) / len(toxic) > 0.9
+    assert right > 0.98
+    assert sum(out[r.doc_id].toxic >= 0.5 for r in toxic) / len(toxic) > 0.75
     assert sum(out[r.doc_id].toxic >= 0.5 for r in clean) / len(clean) < 0.02
     assert out
 
