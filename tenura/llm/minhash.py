@@ -6,11 +6,12 @@ hash minima; nodes that share a band of ROWS minima meet in a bucket.  In a buck
 node is paired with the least one; pairs that pass the signature estimate are confirmed
 on the full shingle sets, and components come from alternating large-star and small-star.
 
-Buckets that still hold several components are not closed: small ones compare all pairs
-of different components, large ones are split by a second (third, ...) shared band, so
-dissimilar nodes part while a similar pair, which shares many bands, meets again in a
-smaller bucket.  No pair is dropped for the size of its bucket.  With 32 bands of 4 a pair
-at similarity 0.8 shares no band with probability 5e-8.
+Buckets that still hold several components are not closed: every pair of different
+components in them is estimated, in cells of at most two blocks of CELL nodes that are
+sorted together, and only pairs that pass leave the task for the confirmation.  No pair
+is dropped for the size of its bucket; the work of such a bucket grows with the product
+of its size and its nodes outside the largest component.  With 32 bands of 4 a pair at
+similarity 0.8 shares no band with probability 5e-8.
 
 Defined results: a null or wordless text has an empty set and links with nothing; a null
 doc_id is later than any and a component of null ids has a null component_id; rows of
@@ -34,9 +35,8 @@ from tenura.llm.frames import NO_ID, cut_lineage, ids_are_unique, keys
 SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 32, 4
-MARGIN = 0.25          # over six standard errors of a 128-minima estimate at 0.8
-SMALL = 24             # nodes of a bucket that compares all pairs
-MAX_SPLITS = 6
+MARGIN = 0.2           # 5.6 standard errors of a 128-minima estimate at 0.8
+CELL = 2048            # nodes of a block; a cell compares two blocks
 BROADCAST_ROWS = 200_000   # 24 bytes each
 
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
@@ -134,6 +134,70 @@ def _estimate(percent: int):
     return run
 
 
+def _short_signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The low byte of each minimum: unequal minima agree in it once in 256."""
+    for batch in batches:
+        raw = (_signature_matrix(batch.column("sig")) & 255).astype(np.uint8).tobytes()
+        w = BANDS * ROWS
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("v"), pa.array([raw[i * w:i * w + w] for i in range(batch.num_rows)], pa.binary())],
+            names=["v", "sig"])
+
+
+def _cells(percent: int):
+    """Pairs of different components of one cell (rows of one key, c0, c1) that pass the estimate.
+
+    Only pairs that pass leave; a cell holds at most about two blocks of CELL rows."""
+    need = (percent / 100 - MARGIN) * BANDS * ROWS
+
+    def compare(cell: pa.Table) -> pa.RecordBatch | None:
+        v, comp, i = (cell.column(c).to_numpy() for c in ("v", "comp", "i"))
+        if (comp == comp[0]).all():
+            return None
+        raw = cell.column("sig").to_pylist()
+        sig = np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(len(raw), BANDS * ROWS)
+        across = cell.column("c0")[0].as_py() != cell.column("c1")[0].as_py()
+        a, b = [], []
+        for r in range(len(v) - 1):
+            other = comp[r + 1:] != comp[r]
+            if across:
+                other &= i[r + 1:] != i[r]
+            at = np.flatnonzero(other) + r + 1
+            if len(at):
+                at = at[(sig[at] == sig[r]).sum(axis=1) >= need]
+                a.append(np.full(len(at), v[r]))
+                b.append(v[at])
+        if not a:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def name(batch, k):
+            return tuple(batch.column(c)[k].as_py() for c in ("key", "c0", "c1"))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy() for c in ("key", "c0", "c1")]
+            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+            edges = [0, *new.tolist(), batch.num_rows]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if held and name(held[0], 0) != name(part, 0):
+                    out = compare(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                    if out is not None:
+                        yield out
+                held.append(part)
+        if held:
+            out = compare(pa.Table.from_batches(held).combine_chunks())
+            if out is not None:
+                yield out
+    return run
+
+
 def _confirm(shingle: int, percent: int):
     """Pairs whose full sets reach the similarity; neighbouring rows of one ``a`` share its set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,53 +253,41 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 def _link(rows: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(v, comp) of the nodes that have a link."""
     band = nodes.select("v", "sig").mapInArrow(_bands, "key long, v long")
-    shared = band.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key")
+    shared = band.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("v").alias("m")).filter("k > 1")
     buckets = cut_lineage(band.join(shared, "key"))          # nodes that meet others
-    own_bands = buckets
-    edges = tested = None
-    comp = nodes.select("v", F.col("v").alias("comp")).filter(F.lit(False))
-    for depth in range(MAX_SPLITS + 1):
-        if depth == 0:
-            least = buckets.groupBy("key").agg(F.min("v").alias("m"))
-            candidates = buckets.join(least, "key").select(F.col("m").alias("a"), F.col("v").alias("b"))
-        else:
-            at = buckets.join(comp, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-            per = at.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("c0"),
-                                        F.max("comp").alias("c1"), F.min("v").alias("m")).filter("c0 < c1")
-            at = cut_lineage(at.join(per.select("key", "k", "m"), "key"))
-            small = at.filter(F.col("k") <= SMALL) if depth < MAX_SPLITS else at
-            left, right = small.select("key", "v", "comp"), small.select("key", F.col("v").alias("w"), F.col("comp").alias("d"))
-            candidates = (left.join(right, "key").filter("v < w and comp <> d")
-                          .select(F.col("v").alias("a"), F.col("w").alias("b")))
-            large = at.filter(F.col("k") > SMALL) if depth < MAX_SPLITS else at.limit(0)
-            candidates = candidates.unionByName(large.select(F.col("m").alias("a"), F.col("v").alias("b")))
-            # the next, smaller buckets: this key and one more band of the node
-            split = (large.select("key", "v").join(own_bands.withColumnRenamed("key", "key2"), "v")
-                     .filter("key <> key2")
-                     .select(F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key"), "v").distinct())
-            again = split.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key")
-            buckets = cut_lineage(split.join(again, "key"))
-        candidates = _pairs(candidates)
-        if tested is not None:
-            candidates = candidates.join(tested, ["a", "b"], "left_anti")
-        candidates = cut_lineage(candidates)
-        if not candidates.isEmpty():
-            confirmed = _verified(candidates, rows, nodes, shingle, percent)
-            tested = candidates if tested is None else tested.unionByName(candidates)
-            edges = confirmed if edges is None else cut_lineage(edges.unionByName(confirmed))
-            comp = components(edges)
-        if buckets.isEmpty():
-            break
-    return comp
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    stars = cut_lineage(_pairs(buckets.select(F.col("m").alias("a"), F.col("v").alias("b"))))
+    edges = _verified(stars, rows, nodes, shingle, percent)
+    comp = components(edges)
+    # buckets that still hold several components: all pairs of different ones are estimated
+    at = cut_lineage(buckets.join(comp, "v", "left").select("key", "k", "v", F.coalesce("comp", "v").alias("comp")))
+    split = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
+    short = nodes.mapInArrow(_short_signature, "v long, sig binary")
+    open_ = (at.join(cut_lineage(split), "key").join(short, "v")
+             .withColumn("blocks", F.ceil(F.col("k") / CELL).cast("int"))
+             .withColumn("i", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")))
+    cells = open_.select("key", "v", "comp", "sig", "i", F.explode(F.sequence(
+        F.lit(0), F.col("blocks") - 1)).alias("j")).select(
+        "key", F.least("i", "j").alias("c0"), F.greatest("i", "j").alias("c1"), "i", "v", "comp", "sig")
+    more = (cells.repartition("key", "c0", "c1").sortWithinPartitions("key", "c0", "c1")
+            .mapInArrow(_cells(percent), "a long, b long"))
+    more = _pairs(more).join(stars, ["a", "b"], "left_anti")
+    extra = _verified(cut_lineage(more), rows, nodes, shingle, percent, estimated=True)
+    if extra.isEmpty():
+        return comp
+    # components so far stand as stars
+    known = comp.filter("v <> comp").select(F.col("comp").alias("a"), F.col("v").alias("b"))
+    return components(known.unionByName(extra))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, percent: int,
+              estimated: bool = False) -> DataFrame:
     """Signature estimate first, then the full sets of what is left."""
-    sig = nodes.select("v", "sig")
-    near = (pairs.join(sig.select(F.col("v").alias("a"), F.col("sig").alias("sig_a")), "a")
-            .join(sig.select(F.col("v").alias("b"), F.col("sig").alias("sig_b")), "b")
-            .select("a", "b", "sig_a", "sig_b").mapInArrow(_estimate(percent), "a long, b long"))
-    near = cut_lineage(near)
+    near = pairs
+    if not estimated:
+        sig = nodes.select("v", "sig")
+        near = cut_lineage(pairs.join(sig.select(F.col("v").alias("a"), F.col("sig").alias("sig_a")), "a")
+                           .join(sig.select(F.col("v").alias("b"), F.col("sig").alias("sig_b")), "b")
+                           .select("a", "b", "sig_a", "sig_b").mapInArrow(_estimate(percent), "a long, b long"))
     needed = near.select(F.col("a").alias("v")).unionByName(near.select(F.col("b").alias("v"))).distinct()
     who = nodes.select("v", "did", "uid").join(needed, "v")
     if who.count() <= BROADCAST_ROWS:
