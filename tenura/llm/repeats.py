@@ -90,21 +90,24 @@ def _blocks(units: Units):
     return run
 
 
-def shared_blocks(docs: DataFrame, units: Units, across_documents: bool) -> DataFrame:
-    """Blocks whose anchor occurs again (in another document only, if asked), with ``mixed``:
-    the anchor stands in more than one kind of block."""
+def shared_blocks(docs: DataFrame, units: Units) -> DataFrame:
+    """Blocks whose anchor occurs again anywhere."""
     rows = docs.mapInArrow(_blocks(units), BLOCK_SCHEMA)
-    per = rows.groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.min("did").alias("d0"), F.max("did").alias("d1"),
-                                F.min("span").alias("s0"), F.max("span").alias("s1"))
-    again = per.filter("d0 < d1" if across_documents else "k > 1").select("a", (F.col("s0") != F.col("s1")).alias("mixed"))
+    # cut, so that the join below is one of two plain exchanges, which AQE can split at hot anchors
+    again = cut_lineage(rows.groupBy("a").count().filter("count > 1").select("a"))
     return cut_lineage(rows.join(again, "a"))
 
 
 def block_classes(shared: DataFrame) -> DataFrame:
-    """(a, span, c_did, c_uid, c_ws): the earliest occurrence of each kind of block."""
-    return (shared.groupBy("a", "span").agg(F.min(F.struct("did", "uid", "ws")).alias("c"))
-            .select("a", "span", F.col("c.did").alias("c_did"), F.col("c.uid").alias("c_uid"),
-                    F.col("c.ws").alias("c_ws")))
+    """(a, span, c_did, c_uid, c_ws, n): the earliest occurrence of each kind of block."""
+    return cut_lineage(shared.groupBy("a", "span").agg(F.min(F.struct("did", "uid", "ws", "n")).alias("c"))
+                       .select("a", "span", F.col("c.n").alias("n"), F.col("c.did").alias("c_did"), F.col("c.uid").alias("c_uid"),
+                               F.col("c.ws").alias("c_ws")))
+
+
+def classes_per_anchor(classes: DataFrame) -> DataFrame:
+    """(a, kinds): anchors that stand in more than one kind of block."""
+    return cut_lineage(classes.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
 
 
 def _contexts(units: Units):

@@ -69,13 +69,14 @@ def _window_rows(units):
 
 def repeated_windows(docs: DataFrame, units: R.Units = R.Units(True, WIDTH, GRAM)) -> DataFrame:
     """(did, uid, ws, n): n windows from word ws on also start in a smaller document."""
-    shared = R.shared_blocks(docs, units, across_documents=True)
+    shared = R.shared_blocks(docs, units)
     classes = R.block_classes(shared)
-    joined = shared.join(classes, ["a", "span"])
-    settled = joined.filter("did > c_did").select("did", "uid", "ws", "n")
-    # one block of each kind speaks for its document
-    open_ = joined.filter("mixed and did = c_did").select("a", "did", "uid", "ws", "n")
-    wide = classes.groupBy("a").count().filter(F.col("count") > R.GROUP_ROWS).select("a", F.lit(True).alias("wide"))
+    mixed = R.classes_per_anchor(classes)
+    settled = shared.join(classes.drop("n"), ["a", "span"]).filter("did > c_did").select("did", "uid", "ws", "n")
+    # the earliest block of each kind speaks for its kind, and stands for its document
+    open_ = (classes.join(mixed.select("a"), "a").select("a", "span", F.col("c_did").alias("did"))
+             .join(shared, ["a", "span", "did"]).select("a", "did", "uid", "ws", "n"))
+    wide = mixed.filter(F.col("kinds") > R.GROUP_ROWS).select("a", F.lit(True).alias("wide"))
     ctx = cut_lineage(R.contexts(docs, open_, units).join(wide, "a", "left"))
     hits = R.grouped_windows(ctx.filter("wide is null").drop("wide"), units, extend)
     many = ctx.filter("wide").drop("wide").mapInArrow(_window_rows(units), "a long, wh long, did long, uid long, ws int")

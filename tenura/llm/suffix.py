@@ -128,13 +128,15 @@ def doubled_in_spark(ctx: DataFrame, units: R.Units) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, units: R.Units = R.Units(False, WIDTH, GRAM)) -> DataFrame:
     """(did, uid, ws, n): n windows from byte ws on also start earlier."""
-    shared = R.shared_blocks(docs, units, across_documents=False)
+    shared = R.shared_blocks(docs, units)
     classes = R.block_classes(shared)
-    joined = shared.join(classes, ["a", "span"])
-    is_first = "did = c_did and uid = c_uid and ws = c_ws"
-    settled = joined.filter(f"not ({is_first})").select("did", "uid", "ws", "n")
-    open_ = joined.filter(f"mixed and {is_first}").select("a", "did", "uid", "ws", "n")
-    wide = classes.groupBy("a").count().filter(F.col("count") > R.GROUP_ROWS).select("a", F.lit(True).alias("wide"))
+    mixed = R.classes_per_anchor(classes)
+    first = "did = c_did and uid = c_uid and ws = c_ws"
+    settled = shared.join(classes.drop("n"), ["a", "span"]).filter(f"not ({first})").select("did", "uid", "ws", "n")
+    # the earliest block of each kind speaks for its kind
+    open_ = (classes.join(mixed.select("a"), "a")
+             .selectExpr("a", "c_did as did", "c_uid as uid", "c_ws as ws", "n"))
+    wide = mixed.filter(F.col("kinds") > R.GROUP_ROWS).select("a", F.lit(True).alias("wide"))
     ctx = cut_lineage(R.contexts(docs, open_, units).join(wide, "a", "left"))
     hits = R.grouped_windows(ctx.filter("wide is null").drop("wide"), units, double)
     wide_ctx = ctx.filter("wide").drop("wide")
