@@ -8,7 +8,8 @@ on the full shingle sets, and components come from alternating large-star and sm
 
 Buckets that still hold several components are not closed: every pair of different
 components in them is estimated, in cells of at most two blocks of CELL nodes that are
-sorted together, and only pairs that pass leave the task for the confirmation.  No pair
+sorted together; a pair is estimated from its minima, then counted on half hashes of its
+sets, and only pairs that pass leave the task for the confirmation on the full sets.  No pair
 is dropped for the size of its bucket; the work of such a bucket grows with the product
 of its size and its nodes outside the largest component.  With 32 bands of 4 a pair at
 similarity 0.8 shares no band with probability 5e-8.
@@ -36,7 +37,7 @@ SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 32, 4
 MARGIN = 0.2           # 5.6 standard errors of a 128-minima estimate at 0.8
-CELL = 2048            # nodes of a block; a cell compares two blocks
+CELL = 1024            # nodes of a block; a cell compares two blocks
 BROADCAST_ROWS = 200_000   # 24 bytes each
 
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
@@ -119,7 +120,9 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = _signature_matrix(batch.column("sig"))
         keys_ = _band_keys(sig).view(np.int64)
         v = batch.column("v").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(keys_.reshape(-1)), pa.array(np.repeat(v, BANDS))], names=["key", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys_.reshape(-1)), pa.array(np.repeat(v, BANDS)),
+                                           pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(v)))],
+                                          names=["key", "v", "band"])
 
 
 def _signature_matrix(col: pa.Array) -> np.ndarray:
@@ -134,14 +137,24 @@ def _estimate(percent: int):
     return run
 
 
-def _short_signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The low byte of each minimum: unequal minima agree in it once in 256."""
-    for batch in batches:
-        raw = (_signature_matrix(batch.column("sig")) & 255).astype(np.uint8).tobytes()
-        w = BANDS * ROWS
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("v"), pa.array([raw[i * w:i * w + w] for i in range(batch.num_rows)], pa.binary())],
-            names=["v", "sig"])
+def _compact(shingle: int):
+    """(v, sig, set): low bytes of the minima and low halves of the shingle hashes.
+
+    Both only ever make two sets look more alike than they are, so a pair refused on
+    them is no link; a pair that passes is confirmed on the full sets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = T.Powers()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for lo, hi, buf, off in T.chunks(batch.column("text"), 1 << 18):
+                sets = shingle_sets(buf, off, shingle, powers)
+                sig = (signatures(sets) & 255).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("v").slice(lo, hi - lo), pa.array([x.tobytes() for x in sig], pa.binary()),
+                     pa.array([np.sort(x.astype(np.uint32)).tobytes() for x in sets], pa.binary())],
+                    names=["v", "sig", "set"])
+    return run
 
 
 def _cells(percent: int):
@@ -151,22 +164,42 @@ def _cells(percent: int):
     need = (percent / 100 - MARGIN) * BANDS * ROWS
 
     def compare(cell: pa.Table) -> pa.RecordBatch | None:
-        v, comp, i = (cell.column(c).to_numpy() for c in ("v", "comp", "i"))
+        v, comp, i = (cell.column(c).to_numpy().copy() for c in ("v", "comp", "i"))
         if (comp == comp[0]).all():
             return None
-        raw = cell.column("sig").to_pylist()
-        sig = np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(len(raw), BANDS * ROWS)
+        sig = np.frombuffer(b"".join(cell.column("sig").to_pylist()), dtype=np.uint8).reshape(len(v), BANDS * ROWS)
+        sets = [np.frombuffer(x, dtype=np.uint32) for x in cell.column("set").to_pylist()]
+        n, band = np.array([len(x) for x in sets]), cell.column("band")[0].as_py()
         across = cell.column("c0")[0].as_py() != cell.column("c1")[0].as_py()
         a, b = [], []
         for r in range(len(v) - 1):
-            other = comp[r + 1:] != comp[r]
+            ok = comp[r + 1:] != comp[r]
             if across:
-                other &= i[r + 1:] != i[r]
-            at = np.flatnonzero(other) + r + 1
-            if len(at):
-                at = at[(sig[at] == sig[r]).sum(axis=1) >= need]
-                a.append(np.full(len(at), v[r]))
-                b.append(v[at])
+                ok &= i[r + 1:] != i[r]
+            m = n[r + 1:]
+            ok &= 100 * np.minimum(m, n[r]) >= percent * np.maximum(m, n[r])
+            at = np.flatnonzero(ok) + r + 1
+            if not len(at):
+                continue
+            same = sig[at] == sig[r]
+            good = same.sum(axis=1) >= need
+            # a pair is looked at in the first band that it shares
+            good &= same.reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            at = at[good]
+            if not len(at):
+                continue
+            flat = np.concatenate([sets[k] for k in at])
+            place = np.minimum(np.searchsorted(sets[r], flat), n[r] - 1)
+            begin = np.concatenate(([0], np.cumsum(n[at])[:-1]))
+            both = np.minimum(np.add.reduceat((sets[r][place] == flat).astype(np.int64), begin), np.minimum(n[at], n[r]))
+            link = 100 * both >= percent * (n[at] + n[r] - both)
+            a.append(np.full(int(link.sum()), v[r]))
+            b.append(v[at[link]])
+            # links that two hash collisions could not have made join the components here
+            both -= 2
+            for k in at[100 * both >= percent * (n[at] + n[r] - both)]:
+                if comp[k] != comp[r]:
+                    comp[comp == comp[k]] = comp[r]
         if not a:
             return None
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
@@ -252,22 +285,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 def _link(rows: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(v, comp) of the nodes that have a link."""
-    band = nodes.select("v", "sig").mapInArrow(_bands, "key long, v long")
+    band = nodes.select("v", "sig").mapInArrow(_bands, "key long, v long, band int")
     shared = band.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("v").alias("m")).filter("k > 1")
     buckets = cut_lineage(band.join(shared, "key"))          # nodes that meet others
     stars = cut_lineage(_pairs(buckets.select(F.col("m").alias("a"), F.col("v").alias("b"))))
     edges = _verified(stars, rows, nodes, shingle, percent)
     comp = components(edges)
     # buckets that still hold several components: all pairs of different ones are estimated
-    at = cut_lineage(buckets.join(comp, "v", "left").select("key", "k", "v", F.coalesce("comp", "v").alias("comp")))
+    at = cut_lineage(buckets.join(comp, "v", "left").select("key", "band", "k", "v", F.coalesce("comp", "v").alias("comp")))
     split = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
-    short = nodes.mapInArrow(_short_signature, "v long, sig binary")
-    open_ = (at.join(cut_lineage(split), "key").join(short, "v")
-             .withColumn("blocks", F.ceil(F.col("k") / CELL).cast("int"))
+    at = cut_lineage(at.join(cut_lineage(split), "key"))
+    active = nodes.select("v", "did", "uid").join(at.select("v").distinct(), "v")
+    compact = _texts(rows, active).mapInArrow(_compact(shingle), "v long, sig binary, set binary")
+    open_ = (at.withColumn("blocks", F.ceil(F.col("k") / CELL).cast("int"))
              .withColumn("i", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")))
-    cells = open_.select("key", "v", "comp", "sig", "i", F.explode(F.sequence(
+    cells = open_.select("key", "band", "v", "comp", "i", F.explode(F.sequence(
         F.lit(0), F.col("blocks") - 1)).alias("j")).select(
-        "key", F.least("i", "j").alias("c0"), F.greatest("i", "j").alias("c1"), "i", "v", "comp", "sig")
+        "key", "band", F.least("i", "j").alias("c0"), F.greatest("i", "j").alias("c1"), "i", "v", "comp").join(compact, "v")
     more = (cells.repartition("key", "c0", "c1").sortWithinPartitions("key", "c0", "c1")
             .mapInArrow(_cells(percent), "a long, b long"))
     more = _pairs(more).join(stars, ["a", "b"], "left_anti")
@@ -279,6 +313,14 @@ def _link(rows: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> Data
     return components(known.unionByName(extra))
 
 
+def _texts(rows: DataFrame, who: DataFrame) -> DataFrame:
+    """(v, text) of the nodes ``who``; these are broadcast only when counted below a bound."""
+    who = cut_lineage(who)
+    if who.count() <= BROADCAST_ROWS:
+        who = F.broadcast(who)
+    return rows.join(who, ["did", "uid"]).select("v", "text")
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, percent: int,
               estimated: bool = False) -> DataFrame:
     """Signature estimate first, then the full sets of what is left."""
@@ -290,9 +332,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int,
                            .select("a", "b", "sig_a", "sig_b").mapInArrow(_estimate(percent), "a long, b long"))
     needed = near.select(F.col("a").alias("v")).unionByName(near.select(F.col("b").alias("v"))).distinct()
     who = nodes.select("v", "did", "uid").join(needed, "v")
-    if who.count() <= BROADCAST_ROWS:
-        who = F.broadcast(who)
-    texts = cut_lineage(rows.join(who, ["did", "uid"]).select("v", "text").dropDuplicates(["v"]))
+    texts = cut_lineage(_texts(rows, who))
     both = (near.join(texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
             .join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a")
             .select("a", "b", "text_a", "text_b"))
