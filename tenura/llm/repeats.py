@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenura.llm import textops as T
-from tenura.llm.frames import cut_lineage
+from tenura.llm.frames import cut_lineage, written
 
 BLOCK_SCHEMA = "did long, uid long, a long, span long, ws int, n int"
 CONTEXT_SCHEMA = "a long, did long, uid long, ws int, n int, ctx binary"
@@ -95,12 +95,12 @@ def shared_blocks(docs: DataFrame, units: Units) -> DataFrame:
     rows = docs.mapInArrow(_blocks(units), BLOCK_SCHEMA)
     # cut, so that the join below is one of two plain exchanges, which AQE can split at hot anchors
     again = cut_lineage(rows.groupBy("a").count().filter("count > 1").select("a"))
-    return cut_lineage(rows.join(again, "a"))
+    return written(rows.join(again, "a"))
 
 
 def block_classes(shared: DataFrame) -> DataFrame:
     """(a, span, c_did, c_uid, c_ws, n): the earliest occurrence of each kind of block."""
-    return cut_lineage(shared.groupBy("a", "span").agg(F.min(F.struct("did", "uid", "ws", "n")).alias("c"))
+    return written(shared.groupBy("a", "span").agg(F.min(F.struct("did", "uid", "ws", "n")).alias("c"))
                        .select("a", "span", F.col("c.n").alias("n"), F.col("c.did").alias("c_did"), F.col("c.uid").alias("c_uid"),
                                F.col("c.ws").alias("c_ws")))
 

@@ -6,8 +6,8 @@ and the ranks of a prefix twice as long come from sorting pairs (rank at p, rank
 p + h).  Positions whose rank is unique can have no copy and leave.
 
 Ranking every byte position would shuffle some 30 bytes per byte of text and round, so
-the ranks start sparse: round 0 ranks only the sampled positions (anchors, one in 40
-bytes, chosen so that every window has one) by their 20-byte gram and drops the unique
+the ranks start sparse: round 0 ranks only the sampled positions (anchors, one in 43
+bytes, chosen so that every window has one) by their 16-byte gram and drops the unique
 ones; round 1 reranks the rest by the pair (gram rank, block rank), which settles every
 block that equals an earlier one.  Only where blocks of one anchor differ are single
 byte positions ranked, by doubling from 25 over 50 to 100 bytes.
@@ -38,7 +38,7 @@ from tenura.llm import textops as T
 from tenura.llm.frames import cut_lineage, keyed
 
 WIDTH = 100
-GRAM = 20
+GRAM = 16
 DOUBLINGS = 2          # 25 -> 50 -> 100
 
 
