@@ -231,10 +231,10 @@ def fit(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE):
         F.max(F.col("toxic").cast("int")).alias("toxic"))
     n_labelled = toxic.count()
     draw = F.pmod(F.xxhash64(F.lit("quality"), "doc_id", text_uid("text")), F.lit(1 << 20)) / float(1 << 20)
-    # which rows to draw is settled on ids; only drawn texts move
-    drawn = (rows.withColumn("u", draw)
-             .join(toxic.withColumn("v", F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 20)) / float(1 << 20))
-                   .filter(F.col("v") < float(sample) / max(1, n_labelled)).drop("v"), "doc_id", "left")
+    # about ``sample`` (id, label) rows: a bounded broadcast, so no text moves but the drawn ones
+    chosen = toxic.filter(F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
+                          < float(sample) / max(1, n_labelled))
+    drawn = (rows.withColumn("u", draw).join(F.broadcast(chosen), "doc_id", "left")
              .withColumn("for_quality", F.col("u") < float(sample) / total)
              .filter("for_quality or toxic is not null"))
     feats = drawn.select("text", "toxic", "for_quality").mapInArrow(
