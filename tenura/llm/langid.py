@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tenura.llm.frames import text_uid
+from tenura.llm.frames import cut_lineage, text_uid
 
 SAMPLE = 4000
 N_WORDS = 60_000
@@ -39,6 +39,7 @@ ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 CACHE = 200_000
+BROADCAST_LANGS = 10_000
 MIN_SCORE = 0.5
 
 
@@ -87,7 +88,9 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(lang, text): the bounded training sample; held-out ids never enter."""
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    per = rows.groupBy("lang").count()
+    per = cut_lineage(rows.groupBy("lang").count())
+    if per.count() <= BROADCAST_LANGS:
+        per = F.broadcast(per)
     draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", text_uid("text")), F.lit(1 << 20)) / float(1 << 20)
     return (rows.join(per, "lang").filter(draw < F.lit(float(sample)) / F.col("count")).select("lang", "text"))
 
