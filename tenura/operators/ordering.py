@@ -18,13 +18,15 @@ SEARCH_SORT_COLUMNS = {
 }
 
 
-def clamp(value, default: int, lo: int, hi: int) -> int:
-    """Parameter clamp used for limit/offset (non-numbers -> default)."""
-    try:
-        v = int(value) if value is not None else default
-    except (TypeError, ValueError):
-        v = default
-    return min(max(v, lo), hi)
+def page_bounds(limit, offset) -> tuple[int, int]:
+    """Checked (limit, offset) of a page; anything but whole numbers >= 0 is refused, none is rewritten."""
+    bounds = []
+    for name, given in (("limit", limit), ("offset", offset)):
+        text = str(given).strip()
+        if not text.isdecimal():
+            raise ValueError(f"{name} must be a whole number of at least 0, not {given!r}")
+        bounds.append(int(text))
+    return bounds[0], bounds[1]
 
 
 def search_order(sort_by: str = "issue_date", sort_dir: str = "desc", key: str = "title_no",

@@ -374,7 +374,7 @@ def q_sort_multi_nulls_last(spark, sf_dir):
 
 @register("page_limit_offset")
 def q_page_limit_offset(spark, sf_dir):
-    lim, off = O.clamp("20", 25, 1, 200), O.clamp("100", 0, 0, 100_000)
+    lim, off = O.page_bounds("20", "100")
     return O.page(_t360(spark, sf_dir), O.search_order("instrument_count", "asc"), lim, off) \
             .select("title_no", "is_current", "instrument_count")
 
@@ -686,21 +686,21 @@ def q_title_detail(spark, sf_dir):
 @register("title_instruments")
 def q_title_instruments(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return S.title_instruments(_fact_ti(t), t.title.select("title_no"), 1000)
+    return S.title_instruments(_fact_ti(t), t.title.select("title_no"))
 
 
 @register("title_encumbrances")
 def q_title_encumbrances(spark, sf_dir):
     t = tables(spark, sf_dir)
     fact = G.fact_title_encumbrance(t.title_encumbrance, t.encumbrance, t.encumbrancee, t.encumbrance_share)
-    return S.title_encumbrances(fact, t.title.select("title_no"), 1000)
+    return S.title_encumbrances(fact, t.title.select("title_no"))
 
 
 @register("title_addresses")
 def q_title_addresses(spark, sf_dir):
     t = tables(spark, sf_dir)
     tbl = G.address_search_table(_dim_address(t))
-    return S.title_addresses(tbl, t.title.select("title_no"), 100)
+    return S.title_addresses(tbl, t.title.select("title_no"))
 
 
 @register("instrument_search")
