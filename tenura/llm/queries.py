@@ -5,6 +5,7 @@ from __future__ import annotations
 from tenura.llm import (decontaminate, langid, linededup, minhash, mixing, quality, rules, substring, suffix,
                         urlcascade)
 from tenura.llm.frames import read_table
+from tenura.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_decontamination(spark, sf_dir):
@@ -51,4 +52,3 @@ def op10_url_filter(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_quality_classifier, op3_line_dedup, op4_suffix_dedup, op5_quality_rules, op6_mixing,
     op7_minhash, op8_substring_dedup, op9_language_id, op10_url_filter)}
-ORACLES: dict[str, str] = {}
