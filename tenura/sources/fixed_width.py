@@ -24,6 +24,7 @@ partition size (``repartition``) before writing large tables.
 from __future__ import annotations
 
 import glob as _glob
+import json
 import os
 import struct
 import uuid
@@ -87,6 +88,9 @@ def read_layout(path: str) -> Layout:
         fields.append(Field(name, ftype, length, offset))
         offset += length
         i += DESCRIPTOR_SIZE
+    names = [f.name for f in fields]
+    if len(set(names)) < len(names):
+        raise ValueError(f"{path}: field names occur more than once: {sorted(n for n in set(names) if names.count(n) > 1)}")
     available = max(size - header_size, 0) // record_size if record_size else 0
     return Layout(min(n_records, available), header_size, record_size, tuple(fields))
 
@@ -166,19 +170,48 @@ class FixedWidthReader(DataSourceReader):
         self.encoding = options.get("encoding", "utf-8")
         self.errors = options.get("errors", "replace")
         self.with_file = options.get("includeSourceFile", "false").lower() == "true"
+        self.find_ends = options.get("findEnds", "false").lower() == "true"
+        # path -> number of the record that holds an end marker, for files that hold one
+        # before their last record; unknown: a file is one range, so that no range is
+        # read behind a marker in an earlier one
+        self.ends = json.loads(options["ends"]) if "ends" in options else None
 
     def partitions(self):
         parts = []
         for p in self.paths:
             n = read_layout(p).n_records
-            for start in range(0, n, self.per_partition):
-                parts.append(RecordRange(p, start, min(start + self.per_partition, n)))
+            if self.ends is not None:
+                n = min(n, self.ends.get(p, n))
+            step = max(n, 1) if self.ends is None and not self.find_ends else self.per_partition
+            for start in range(0, n, step):
+                parts.append(RecordRange(p, start, min(start + step, n)))
         return parts or [RecordRange(self.paths[0], 0, 0)]
 
+    def _first_end(self, partition: RecordRange):
+        """(path, number of the first record of the range that starts with an end marker)."""
+        import numpy as np
+        import pyarrow as pa
+
+        lay = read_layout(partition.path)
+        fs, inner = _open_fs(partition.path)
+        with fs.open_input_file(inner) as fh:
+            for lo in range(partition.start, partition.stop, 65536):
+                hi = min(lo + 65536, partition.stop)
+                buf = np.frombuffer(fh.read_at((hi - lo) * lay.record_size,
+                                               lay.header_size + lo * lay.record_size), dtype=np.uint8)
+                eof = np.flatnonzero(buf[::lay.record_size] == END_OF_FILE)
+                if len(eof):
+                    yield pa.RecordBatch.from_arrays([pa.array([partition.path]), pa.array([lo + int(eof[0])])],
+                                                     names=["path", "record"])
+                    return
+
     def read(self, partition: RecordRange):
         import numpy as np
         import pyarrow as pa
 
+        if self.find_ends:
+            yield from self._first_end(partition)
+            return
         lay = read_layout(partition.path)
         names = [f.name for f in self.schema.fields if f.name != "source_file"]
         by_name = {f.name: f for f in lay.fields}
@@ -242,8 +275,32 @@ def _text(v, code: str) -> str:
     return str(v)
 
 
-# A field length is one header byte.
+# A field length is one header byte, a field name at most ten.
 MAX_FIELD_BYTES = 254
+MAX_NAME_BYTES = 10
+
+
+def header_names(columns: list[str]) -> list[bytes]:
+    """Header names of the columns: upper case, and where names are too long or clash when
+    cut, a running number at the end (``ttl_title_no_flw`` beside ``TTL_TITLE_``: ``TTL_TITL_1``).
+
+    Columns that differ in case only are refused."""
+    whole = [c.upper().encode("ascii", "replace") for c in columns]
+    if len({c.upper() for c in columns}) < len(columns):
+        raise ValueError(f"column names differ in case only: {columns}")
+    out = [n if len(n) <= MAX_NAME_BYTES and whole.count(n) == 1 else None for n in whole]   # these fit as they are
+    taken = {n for n in out if n}
+    for at, n in enumerate(whole):
+        if out[at] is not None:
+            continue
+        name, k = n[:MAX_NAME_BYTES], 0
+        while name in taken:
+            k += 1
+            end = f"_{k}".encode()
+            name = n[:MAX_NAME_BYTES - len(end)] + end
+        taken.add(name)
+        out[at] = name
+    return out
 
 
 def _check_widths(schema, sizes, limits=None) -> None:
@@ -306,8 +363,7 @@ class FixedWidthWriter(DataSourceWriter):
         header_size = HEADER_SIZE + DESCRIPTOR_SIZE * len(codes) + 1
         record_size = 1 + sum(widths)
         out.write(struct.pack("<B3xIHH20x", 3, n_rows, header_size, record_size))
-        for f, code, w in zip(self.schema.fields, codes, widths):
-            name = f.name.upper().encode("ascii", "replace")[:10]
+        for name, code, w in zip(header_names(self.schema.names), codes, widths):
             out.write(name.ljust(11, b"\x00") + code.encode() + b"\x00" * 4 + bytes([w]) + b"\x00" * 15)
         out.write(bytes([FIELD_TERMINATOR]))
 
@@ -333,7 +389,9 @@ class FixedWidthDataSource(DataSource):
 
     Read options: ``recordsPerPartition`` (default 1,000,000), ``encoding``
     (utf-8), ``errors`` (``replace`` or ``ignore`` for undecodable bytes),
-    ``includeSourceFile`` (adds ``source_file``).
+    ``includeSourceFile`` (adds ``source_file``).  An end marker ends its file, not
+    its range: ``read_fixed_width`` looks for markers first and passes what it found
+    as ``ends``; without that option every file is one partition.
     """
 
     @classmethod
@@ -341,6 +399,8 @@ class FixedWidthDataSource(DataSource):
         return "dbf"
 
     def schema(self):
+        if self.options.get("findEnds", "false").lower() == "true":
+            return "path string, record long"
         lay = read_layout(expand_paths(self.options["path"])[0])
         fields = [StructField(f.name, StringType(), True) for f in lay.fields]
         if self.options.get("includeSourceFile", "false").lower() == "true":
@@ -399,9 +459,14 @@ def write_fixed_width(df, path: str, mode: str = "overwrite", **options) -> None
 
 
 def read_fixed_width(spark, path: str, **options):
-    """All shards matching ``path`` as one bronze (all-string) DataFrame."""
+    """All shards matching ``path`` as one bronze (all-string) DataFrame.
+
+    One pass over the record flags first finds the files that an end marker cuts short
+    (one row for each of these reaches the driver, which lists the files anyway), so the
+    rows do not depend on ``recordsPerPartition``."""
+    from pyspark.sql import functions as F
     register(spark)
-    r = spark.read.format("dbf")
-    for k, v in options.items():
-        r = r.option(k, str(v).lower() if isinstance(v, bool) else str(v))
-    return r.load(path)
+    given = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}
+    marks = spark.read.format("dbf").options(**given, findEnds="true").load(path)
+    ends = {r.path: r.record for r in marks.groupBy("path").agg(F.min("record").alias("record")).collect()}
+    return spark.read.format("dbf").options(**given, ends=json.dumps(ends)).load(path)

@@ -80,6 +80,36 @@ def test_two_shards_and_record_ranges(spark, tmp_path):
     assert df.select("source_file").distinct().count() == 2
 
 
+def test_end_marker_ends_the_file_whatever_the_ranges(spark, tmp_path):
+    recs = [(False, [str(i).encode(), b"x", b"20200101", b"T"]) for i in range(6)]
+    data = bytearray(dbf_bytes(recs))
+    data[32 + 32 * len(FIELDS) + 1 + 2 * 24] = 0x1A                 # flag of the third record
+    p = write(tmp_path, "cut.dbf", bytes(data))
+    write(tmp_path, "whole.dbf", dbf_bytes(recs))
+    for per in (1, 2, 100):
+        df = FW.read_fixed_width(spark, p, recordsPerPartition=per)
+        assert sorted(r["id"] for r in df.collect()) == ["0", "1"]
+        assert FW.read_fixed_width(spark, str(tmp_path), recordsPerPartition=per).count() == 2 + 6
+    FW.register(spark)
+    assert spark.read.format("dbf").option("recordsPerPartition", 2).load(p).count() == 2
+
+
+def test_long_names_that_clash_when_cut(spark, tmp_path):
+    df = spark.createDataFrame([("A", "B", "C", "D")], "ttl_title_no_prior string, ttl_title_no_flw string, "
+                                                       "ttl_titl_1 string, x string")
+    out = str(tmp_path / "w")
+    FW.write_fixed_width(df, out)
+    back = FW.read_fixed_width(spark, out)
+    assert back.columns == ["ttl_title_", "ttl_titl_2", "ttl_titl_1", "x"]
+    assert tuple(back.first()) == ("A", "B", "C", "D")
+    assert back.select("ttl_titl_2").first()[0] == "B"
+    with pytest.raises(Exception, match="differ in case only"):
+        FW.header_names(["a", "A"])
+    bad = write(tmp_path, "twice.dbf", dbf_bytes([], fields=[("A", "C", 3), ("A", "C", 3)]))
+    with pytest.raises(ValueError, match="more than once"):
+        FW.read_layout(bad)
+
+
 def test_writer_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(i, f"n{i}", i % 2 == 0) for i in range(100)], "id long, name string, ok boolean")
     out = str(tmp_path / "w")
