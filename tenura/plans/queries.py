@@ -730,7 +730,7 @@ def q_lineage_depth(spark, sf_dir):
 @register("lineage_ancestors")
 def q_lineage_ancestors(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return L.ancestors(t.title.select("title_no"), t.title_hierarchy, t.title, max_depth=100)
+    return L.ancestors(t.title.select("title_no"), t.title_hierarchy, t.title)
 
 
 @register("lineage_neighbours")
