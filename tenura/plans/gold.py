@@ -496,7 +496,7 @@ def title_search_wide(t, latest: str = "struct", as_of: Column | None = None,
     base = tt.select("title_no", F.col("status").alias("title_status"), F.col("type").alias("title_type"),
                      "register_type", "issue_date", "guarantee_status", opt(tt, "provisional"),
                      opt(tt, "maori_land"), opt(tt, "ste_id", "bigint"), opt(tt, "sur_wrk_id", "bigint"),
-                     "ldt_loc_id", "is_current", (F.col("status") == "LIVE").alias("is_live"))
+                     "ldt_loc_id", "is_current", F.coalesce(F.col("status") == "LIVE", F.lit(False)).alias("is_live"))
     j = star_left(base, _search_branches(t, with_arrays=True, latest=latest, primary_estate=primary_estate),
                   "title_no", "k")
     zero = F.lit(0).cast("bigint")
@@ -526,9 +526,7 @@ def title_search_wide(t, latest: str = "struct", as_of: Column | None = None,
         arr("prior_titles"), arr("follow_on_titles"), lineage.alias("has_title_lineage"),
         F.coalesce("document_reference_count", zero).alias("document_reference_count"),
         arr("document_references"),
-        F.concat_ws(" ", "title_no", "title_type", "register_type",
-                    F.coalesce(F.col("latest_instrument_no"), F.lit("")),
-                    F.coalesce(F.col("latest_instrument_description"), F.lit(""))).alias("search_text"),
+        _search_text().alias("search_text"),
     ]
     if as_of is not None:
         cols.append(as_of.alias("updated_at"))
