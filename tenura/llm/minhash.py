@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tenura.llm import textops as T
 from tenura.llm.components import components
-from tenura.llm.frames import NO_ID, cut_lineage, ids_are_unique, keys
+from tenura.llm.frames import NO_ID, cut_lineage, ids_are_unique, keys, written
 
 SHINGLE = 5
 PERCENT = 80
@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     unique = ids_are_unique(docs)
     did, uid = keys(docs, unique=unique)
     rows = docs.select(did, uid, F.col("text").cast("string").alias("text"))
-    sketched = cut_lineage(rows.mapInArrow(
+    sketched = written(rows.mapInArrow(
         _sketch(shingle), "did long, uid long, n_shingles long, s1 long, s2 long, sig binary"))
     # one node per distinct set, named by its least document
     node = F.col("did") if unique else F.xxhash64("did", "uid")
@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     least = F.min(F.struct("did", "uid")).alias("m")
     nodes = (sketched.filter("n_shingles > 0").groupBy(*sets).agg(least, F.first("sig").alias("sig"))
              .select(*sets, F.col("m.did").alias("did"), F.col("m.uid").alias("uid"), "sig"))
-    nodes = cut_lineage(nodes.withColumn("v", node))
+    nodes = written(nodes.withColumn("v", node))
     comp = _link(rows, nodes.select("v", "did", "uid", "sig"), shingle, percent)
     labelled = (nodes.drop("sig").join(comp, "v", "left").withColumn("comp", F.coalesce("comp", "v")))
     if unique:
@@ -287,14 +287,14 @@ def _link(rows: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> Data
     """(v, comp) of the nodes that have a link."""
     band = nodes.select("v", "sig").mapInArrow(_bands, "key long, v long, band int")
     shared = band.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("v").alias("m")).filter("k > 1")
-    buckets = cut_lineage(band.join(shared, "key"))          # nodes that meet others
+    buckets = written(band.join(shared, "key"))          # nodes that meet others
     stars = cut_lineage(_pairs(buckets.select(F.col("m").alias("a"), F.col("v").alias("b"))))
     edges = _verified(stars, rows, nodes, shingle, percent)
     comp = components(edges)
     # buckets that still hold several components: all pairs of different ones are estimated
-    at = cut_lineage(buckets.join(comp, "v", "left").select("key", "band", "k", "v", F.coalesce("comp", "v").alias("comp")))
+    at = written(buckets.join(comp, "v", "left").select("key", "band", "k", "v", F.coalesce("comp", "v").alias("comp")))
     split = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
-    at = cut_lineage(at.join(cut_lineage(split), "key"))
+    at = written(at.join(cut_lineage(split), "key"))
     active = nodes.select("v", "did", "uid").join(at.select("v").distinct(), "v")
     compact = _texts(rows, active).mapInArrow(_compact(shingle), "v long, sig binary, set binary")
     open_ = (at.withColumn("blocks", F.ceil(F.col("k") / CELL).cast("int"))
@@ -332,7 +332,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int,
                            .select("a", "b", "sig_a", "sig_b").mapInArrow(_estimate(percent), "a long, b long"))
     needed = near.select(F.col("a").alias("v")).unionByName(near.select(F.col("b").alias("v"))).distinct()
     who = nodes.select("v", "did", "uid").join(needed, "v")
-    texts = cut_lineage(_texts(rows, who))
+    texts = written(_texts(rows, who))
     both = (near.join(texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
             .join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a")
             .select("a", "b", "text_a", "text_b"))
