@@ -71,14 +71,15 @@ def _versions(spark: SparkSession, root: str, name: str) -> list[str]:
 
 
 def refresh(spark: SparkSession, df: DataFrame, root: str, name: str, keys: list[str] | None = None,
-            keep: int = 2) -> str:
+            keep: int | None = None) -> str:
     """K3: full refresh of a materialised table.
 
     Each refresh writes a new version directory ``<root>/<name>/v-<time>-<id>``;
     Spark's job commit writes its ``_SUCCESS`` marker last, and readers open the
     newest committed version, so they never see a half-written table (no rename
-    or pointer file, so it works the same on HDFS and object stores).  After a
-    successful write, committed versions beyond the newest ``keep`` are deleted.
+    or pointer file, so it works the same on HDFS and object stores).  Older
+    versions stay unless ``keep`` is given: then committed versions beyond the
+    newest ``keep`` are deleted after a successful write, also under a running reader.
     Returns the new version path; ``read_current`` opens the current one.
     """
     stamp = f"{int(time.time() * 1000):015d}"
@@ -87,7 +88,7 @@ def refresh(spark: SparkSession, df: DataFrame, root: str, name: str, keys: list
         cluster_write(df, keys, version)
     else:
         df.write.mode("error").parquet(version)
-    for old in _versions(spark, root, name)[:-keep] if keep > 0 else []:
+    for old in _versions(spark, root, name)[:-keep] if keep else []:
         fs, p = _fs(spark, old)
         fs.delete(p, True)
     return version

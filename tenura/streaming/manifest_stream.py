@@ -17,6 +17,7 @@ registers each file exactly once.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tenura.sources.manifest import latest_files, new_files
@@ -29,7 +30,9 @@ CONTROL_SCHEMA = ("source_entity string, file_name string, file_size bigint, fil
 def _control(spark: SparkSession, control_path: str) -> DataFrame:
     try:
         return spark.read.schema(CONTROL_SCHEMA).parquet(control_path)
-    except Exception:  # noqa: BLE001 - first run: no control table yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":     # anything else is no first run
+            raise
         return spark.createDataFrame([], CONTROL_SCHEMA)
 
 
