@@ -83,8 +83,8 @@ def label_codes(df: DataFrame, codes: DataFrame, mapping: dict[str, str],
     """Label each code column from a (group, code, description) list.
 
     ``mapping`` maps a column of ``df`` to its code group.  Each lookup is a left
-    join against the code list filtered to one group (constant in ON); the code
-    list is bounded, so it is broadcast.  Result column ``<col><suffix>`` holds the
+    join against the code list filtered to one group (constant in ON); Spark
+    broadcasts the list where it measures it below its threshold.  Result column ``<col><suffix>`` holds the
     description or the raw code (X5).
     """
     out = df
@@ -92,7 +92,7 @@ def label_codes(df: DataFrame, codes: DataFrame, mapping: dict[str, str],
         d = (codes.where(F.col(group_col) == group)
                   .select(F.col(code_col).alias(f"__code_{col}"),
                           F.col(desc_col).alias(f"__desc_{col}")))
-        out = (out.join(F.broadcast(d), out[col] == d[f"__code_{col}"], "left")
+        out = (out.join(d, out[col] == d[f"__code_{col}"], "left")
                   .withColumn(f"{col}{suffix}", F.coalesce(F.col(f"__desc_{col}"), F.col(col)))
                   .drop(f"__code_{col}", f"__desc_{col}"))
     return out
