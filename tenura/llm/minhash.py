@@ -138,10 +138,11 @@ def _estimate(percent: int):
 
 
 def _compact(shingle: int):
-    """(v, sig, set): low bytes of the minima and low halves of the shingle hashes.
+    """(v, sig, set, keys): low bytes of the minima, low halves of the shingle hashes, full band keys.
 
-    Both only ever make two sets look more alike than they are, so a pair refused on
-    them is no link; a pair that passes is confirmed on the full sets."""
+    The first two only ever make two sets look more alike than they are, so a pair refused
+    on them is no link; a pair that passes is confirmed on the full sets.  The band keys are
+    whole: they tell in which buckets a pair meets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = T.Powers()
         for batch in batches:
@@ -149,11 +150,13 @@ def _compact(shingle: int):
                 continue
             for lo, hi, buf, off in T.chunks(batch.column("text"), 1 << 18):
                 sets = shingle_sets(buf, off, shingle, powers)
-                sig = (signatures(sets) & 255).astype(np.uint8)
+                sig = signatures(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("v").slice(lo, hi - lo), pa.array([x.tobytes() for x in sig], pa.binary()),
-                     pa.array([np.sort(x.astype(np.uint32)).tobytes() for x in sets], pa.binary())],
-                    names=["v", "sig", "set"])
+                    [batch.column("v").slice(lo, hi - lo),
+                     pa.array([x.tobytes() for x in (sig & 255).astype(np.uint8)], pa.binary()),
+                     pa.array([np.sort(x.astype(np.uint32)).tobytes() for x in sets], pa.binary()),
+                     pa.array([x.tobytes() for x in _band_keys(sig)], pa.binary())],
+                    names=["v", "sig", "set", "keys"])
     return run
 
 
@@ -168,6 +171,7 @@ def _cells(percent: int):
         if (comp == comp[0]).all():
             return None
         sig = np.frombuffer(b"".join(cell.column("sig").to_pylist()), dtype=np.uint8).reshape(len(v), BANDS * ROWS)
+        bands = np.frombuffer(b"".join(cell.column("keys").to_pylist()), dtype=np.uint64).reshape(len(v), BANDS)
         sets = [np.frombuffer(x, dtype=np.uint32) for x in cell.column("set").to_pylist()]
         n, band = np.array([len(x) for x in sets]), cell.column("band")[0].as_py()
         across = cell.column("c0")[0].as_py() != cell.column("c1")[0].as_py()
@@ -181,11 +185,9 @@ def _cells(percent: int):
             at = np.flatnonzero(ok) + r + 1
             if not len(at):
                 continue
-            same = sig[at] == sig[r]
-            good = same.sum(axis=1) >= need
-            # a pair is looked at in the first band that it shares
-            good &= same.reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-            at = at[good]
+            at = at[(sig[at] == sig[r]).sum(axis=1) >= need]
+            # a pair is looked at in the first band that it shares, by the keys that made the buckets
+            at = at[(bands[at] == bands[r]).argmax(axis=1) == band]
             if not len(at):
                 continue
             flat = np.concatenate([sets[k] for k in at])
@@ -296,7 +298,7 @@ def _link(rows: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> Data
     split = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
     at = written(at.join(cut_lineage(split), "key"))
     active = nodes.select("v", "did", "uid").join(at.select("v").distinct(), "v")
-    compact = _texts(rows, active).mapInArrow(_compact(shingle), "v long, sig binary, set binary")
+    compact = _texts(rows, active).mapInArrow(_compact(shingle), "v long, sig binary, set binary, keys binary")
     open_ = (at.withColumn("blocks", F.ceil(F.col("k") / CELL).cast("int"))
              .withColumn("i", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")))
     cells = open_.select("key", "band", "v", "comp", "i", F.explode(F.sequence(

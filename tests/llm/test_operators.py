@@ -97,6 +97,38 @@ def test_near_duplicate_chains_beyond_the_least(spark):
     assert got == ordered((d, n, c, c == d) for d, n, c in brute.near_duplicates([r[:2] for r in docs]))
 
 
+def test_cells_look_at_a_pair_whose_low_bytes_agree_in_an_earlier_band():
+    import numpy as np
+    import pyarrow as pa
+    sig = np.random.default_rng(3).integers(0, 1 << 32, minhash.BANDS * minhash.ROWS, dtype=np.uint32)
+    other = sig.copy()
+    other[:minhash.ROWS] ^= 1 << 20        # band 0: low bytes agree, minima differ
+    keys = [minhash._band_keys(x[None])[0] for x in (sig, other)]
+    assert keys[0][0] != keys[1][0] and (keys[0][1:] == keys[1][1:]).all()
+    words = np.arange(100, dtype=np.uint32).tobytes()
+
+    def pairs(band):
+        cell = pa.RecordBatch.from_pydict({
+            "key": [int(keys[0].view(np.int64)[band])] * 2, "band": pa.array([band] * 2, pa.int32()), "c0": [0, 0], "c1": [0, 0],
+            "i": [0, 0], "v": [1, 2], "comp": [1, 2], "sig": [(x & 255).astype(np.uint8).tobytes() for x in (sig, other)],
+            "set": [words] * 2, "keys": [x.tobytes() for x in keys]})
+        return [(r["a"], r["b"]) for out in minhash._cells(80)(iter([cell])) for r in out.to_pylist()]
+
+    assert pairs(1) == [(1, 2)] and pairs(2) == []
+
+
+def test_compact_sets_carry_the_keys_of_the_buckets(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i + j}" for j in range(40))) for i in range(20)], "v long, text string")
+    sketch = docs.selectExpr("v as did", "0L as uid", "text").mapInArrow(
+        minhash._sketch(4), "did long, uid long, n_shingles long, s1 long, s2 long, sig binary")
+    want = {}
+    for r in sketch.selectExpr("did as v", "sig").mapInArrow(minhash._bands, "key long, v long, band int").collect():
+        want.setdefault(r.v, {})[r.band] = r.key
+    import numpy as np
+    got = docs.mapInArrow(minhash._compact(4), "v long, sig binary, set binary, keys binary").collect()
+    assert {r.v: dict(enumerate(np.frombuffer(r["keys"], np.int64).tolist())) for r in got} == want
+
+
 def test_one_of_each_with_repeated_rows(spark):
     t = " ".join(f"w{i}" for i in range(50))
     docs = spark.createDataFrame([row(3, t), row(3, t), row(3, "something else entirely here now"), row(4, t.upper()),
