@@ -9,9 +9,10 @@ of the largest sum wins (ties: the first by code point); ``score`` is its poster
 a flat prior.
 
 The model is fitted on a bounded sample: at most about ``sample`` documents a language,
-chosen by a hash of the id (rate = sample / labelled documents of the language), and
-keeps the ``n_words`` and ``n_grams`` most frequent entries, which bounds the broadcast.
-Words are runs of letters, lower-cased, so texts without a letter are ``und`` with score 0.
+chosen by a hash of the id (rate = sample / labelled documents of the language).  It keeps
+every word and n-gram of the sample, so the broadcast grows with the vocabulary of the
+sampled documents and the number of languages, not with the table.  A language is known
+when a sampled text of it has a word.  Words are runs of letters, lower-cased, so texts without a letter are ``und`` with score 0.
 
 Defined results: a null or empty text is ``und``; null languages never train; with no
 training rows everything is ``und``; repeated rows are judged (and counted) each for
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -33,8 +35,6 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from tenura.llm.frames import cut_lineage, text_uid
 
 SAMPLE = 4000
-N_WORDS = 60_000
-N_GRAMS = 60_000
 ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -95,10 +95,44 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return (rows.join(per, "lang").filter(draw < F.lit(float(sample)) / F.col("count")).select("lang", "text"))
 
 
+class Table:
+    """Log frequency per language of the entries of one kind, add-half smoothed; only seen pairs are stored."""
+
+    def __init__(self, items: pa.ChunkedArray, lang: np.ndarray, n: np.ndarray, n_langs: int) -> None:
+        coded = items.combine_chunks().dictionary_encode()
+        code = coded.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        self.at = {item: i for i, item in enumerate(coded.dictionary.to_pylist())}
+        self.begin = np.concatenate(([0], np.cumsum(np.bincount(code, minlength=len(self.at)))))
+        size = np.bincount(lang, weights=n, minlength=n_langs) + 0.5 * len(self.at)
+        self.lang = lang[order]
+        logs = np.log((n[order] + 0.5) / size[self.lang])
+        self.unseen = np.log(0.5 / size) if len(self.at) else size
+        # vectors are relative to the languages' mean
+        more = np.bincount(code[order], weights=logs - self.unseen[self.lang], minlength=len(self.at))
+        self.mean = (self.unseen.sum() + more) / max(1, n_langs)
+        self.logs = logs - self.mean[code[order]]
+        self.made: dict[str, np.ndarray] = {}
+
+    def get(self, item: str) -> np.ndarray | None:
+        v = self.made.get(item)
+        if v is None:
+            i = self.at.get(item)
+            if i is None:
+                return None
+            v, seen = self.unseen - self.mean[i], slice(self.begin[i], self.begin[i + 1])
+            v[self.lang[seen]] = self.logs[seen]
+            if len(self.made) >= CACHE:
+                self.made.clear()
+            self.made[item] = v
+        return v
+
+
 class Model:
-    """Score vectors per known word and n-gram; picklable, bounded by N_WORDS and N_GRAMS."""
+    """Score vectors per known word and n-gram; picklable."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[int, dict[str, np.ndarray]]) -> None:
+    def __init__(self, langs: list[str], words: Table | dict[str, np.ndarray],
+                 grams: dict[int, Table | dict[str, np.ndarray]]) -> None:
         self.langs, self.words, self.grams, self.cache = langs, words, grams, {}
 
     def vector(self, word: str) -> np.ndarray | None:
@@ -110,9 +144,9 @@ class Model:
             v = None
             for o in ORDERS:
                 table = self.grams.get(o, {})
-                known = [table[g] for g in grams_of(word, o) if g in table]
+                known = [x for x in map(table.get, grams_of(word, o)) if x is not None]
                 if known:
-                    v = np.mean(known, axis=0)
+                    v = sum(known[1:], known[0]) / len(known)
                     break
             if len(self.cache) >= CACHE:
                 self.cache.clear()
@@ -136,38 +170,19 @@ class Model:
         return self.langs[k], float(1.0 / np.exp(total - total[k]).sum())
 
 
-def _smooth(rows, langs: list[str]) -> dict[str, np.ndarray]:
-    """Log frequency per language with add-half smoothing, relative to the languages' mean."""
-    at = {x: i for i, x in enumerate(langs)}
-    totals = np.zeros(len(langs))
-    table: dict[str, np.ndarray] = {}
-    for r in rows:
-        v = np.zeros(len(langs))
-        for lang, n in r.by_lang.items():
-            v[at[lang]] = n
-            totals[at[lang]] += n
-        table[r.item] = v
-    size = len(table)
-    for item, v in table.items():
-        logs = np.log((v + 0.5) / (totals + 0.5 * size))
-        table[item] = logs - logs.mean()
-    return table
-
-
-def fit(docs: DataFrame, sample: int = SAMPLE, n_words: int = N_WORDS, n_grams: int = N_GRAMS) -> Model:
-    """docs: doc_id, lang, text.  Counts in Spark; the most frequent entries come to the driver."""
-    counted = (training_rows(docs, sample).mapInArrow(_count, "lang string, kind int, item string, n long")
-               .groupBy("kind", "item", "lang").agg(F.sum("n").alias("n"))
-               .groupBy("kind", "item").agg(F.sum("n").alias("n"),
-                                            F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
-               .filter("n > 1").persist())
-    # the bounds: top entries by count, ties by text
-    top = [counted.filter("kind = 0").orderBy(F.desc("n"), "item").limit(n_words).collect(),
-           counted.filter("kind > 0").orderBy(F.desc("n"), "kind", "item").limit(n_grams).collect()]
-    counted.unpersist()
-    langs = sorted({x for rows in top for r in rows for x in r.by_lang})
-    grams = {o: _smooth([r for r in top[1] if r.kind == o], langs) for o in ORDERS}
-    return Model(langs, _smooth(top[0], langs), grams)
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """docs: doc_id, lang, text.  Counts in Spark; the entries of the sample come to the driver."""
+    got = (training_rows(docs, sample).mapInArrow(_count, "lang string, kind int, item string, n long")
+           .groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")).toArrow())
+    langs = sorted(got.column("lang").unique().to_pylist())
+    lang = pc.index_in(got.column("lang"), pa.array(langs, pa.string())).to_numpy()
+    kind, n = got.column("kind").to_numpy(), got.column("n").to_numpy()
+
+    def table(k: int) -> Table:
+        of = np.flatnonzero(kind == k)
+        return Table(got.column("item").take(of), lang[of], n[of], len(langs))
+
+    return Model(langs, table(0), {o: table(o) for o in ORDERS})
 
 
 def _predict(shared, text: str):

@@ -1,4 +1,5 @@
 """Each operator against a brute-force version on a small hard fixture."""
+import zlib
 from collections import Counter, defaultdict
 
 import brute
@@ -240,6 +241,32 @@ def test_language_edges(spark, hard_df):
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
 
+def test_every_labelled_language_and_sampled_word_is_known(spark):
+    """Many long documents of one language, one short one of each of two others, one in its own script."""
+    import random
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(9))
+    rows, k = [], 0
+
+    def add(lang, text):
+        nonlocal k
+        while zlib.crc32(str(k).encode()) % 4 == 2:          # held out
+            k += 1
+        rows.append(row(k, text, lang))
+        k += 1
+    for _ in range(80):
+        words = [word() for _ in range(1000)]
+        add("aa", " ".join(words + words))
+    add("zz", "zuxy vuzzy ruxt")
+    add("gr", "αβγδ εζηθ")
+    model = langid.fit(spark.createDataFrame(rows, SCHEMA))
+    assert model.langs == ["aa", "gr", "zz"]
+    trained = {w for r in rows for w in langid.words_of(r[1])}
+    assert len(trained) > 70_000 and all(model.words.get(w) is not None for w in trained)
+    assert model.predict("αβγδ")[0] == "gr" and model.predict("αβγδ")[1] >= langid.MIN_SCORE
+    assert model.predict("vuzzy zuxy")[0] == "zz" and model.predict(rows[3][1])[0] == "aa"
+
+
 def test_language_backs_off():
     import numpy as np
     m = langid.Model(["a", "b"], {"known": np.array([1.0, -1.0])},
