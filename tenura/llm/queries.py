@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tenura.llm import (decontaminate, langid, linededup, minhash, mixing, quality, rules, substring, suffix,
-                        urlcascade)
+from tenura.llm import (conversations, decontaminate, divergence, langid, linededup, minhash, mixing, quality, rules,
+                        simhash, substring, suffix, urlcascade)
 from tenura.llm.frames import read_table
 from tenura.llm.oracles import ORACLES  # noqa: F401
 
@@ -49,6 +49,19 @@ def op10_url_filter(spark, sf_dir):
     return urlcascade.url_report(spark, read_table(spark, sf_dir, "pages"))
 
 
+def op11_source_divergence(spark, sf_dir):
+    return divergence.divergence(read_table(spark, sf_dir, "documents"))
+
+
+def op12_simhash(spark, sf_dir):
+    return simhash.simhash_report(read_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    return conversations.repair_report(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_quality_classifier, op3_line_dedup, op4_suffix_dedup, op5_quality_rules, op6_mixing,
-    op7_minhash, op8_substring_dedup, op9_language_id, op10_url_filter)}
+    op7_minhash, op8_substring_dedup, op9_language_id, op10_url_filter,
+    op11_source_divergence, op12_simhash, op13_conversation_repair)}
