@@ -38,7 +38,7 @@ MIN_DOCS = 30
 SCALE = 1_000_000_000
 ADD = 5                    # smoothing
 TOP = 50
-BLOCK_BYTES = 24 << 20     # text of a block of documents that one task counts at once
+BLOCK_BYTES = 16 << 20     # text of a block of documents that one task counts at once
 TILE = 128                 # sources of a tile; a cell compares two tiles
 SALTS = 32
 TERMS = 256                # terms of a dense piece of a cell
@@ -57,34 +57,28 @@ _COUNTED = "lang string, {} string, sids array<long>, occs array<long>, docs arr
 def _words(buf: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """The words of a chunk of rows as one string array, and the row of each word."""
     starts, ends, first = T.word_spans(buf, off, inside)
-    size = ends - starts
-    o = np.concatenate(([0], np.cumsum(size)))
-    data = buf[inside[buf]] if len(buf) else buf
-    words = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(o.astype(np.int64)), pa.py_buffer(data.tobytes()))
-    return words, np.repeat(np.arange(len(off) - 1), np.diff(first))
-
-
-def _runs(change: np.ndarray) -> np.ndarray:
-    """Offsets of the runs of a sorted array; ``change`` says where a value differs from the one before."""
-    return np.concatenate(([0], np.flatnonzero(change) + 1, [len(change) + 1])) if len(change) + 1 else np.zeros(1, int)
+    ends -= starts
+    at = np.zeros(len(ends) + 1, dtype=np.int64)
+    np.cumsum(ends, out=at[1:])
+    words = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(at), pa.py_buffer(buf[inside[buf]]))
+    return words, np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(first))
 
 
 def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
-def _counted(lang, word, word_name, key, sid, occ, doc, n_docs, min_docs) -> pa.RecordBatch | None:
-    """One row per key of entries (key, sid, occ) and (key, doc), both sorted; see _COUNTED.
-
-    key numbers the rows of ``lang`` and ``word`` from 0; n_docs: (marked, key of each doc)."""
-    many, doc_key = n_docs
+def _counted(lang, word, word_name, entries, in_docs, many) -> pa.RecordBatch:
+    """Rows of _COUNTED from ``entries`` (row, sid, occurrences) and ``in_docs`` (row, document), both
+    sorted; a row that is marked ``many`` leaves its documents out."""
     n = len(word)
-    e = np.searchsorted(key, np.arange(n + 1))
-    keep = ~many[doc_key]
-    doc_key, doc = doc_key[keep], doc[keep]
+    row, sid, occ = entries
+    ends = np.searchsorted(row, np.arange(n + 1))
+    keep = ~many[in_docs[0]]
+    doc_row, doc = in_docs[0][keep], in_docs[1][keep]
     return pa.RecordBatch.from_arrays(
-        [lang.cast(pa.string()), word.cast(pa.string()), _lists(sid, e), _lists(occ, e),
-         _lists(doc, np.searchsorted(doc_key, np.arange(n + 1))), pa.array(many)],
+        [lang.cast(pa.string()), word.cast(pa.string()), _lists(sid, ends), _lists(occ, ends),
+         _lists(doc, np.searchsorted(doc_row, np.arange(n + 1))), pa.array(many)],
         names=["lang", word_name, "sids", "occs", "docs", "many"])
 
 
@@ -100,42 +94,56 @@ def _count_chunks(min_docs: int):
     """Documents (lang, sid, text) -> counted chunks of each block of documents."""
     def block(held: list[pa.RecordBatch], first_doc: int) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
-        if not table.num_rows:
-            return
         langs = table.column("lang").combine_chunks().dictionary_encode()
-        lang_of = langs.indices.to_numpy()
         sid_of = table.column("sid").to_numpy()
+        n = table.num_rows
+        # documents are numbered by source, so that what is sorted by document is sorted by source
+        by_sid = np.argsort(sid_of, kind="stable")
+        place = np.empty(n, dtype=np.int64)
+        place[by_sid] = np.arange(n)
         words, docs = [], []
         for lo, _, buf, off in T.chunks(table.column("text"), 1 << 30):
             w, d = _words(_LOWER[buf], off, _BLANK)
             words.append(w)
             docs.append(d + lo)
         coded = pa.chunked_array(words).combine_chunks().dictionary_encode()
-        code, doc = coded.indices.to_numpy().astype(np.int64), np.concatenate(docs)
+        del words
+        chunks, code = coded.dictionary, coded.indices.to_numpy()
+        doc = docs[0] if len(docs) == 1 else np.concatenate(docs)
         if not len(code):
             return
-        k, n = len(coded.dictionary), table.num_rows
-        # one sort: by (language, chunk, document); equal ones are the chunk's count in the document
-        joined = (lang_of[doc].astype(np.int64) * k + code) * n + doc
-        joined, occ = np.unique(joined, return_counts=True)
-        pair, doc = joined // n, joined % n
-        names, key = np.unique(pair, return_inverse=True)
-        many = np.bincount(key, minlength=len(names)) >= min_docs
-        ekey, sid, total = _add_up(key, sid_of[doc], occ.astype(np.int64))
-        out = _counted(langs.dictionary.take(pa.array(names // k)), coded.dictionary.take(pa.array(names % k)), "chunk",
-                       ekey, sid, total, doc + first_doc, (many, key), min_docs)
+        # one sort, in place: by (language, chunk, document); equal ones are a chunk's count in a document
+        joined = langs.indices.to_numpy()[doc].astype(np.int64)
+        joined *= len(chunks)
+        joined += code
+        joined *= n
+        joined += place[doc]
+        del coded, code, doc, docs
+        joined.sort()
+        at = np.flatnonzero(np.concatenate(([True], joined[1:] != joined[:-1])))
+        occ = np.diff(np.concatenate((at, [len(joined)])))
+        joined = joined[at]
+        place, joined = joined % n, joined // n
+        new = np.concatenate(([True], joined[1:] != joined[:-1]))
+        key, names = np.cumsum(new) - 1, joined[new]
+        sid = sid_of[by_sid][place]
+        many = np.bincount(key) >= min_docs
+        runs = np.flatnonzero(np.concatenate(([True], new[1:] | (sid[1:] != sid[:-1]))))
+        out = _counted(langs.dictionary.take(pa.array(names // len(chunks))), chunks.take(pa.array(names % len(chunks))),
+                       "chunk", (key[runs], sid[runs], np.add.reduceat(occ, runs)), (key, by_sid[place] + first_doc), many)
         yield from pa.Table.from_batches([out]).to_batches(max_chunksize=RUN_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a document is named by its partition and place; a repeated task gives the same names
         seen, held, size = TaskContext.get().partitionId() << 40, [], 0
         for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= BLOCK_BYTES:
-                yield from block(held, seen)
-                seen += sum(b.num_rows for b in held)
-                held, size = [], 0
+            for lo, hi, buf, _ in T.chunks(batch.column("text"), BLOCK_BYTES):
+                if held and size + len(buf) > BLOCK_BYTES:
+                    yield from block(held, seen)
+                    seen += sum(b.num_rows for b in held)
+                    held, size = [], 0
+                held.append(batch.slice(lo, hi - lo))
+                size += len(buf)
         if held:
             yield from block(held, seen)
     return run
@@ -155,7 +163,7 @@ def _merged(table: pa.Table, name: str, min_docs: int) -> pa.RecordBatch:
     many = np.bincount(dkey, minlength=len(at)) >= min_docs
     many[row[table.column("many").to_numpy()]] = True
     take = pa.array(at)
-    return _counted(lang.take(take), word.take(take), name, ekey, sid, occ, doc, (many, dkey), min_docs)
+    return _counted(lang.take(take), word.take(take), name, (ekey, sid, occ), (dkey, doc), many)
 
 
 def _whole_keys(batches: Iterator[pa.RecordBatch], names: list[str], min_docs: int) -> Iterator[pa.RecordBatch]:
