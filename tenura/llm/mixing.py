@@ -152,7 +152,8 @@ def round_copies(due: DataFrame, group: int = GROUP) -> DataFrame:
         own = counts.select("src", F.ceil(F.col("n") / (group // 2)).alias("groups"))
         dealt = open_rows.join(own, "src").withColumn(
             "g", F.pmod(F.xxhash64("did", "uid", "row", F.lit(level)), F.col("groups")))
-        out = cut_lineage(dealt.groupBy("src", "g").applyInPandas(_settle_group(level, last), schema))
+        # dealt by both: the join's partitioning by src alone would put all groups of a source in one task
+        out = cut_lineage(dealt.repartition("src", "g").groupBy("src", "g").applyInPandas(_settle_group(level, last), schema))
         whole = F.col("prob").isin(0.0, 1.0)
         settled.append(out.filter(whole))
         if last:
