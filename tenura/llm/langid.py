@@ -6,7 +6,8 @@ A text is scored word by word: a known word adds its log frequencies; an unknown
 falls back to its n-grams of the longest order of which any is known, adding their mean;
 an order without a known n-gram is passed over for the next shorter one.  The language
 of the largest sum wins (ties: the first by code point); ``score`` is its posterior at
-a flat prior.
+a flat prior, times the share of the words of which a word or n-gram is known: a text in a
+script that was never seen has a language, as every text with a letter, and the score 0.
 
 The model is fitted on a bounded sample: at most about ``sample`` documents a language,
 chosen by a hash of the id (rate = sample / labelled documents of the language).  It keeps
@@ -37,17 +38,24 @@ from tenura.llm.frames import cut_lineage, text_uid
 SAMPLE = 4000
 ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]+")          # letters, and numbers like the vulgar fractions that go below
 CACHE = 200_000
 BROADCAST_LANGS = 10_000
 MIN_SCORE = 0.5
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Runs of letters (categories L*), lower-cased."""
+    found = WORD.findall(text.lower())
+    if "".join(found).isalpha() or not found:
+        return found
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
 
 
 def grams_of(word: str, order: int) -> list[str]:
+    """n-grams of the word with a blank at both ends; none of blanks only."""
+    if order == 1:
+        return list(word)
     w = f" {word} "
     return [w] if len(w) <= order else [w[i:i + order] for i in range(len(w) - order + 1)]
 
@@ -165,9 +173,11 @@ class Model:
             if v is not None:
                 vectors.append(v)
                 times.append(n)
-        total = np.asarray(times, dtype=float) @ np.asarray(vectors) if vectors else np.zeros(len(self.langs))
+        if not vectors:
+            return self.langs[0], 0.0
+        total = np.asarray(times, dtype=float) @ np.asarray(vectors)
         k = int(np.argmax(total))
-        return self.langs[k], float(1.0 / np.exp(total - total[k]).sum())
+        return self.langs[k], float(1.0 / np.exp(total - total[k]).sum()) * sum(times) / sum(counts.values())
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
