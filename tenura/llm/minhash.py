@@ -1,17 +1,20 @@
 """Operator 7, MinHash near-dedup.
 
 A document is its set of distinct ``shingle``-word shingles (A-Z lower-cased; fewer words:
-the whole sequence).  Equal sets become one node.  Every set has BANDS * ROWS universal
-hash minima; nodes that share a band of ROWS minima meet in a bucket.  In a bucket each
-node is paired with the least one; pairs that pass the signature estimate are confirmed
-on the full shingle sets, and components come from alternating large-star and small-star.
+the whole sequence).  Documents of equal word sequences (by the BLAKE2b digest of the
+words) become one node.  Every set has BANDS * ROWS universal hash minima; nodes that
+share a band of ROWS minima meet in a bucket.  In a bucket each node is paired with the
+least one; pairs that pass the signature estimate are confirmed on the full shingle sets,
+the shingles themselves and not their hashes, and components come from alternating
+large-star and small-star.
 
 Buckets that still hold several components are not closed: every pair of different
 components in them is estimated, in cells of at most two blocks of CELL nodes that are
-sorted together; a pair is estimated from its minima, then counted on half hashes of its
-sets, and only pairs that pass leave the task for the confirmation on the full sets.  No pair
-is dropped for the size of its bucket; the work of such a bucket grows with the product
-of its size and its nodes outside the largest component.  With 32 bands of 4 a pair at
+sorted together (``cells.deal``); a pair is estimated from its minima, then counted on half
+hashes of its sets, and only pairs that pass leave the task for the confirmation on the
+full sets.  No pair is dropped for the size of its bucket.  The members of a bucket's
+largest component are shipped once for each block of nodes outside it, so the rows grow
+with the bucket unless very many of its nodes stay apart.  With 32 bands of 4 a pair at
 similarity 0.8 shares no band with probability 5e-8.
 
 Defined results: a null or wordless text has an empty set and links with nothing; a null
@@ -22,6 +25,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenura.llm import textops as T
+from tenura.llm.cells import deal
 from tenura.llm.components import components
 from tenura.llm.frames import NO_ID, cut_lineage, ids_are_unique, keys, written
 
@@ -46,25 +51,38 @@ _VALUES = T.byte_values(lower=True)
 _IS_WORD = T.blank_separated()
 
 
-def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int, powers: T.Powers) -> list[np.ndarray]:
+def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int, powers: T.Spans) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text of a chunk."""
     starts, ends, first = T.word_spans(buf, off, _IS_WORD)
-    h = T.span_hashes(T.prefix_sums(_VALUES[buf], powers), starts, ends, powers)
-    s = T.prefix_sums(h, powers)
+    h = powers.hashes(powers.sums(_VALUES[buf]), starts, ends)
+    s = powers.sums(h)
     at = np.arange(max(0, len(h) - k + 1))
-    grams = T.span_hashes(s, at, at + k, powers)
+    grams = powers.hashes(s, at, at + k)
     out = []
     for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if j - i >= k:
             g = np.sort(grams[i:j - k + 1])
             out.append(g[np.concatenate(([True], g[1:] != g[:-1]))])
         elif j > i:
-            out.append(T.span_hashes(s, np.array([i]), np.array([j]), powers))
+            out.append(powers.hashes(s, np.array([i]), np.array([j])))
         else:
             out.append(grams[:0])
     return out
 
 
+def shingles(text: str | None, k: int) -> set[bytes]:
+    """The shingles themselves."""
+    words = (text or "").encode().lower().split()      # bytes: A-Z and ASCII blanks only
+    if len(words) < k:
+        return {b" ".join(words)} if words else set()
+    return {b" ".join(words[i:i + k]) for i in range(len(words) - k + 1)}
+
+
+def _digest(text: str | None) -> bytes:
+    """128 bits of the BLAKE2b of the word sequence."""
+    return hashlib.blake2b(b" ".join((text or "").encode().lower().split()), digest_size=16).digest()
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """(sets, BANDS * ROWS) upper halves of the universal hash minima; sets are not empty."""
     flat = np.concatenate(sets)
@@ -88,7 +106,7 @@ def _band_keys(sig: np.ndarray) -> np.ndarray:
 
 def _sketch(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = T.Powers()
+        powers = T.Spans()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -97,21 +115,17 @@ def _sketch(shingle: int):
                 n = np.array([len(x) for x in sets])
                 some = np.flatnonzero(n)
                 sig = np.zeros((len(sets), BANDS * ROWS), dtype=np.uint32)
-                s1, s2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
                 if len(some):
-                    full = [sets[i] for i in some]
-                    sig[some] = signatures(full)
-                    begin = np.concatenate(([0], np.cumsum(n[some])[:-1]))
-                    flat = np.concatenate(full)
-                    s1[some] = np.add.reduceat(T.mix(flat), begin)
-                    s2[some] = np.add.reduceat(T.mix(flat ^ np.uint64(0x5851F42D4C957F2D)), begin)
+                    sig[some] = signatures([sets[i] for i in some])
+                d = np.frombuffer(b"".join(map(_digest, batch.column("text").slice(lo, hi - lo).to_pylist())),
+                                  dtype=np.int64).reshape(-1, 2)
                 raw = sig.tobytes()
                 w = BANDS * ROWS * 4
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("did").slice(lo, hi - lo), batch.column("uid").slice(lo, hi - lo),
-                     pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
+                     pa.array(n.astype(np.int64)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()),
                      pa.array([raw[i * w:i * w + w] for i in range(len(sets))], pa.binary())],
-                    names=["did", "uid", "n_shingles", "s1", "s2", "sig"])
+                    names=["did", "uid", "n_shingles", "d1", "d2", "sig"])
     return run
 
 
@@ -144,7 +158,7 @@ def _compact(shingle: int):
     on them is no link; a pair that passes is confirmed on the full sets.  The band keys are
     whole: they tell in which buckets a pair meets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = T.Powers()
+        powers = T.Spans()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -197,8 +211,10 @@ def _cells(percent: int):
             link = 100 * both >= percent * (n[at] + n[r] - both)
             a.append(np.full(int(link.sum()), v[r]))
             b.append(v[at[link]])
-            # links that two hash collisions could not have made join the components here
-            both -= 2
+            # links that collisions of half hashes could not have made join the components here; with
+            # `chance` expected collisions, more than `spare` have a probability below 1e-12
+            chance = n[at] * (float(n[r]) / (1 << 32))
+            both -= np.where(chance < 1e-4, 2, 12 + np.ceil(10 * chance)).astype(np.int64)
             for k in at[100 * both >= percent * (n[at] + n[r] - both)]:
                 if comp[k] != comp[r]:
                     comp[comp == comp[k]] = comp[r]
@@ -234,21 +250,28 @@ def _cells(percent: int):
 
 
 def _confirm(shingle: int, percent: int):
-    """Pairs whose full sets reach the similarity; neighbouring rows of one ``a`` share its set."""
+    """Pairs whose full sets reach the similarity, by hashes and then by the shingles themselves;
+    neighbouring rows of one ``a`` share its sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, last, set_a = T.Powers(), None, None
+        powers, last, hashed, real = T.Spans(), None, None, None
         for batch in batches:
             a = batch.column("a").to_pylist()
-            text_a = batch.column("text_a")
+            text_a, text_b = batch.column("text_a"), batch.column("text_b")
             keep = []
-            for lo, hi, buf, off in T.chunks(batch.column("text_b"), 1 << 18):
+            for lo, _, buf, off in T.chunks(text_b, 1 << 18):
                 for r, set_b in enumerate(shingle_sets(buf, off, shingle, powers), start=lo):
                     if a[r] != last:
-                        last = a[r]
+                        last, real = a[r], None
                         (_, _, b0, o0), = T.chunks(text_a.slice(r, 1))
-                        set_a, = shingle_sets(b0, o0, shingle, powers)
-                    both = len(np.intersect1d(set_a, set_b, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(set_a) + len(set_b) - both))
+                        hashed, = shingle_sets(b0, o0, shingle, powers)
+                    both = len(np.intersect1d(hashed, set_b, assume_unique=True))
+                    ok = 100 * both >= percent * (len(hashed) + len(set_b) - both)
+                    if ok:
+                        real = shingles(text_a[r].as_py(), shingle) if real is None else real
+                        other = shingles(text_b[r].as_py(), shingle)
+                        both = len(real & other)
+                        ok = 100 * both >= percent * (len(real) + len(other) - both)
+                    keep.append(ok)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
@@ -263,10 +286,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     did, uid = keys(docs, unique=unique)
     rows = docs.select(did, uid, F.col("text").cast("string").alias("text"))
     sketched = written(rows.mapInArrow(
-        _sketch(shingle), "did long, uid long, n_shingles long, s1 long, s2 long, sig binary"))
-    # one node per distinct set, named by its least document
+        _sketch(shingle), "did long, uid long, n_shingles long, d1 long, d2 long, sig binary"))
+    # one node per distinct word sequence, named by its least document
     node = F.col("did") if unique else F.xxhash64("did", "uid")
-    sets = ["s1", "s2", "n_shingles"]
+    sets = ["d1", "d2", "n_shingles"]
     least = F.min(F.struct("did", "uid")).alias("m")
     nodes = (sketched.filter("n_shingles > 0").groupBy(*sets).agg(least, F.first("sig").alias("sig"))
              .select(*sets, F.col("m.did").alias("did"), F.col("m.uid").alias("uid"), "sig"))
@@ -294,16 +317,11 @@ def _link(rows: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> Data
     edges = _verified(stars, rows, nodes, shingle, percent)
     comp = components(edges)
     # buckets that still hold several components: all pairs of different ones are estimated
-    at = written(buckets.join(comp, "v", "left").select("key", "band", "k", "v", F.coalesce("comp", "v").alias("comp")))
-    split = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
-    at = written(at.join(cut_lineage(split), "key"))
-    active = nodes.select("v", "did", "uid").join(at.select("v").distinct(), "v")
+    at = written(buckets.join(comp, "v", "left").select("key", "band", "v", F.coalesce("comp", "v").alias("comp")))
+    cells = written(deal(at, ["key"], "v", CELL))
+    active = nodes.select("v", "did", "uid").join(cells.select("v").distinct(), "v")
     compact = _texts(rows, active).mapInArrow(_compact(shingle), "v long, sig binary, set binary, keys binary")
-    open_ = (at.withColumn("blocks", F.ceil(F.col("k") / CELL).cast("int"))
-             .withColumn("i", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")))
-    cells = open_.select("key", "band", "v", "comp", "i", F.explode(F.sequence(
-        F.lit(0), F.col("blocks") - 1)).alias("j")).select(
-        "key", "band", F.least("i", "j").alias("c0"), F.greatest("i", "j").alias("c1"), "i", "v", "comp").join(compact, "v")
+    cells = cells.join(compact, "v")
     more = (cells.repartition("key", "c0", "c1").sortWithinPartitions("key", "c0", "c1")
             .mapInArrow(_cells(percent), "a long, b long"))
     more = _pairs(more).join(stars, ["a", "b"], "left_anti")

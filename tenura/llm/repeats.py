@@ -9,6 +9,7 @@ one row per block travels, not one per window.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from tenura.llm.frames import cut_lineage, written
 BLOCK_SCHEMA = "did long, uid long, a long, span long, ws int, n int"
 CONTEXT_SCHEMA = "a long, did long, uid long, ws int, n int, ctx binary"
 HIT_SCHEMA = "did long, uid long, ws int, n int"
-GROUP_ROWS = 4096          # classes of one anchor that one task compares at once
+GROUP_ROWS = 4096          # blocks of one anchor that one task compares at once
 CHUNK = 1 << 18
 
 
@@ -35,29 +36,40 @@ class Units:
     width: int
     gram: int
 
-    def cut(self, buf: np.ndarray, off: np.ndarray, powers: T.Powers):
+    def cut(self, buf: np.ndarray, off: np.ndarray, powers: T.Spans):
         """(unit hashes, first unit of each row, byte starts, byte ends)."""
         if not self.words:
             return _VALUES[buf], off, None, None
         starts, ends, first = T.word_spans(buf, off, _IS_WORD)
-        h = T.span_hashes(T.prefix_sums(_VALUES[buf], powers), starts, ends, powers)
-        return h, first, starts, ends
+        return powers.hashes(powers.sums(_VALUES[buf]), starts, ends), first, starts, ends
+
+    def digests(self, buf: np.ndarray, starts, ends, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """64 bits of the BLAKE2b of the runs of ``size`` units from unit ``begin`` on: of the bytes, or of
+        the words with one blank behind each."""
+        if self.words:
+            raw, at = T.joined_words(buf, starts, ends, _IS_WORD)
+            begin, end = at[begin], at[begin + size]
+        else:
+            raw, end = buf.tobytes(), begin + size
+        digest = b"".join([hashlib.blake2b(raw[i:j], digest_size=8).digest()
+                           for i, j in zip(begin.tolist(), end.tolist(), strict=True)])
+        return np.frombuffer(digest, dtype=np.uint64)
 
 
 _VALUES = T.byte_values()
 _IS_WORD = T.blank_separated()
 
 
-def blocks_of(units: Units, buf: np.ndarray, off: np.ndarray, powers: T.Powers):
-    """(row, first window, number of windows, anchor hash, block hash) of a chunk of texts."""
-    h, first, _, _ = units.cut(buf, off, powers)
-    s = T.prefix_sums(h, powers)
+def blocks_of(units: Units, buf: np.ndarray, off: np.ndarray, powers: T.Spans):
+    """(row, first window, number of windows, anchor hash, block digest) of a chunk of texts."""
+    h, first, starts, ends = units.cut(buf, off, powers)
+    s = powers.sums(h)
     n, w, k = len(h), units.width, units.gram
     if n < w:
         z = np.zeros(0, dtype=np.int64)
         return z, z, z, z.astype(np.uint64), z.astype(np.uint64)
     at = np.arange(n - k + 1)
-    grams = T.span_hashes(s, at, at + k, powers)
+    grams = powers.hashes(s, at, at + k)
     anchor = T.window_anchors(grams, w - k + 1)
     # windows that lie in one text
     row = np.searchsorted(first, np.arange(len(anchor)), side="right") - 1
@@ -71,13 +83,14 @@ def blocks_of(units: Units, buf: np.ndarray, off: np.ndarray, powers: T.Powers):
     begin = np.flatnonzero(new)
     count = np.diff(np.concatenate((begin, [len(at)])))
     ws, r, a = at[begin], r[begin], a[begin]
-    span = T.mix(T.span_hashes(s, ws, ws + count - 1 + w, powers) + (a - ws).astype(np.uint64) * np.uint64(0x9E37))
+    # the digest of what the block holds; equal blocks have their anchor at the same place
+    span = units.digests(buf, starts, ends, ws, count - 1 + w)
     return r, ws - first[r], count, grams[a], span
 
 
 def _blocks(units: Units):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = T.Powers()
+        powers = T.Spans()
         for batch in batches:
             did, uid = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("did", "uid"))
             for lo, _, buf, off in T.chunks(batch.column("text"), CHUNK):
@@ -112,7 +125,7 @@ def classes_per_anchor(classes: DataFrame) -> DataFrame:
 
 def _contexts(units: Units):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = T.Powers()
+        powers = T.Spans()
         for batch in batches:
             did, uid = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("did", "uid"))
             todo = batch.column("todo")
@@ -142,9 +155,9 @@ def contexts(docs: DataFrame, chosen: DataFrame, units: Units) -> DataFrame:
     return docs.join(per_doc, ["did", "uid"]).mapInArrow(_contexts(units), CONTEXT_SCHEMA)
 
 
-def windows_in(units: Units, ctx: pa.Array, n: np.ndarray, powers: T.Powers):
-    """For each window of the contexts: its row and its number in the block, and the unit
-    prefix sums and first unit of each window."""
+def windows_in(units: Units, ctx: pa.Array, n: np.ndarray, powers: T.Spans):
+    """For each window of the contexts: its row and its number in the block, its first unit, and the
+    hashes of all units."""
     buf = np.frombuffer(b"".join(ctx.to_pylist()), dtype=np.uint8)
     off = np.concatenate(([0], np.cumsum([len(x) for x in ctx.to_pylist()]))).astype(np.int64)
     h, first, _, _ = units.cut(buf, off, powers)
@@ -157,7 +170,7 @@ def grouped_windows(rows: DataFrame, units: Units, judge: Callable) -> DataFrame
     """Compare the contexts of each anchor inside the task that holds them.
 
     Rows are dealt and sorted by anchor; a task works on whole anchors in chunks.
-    Callers route anchors of more than GROUP_ROWS contexts elsewhere.
+    Callers route anchors of more than GROUP_ROWS rows elsewhere.
     ``judge(units, a, did, uid, ws, n, ctx, powers)`` returns (row, window) of hits.
     """
     def work(parts: list[pa.RecordBatch], powers) -> pa.RecordBatch:
@@ -177,7 +190,7 @@ def grouped_windows(rows: DataFrame, units: Units, judge: Callable) -> DataFrame
              pa.array(count.astype(np.int32))], names=["did", "uid", "ws", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, held, size = T.Powers(), [], 0
+        powers, held, size = T.Spans(), [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue

@@ -57,7 +57,7 @@ def _rank(*columns) -> np.ndarray:
 def double(units, a, did, uid, ws, n, ctx, powers):
     """Windows (row, number) that are not the first of their rank within their anchor."""
     row, win, at, h = R.windows_in(units, ctx, n, powers)
-    s = T.prefix_sums(h, powers)
+    s = powers.sums(h)
     step = units.width >> DOUBLINGS
     lengths = np.diff(np.concatenate(([0], np.cumsum(n + units.width - 1))))
     first = np.cumsum(lengths) - lengths
@@ -66,7 +66,7 @@ def double(units, a, did, uid, ws, n, ctx, powers):
     pos = T.expand(first, count)
     own = np.repeat(np.arange(len(n)), count)
     base = np.concatenate(([0], np.cumsum(count)))[:-1]
-    rank = _rank(a[own], T.span_hashes(s, pos, pos + step, powers))
+    rank = _rank(a[own], powers.hashes(s, pos, pos + step))
     length = step
     while length < units.width:
         # positions that still have `length` bytes after them inside the block
@@ -87,13 +87,13 @@ def double(units, a, did, uid, ws, n, ctx, powers):
 def _short_ranks(units, step: int):
     """Position rows (a, blk, p, r, keep, did, uid, at) with the hash of ``step`` bytes as rank."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = T.Powers()
+        powers = T.Spans()
         for batch in batches:
             if not batch.num_rows:
                 continue
             a, did, uid, ws, n = (batch.column(c).to_numpy() for c in ("a", "did", "uid", "ws", "n"))
             _, _, _, h = R.windows_in(units, batch.column("ctx"), n, powers)
-            s = T.prefix_sums(h, powers)
+            s = powers.sums(h)
             lengths = n.astype(np.int64) + units.width - 1
             count = lengths - step + 1
             pos = T.expand(np.cumsum(lengths) - lengths, count)
@@ -102,7 +102,7 @@ def _short_ranks(units, step: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(a[own]), pa.array(did[own]), pa.array(uid[own]), pa.array(ws[own]),
                  pa.array(p.astype(np.int32)), pa.array(n[own]),
-                 pa.array(T.span_hashes(s, pos, pos + step, powers).view(np.int64))],
+                 pa.array(powers.hashes(s, pos, pos + step).view(np.int64))],
                 names=["a", "did", "uid", "ws", "p", "n", "r"])
     return run
 

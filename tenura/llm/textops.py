@@ -79,6 +79,68 @@ def span_hashes(s: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Power
     return mix((s[end] - s[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+P61 = np.uint64((1 << 61) - 1)
+_LOW31, _LOW30, _LOW32 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1), np.uint64((1 << 32) - 1)
+_BASE = 0x1B873593CC9E2D51 % ((1 << 61) - 1)
+_BASE_INV = pow(_BASE, -1, (1 << 61) - 1)
+
+
+def fold(x: np.ndarray) -> np.ndarray:
+    """x mod 2**61 - 1 for any 64-bit x."""
+    x = (x & P61) + (x >> np.uint64(61))
+    return np.where(x >= P61, x - P61, x)
+
+
+def times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x * y mod 2**61 - 1 for x, y below it."""
+    xh, xl, yh, yl = x >> np.uint64(31), x & _LOW31, y >> np.uint64(31), y & _LOW31
+    mid = xh * yl + xl * yh
+    return fold(np.uint64(2) * xh * yh + (mid >> np.uint64(30)) + ((mid & _LOW30) << np.uint64(31)) + fold(xl * yl))
+
+
+class Spans:
+    """Hashes of spans of units, polynomial modulo the prime 2**61 - 1 (modulo 2**64, a pattern and its
+    mirror of 1,024 letters built by doubling have one hash whatever the letters' values).
+
+    Powers of the base are grown on demand and shared by the chunks of a task."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def _upto(self, n: int) -> None:
+        while len(self.up) < n:
+            k = len(self.up)
+            self.up = np.concatenate((self.up, times(self.up, np.uint64(pow(_BASE, k, int(P61))))))
+            self.down = np.concatenate((self.down, times(self.down, np.uint64(pow(_BASE_INV, k, int(P61))))))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """S with S[j] - S[i] = sum of values[i:j] * base**position."""
+        n = len(values)
+        self._upto(n + 1)
+        s = np.zeros(n + 1, dtype=np.uint64)
+        x = times(fold(values), self.up[:n])
+        high = np.cumsum(x >> np.uint64(32), dtype=np.uint64)        # below 2**63 for 2**31 units
+        low = np.cumsum(x & _LOW32, dtype=np.uint64)
+        s[1:] = fold(fold(low) + (high >> np.uint64(29)) + ((high & np.uint64((1 << 29) - 1)) << np.uint64(32)))
+        return s
+
+    def hashes(self, s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of values[start:end], the same wherever the span stands."""
+        if not len(start):
+            return np.zeros(0, dtype=np.uint64)
+        self._upto(len(s))
+        return mix(times(fold(s[end] + P61 - s[start]), self.down[start]) + (end - start).astype(np.uint64) * _R)
+
+
+def joined_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The words of a chunk, each with one blank behind it, and where each word begins in that."""
+    size = ends - starts
+    at = np.concatenate(([0], np.cumsum(size + 1)))
+    out = np.full(int(at[-1]), 32, dtype=np.uint8)
+    out[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = buf[inside[buf]] if len(buf) else buf
+    return out.tobytes(), at
+
+
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string array into runs of whole rows of about ``limit`` bytes.
 
@@ -128,7 +190,7 @@ def window_anchors(grams: np.ndarray, width: int) -> np.ndarray:
     n = len(grams)
     if n < width:
         return np.zeros(0, dtype=np.int64)
-    bits = np.uint64(24 if n < 1 << 24 else 34)        # room for the place below the hash
+    bits = np.uint64(34)                               # room for the place below the hash
     low = np.uint64((1 << int(bits)) - 1)
     key = (grams >> bits << bits) | (low - np.arange(n, dtype=np.uint64))
     step = 1

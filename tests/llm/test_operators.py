@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import brute
+import numpy as np
 import pytest
 from conftest import SCHEMA, row
 
@@ -351,3 +352,96 @@ def test_empty_and_clashing_columns(spark, hard_df, benchmark_items, name):
         assert sorted(a.collect(), key=key) == sorted(b.collect(), key=key)
     else:
         assert b.count() == few.count()
+
+
+def doubled(n):
+    """Two words of n letters built by x, y -> xy, yx; polynomials modulo 2**64 cannot tell them apart from 1,024 on."""
+    x, y = "a", "b"
+    while len(x) < n:
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize("n", [64, 512, 1024, 4096])
+def test_words_that_a_polynomial_modulo_a_power_of_two_confuses(spark, n):
+    x, y = doubled(n)
+    tail = " ".join(f"w{i}" for i in range(49))
+    docs = [row(1, f"{x} {tail}"), row(2, f"{y} {tail}"), row(3, f"{y}  {tail}\n")]
+    df = spark.createDataFrame(docs, SCHEMA)
+    got = rows_of(substring.substring_report(df), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == ordered(brute.words_dedup([r[:2] for r in docs])) and [r[2] for r in got] == [0, 0, 50]
+    alone = [row(1, x), row(2, y), row(3, f" {y.upper()}")]
+    got = rows_of(minhash.near_duplicate_report(spark.createDataFrame(alone, SCHEMA)), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == [(1, 1, 1, True), (2, 1, 2, True), (3, 1, 2, False)]
+    bytes_docs = spark.createDataFrame([row(1, x * 2), row(2, y * 2)], SCHEMA)
+    got = rows_of(suffix.suffix_report(bytes_docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == ordered(brute.bytes_dedup([(1, x * 2), (2, y * 2)]))
+
+
+def test_span_hashes_modulo_a_prime():
+    import numpy as np
+
+    from tenura.llm import textops as T
+    p, rng = (1 << 61) - 1, np.random.default_rng(2)
+    a, b = (np.concatenate((rng.integers(0, p, 500, dtype=np.uint64), np.array([0, 1, p - 1, p - 1], np.uint64))) for _ in range(2))
+    assert T.times(a, b).tolist() == [int(x) * int(y) % p for x, y in zip(a, b, strict=True)]
+    v = rng.integers(0, 1 << 64, 3000, dtype=np.uint64)
+    spans = T.Spans()
+    s = spans.sums(v)
+    want, at = 0, 1
+    for i, x in enumerate(v.tolist(), 1):
+        want, at = (want + x % p * at) % p, at * T._BASE % p
+        assert int(s[i]) == want
+    twice = np.concatenate((v, v[:7], v))
+    s = spans.sums(twice)
+    assert spans.hashes(s, np.array([0, 5, 3000]), np.array([3000, 9, 3007])).tolist() == spans.hashes(
+        s, np.array([3007, 3012, 0]), np.array([6007, 3016, 7])).tolist()
+
+
+def test_a_passage_that_one_text_repeats_very_often(spark, monkeypatch):
+    """By rows, such a seed is compared through a shuffle of window digests."""
+    from tenura.llm import repeats
+    passage = [f"p{i}" for i in range(60)]
+    docs = [row(1, " ".join(" ".join(passage) + f" x{i}" for i in range(300))), row(2, "q " + " ".join(passage[:55]) + " r"),
+            row(3, " ".join(passage[3:]) + " x7 " + " ".join(passage))]
+    df = spark.createDataFrame(docs, SCHEMA)
+    for rows in (4096, 100):
+        monkeypatch.setattr(repeats, "GROUP_ROWS", rows)
+        got = rows_of(substring.substring_report(df), "doc_id", "n_words", "n_removed", "kept_sha256")
+        assert got == ordered(brute.words_dedup([r[:2] for r in docs]))
+
+
+def test_near_duplicates_of_long_documents(spark):
+    """Half hashes of 32 bits collide by chance in sets this long; only the full sets decide."""
+    import random
+    rnd = random.Random(1)
+    base = [f"w{rnd.randrange(10**9)}" for _ in range(60_000)]
+
+    def changed(words, share, seed):
+        r = random.Random(seed)
+        w = list(words)
+        for i in r.sample(range(len(w)), int(len(w) * share)):
+            w[i] = f"n{r.randrange(10**9)}"
+        return " ".join(w)
+    docs = [row(10, " ".join(base)), row(11, changed(base, 0.027, 1)), row(12, changed(base, 0.0285, 2)), row(13, changed(base, 0.05, 3))]
+    df = spark.createDataFrame(docs, SCHEMA)
+    got = rows_of(minhash.near_duplicate_report(df), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == ordered((d, n, c, c == d) for d, n, c in brute.near_duplicates([r[:2] for r in docs]))
+
+
+@pytest.mark.parametrize("text", ["½", "② ①", "Ⅷ", "12 ¾ 5²", "", None, " \n", "!?"])
+def test_texts_without_a_letter_are_und(text):
+    model = langid.Model(["en", "fr"], {"the": np.array([1.0, -1.0])}, {})
+    assert model.predict(text) == ("und", 0.0)
+
+
+def test_scripts_that_were_never_seen_have_no_score(spark):
+    docs = [row(i, t, lang) for i, (t, lang) in enumerate([("the house and the dog", "en"), ("la maison et le chien", "fr"),
+                                                           ("das haus und der hund", "de")] * 20)]
+    docs += [row(900, "学 校 は 大 き い です " * 12, None), row(901, "дом и собака " * 40, None), row(902, "the dog", None)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    got = {r.doc_id: r for r in langid.language_report(df).collect()}
+    assert got[900].score == got[901].score == 0.0 and got[900].lang_pred in ("de", "en", "fr")
+    assert got[902].lang_pred == "en" and got[902].score > 0.5
+    kept = {r.doc_id for r in langid.known_language(df).collect()}
+    assert kept == set(range(60)) | {902}
