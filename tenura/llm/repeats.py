@@ -112,10 +112,22 @@ def shared_blocks(docs: DataFrame, units: Units) -> DataFrame:
 
 
 def block_classes(shared: DataFrame) -> DataFrame:
-    """(a, span, c_did, c_uid, c_ws, n): the earliest occurrence of each kind of block."""
-    return written(shared.groupBy("a", "span").agg(F.min(F.struct("did", "uid", "ws", "n")).alias("c"))
-                       .select("a", "span", F.col("c.n").alias("n"), F.col("c.did").alias("c_did"), F.col("c.uid").alias("c_uid"),
-                               F.col("c.ws").alias("c_ws")))
+    """(a, span, n, k, c_did, c_uid, c_ws): the earliest occurrence of each kind of block, and how many it has."""
+    return written(shared.groupBy("a", "span").agg(F.min(F.struct("did", "uid", "ws", "n")).alias("c"), F.count(F.lit(1)).alias("k"))
+                   .select("a", "span", F.col("c.n").alias("n"), "k", F.col("c.did").alias("c_did"),
+                           F.col("c.uid").alias("c_uid"), F.col("c.ws").alias("c_ws")))
+
+
+def with_earliest(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """shared with c_did, c_uid, c_ws of its class.
+
+    Classes of more than GROUP_ROWS blocks are looked up first: they are one in GROUP_ROWS rows at most,
+    so Spark broadcasts them where it measures them small; their rows then stay out of the shuffle."""
+    first = ["c_did", "c_uid", "c_ws"]
+    hot = classes.filter(F.col("k") > GROUP_ROWS).select("a", "span", *first)
+    marked = shared.join(hot, ["a", "span"], "left")
+    rest = marked.filter("c_did is null").drop(*first).join(classes.select("a", "span", *first), ["a", "span"])
+    return marked.filter("c_did is not null").unionByName(rest)
 
 
 def classes_per_anchor(classes: DataFrame) -> DataFrame:

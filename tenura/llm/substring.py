@@ -111,7 +111,7 @@ def repeated_windows(docs: DataFrame, units: R.Units = R.Units(True, WIDTH, GRAM
     shared = R.shared_blocks(docs, units)
     classes = R.block_classes(shared)
     mixed = R.classes_per_anchor(classes)
-    settled = shared.join(classes.drop("n"), ["a", "span"]).filter("did > c_did").select("did", "uid", "ws", "n")
+    settled = R.with_earliest(shared, classes).filter("did > c_did").select("did", "uid", "ws", "n")
     # the earliest block of each kind speaks for its kind, and stands for its document
     open_ = written(classes.join(mixed.select("a"), "a").select("a", "span", F.col("c_did").alias("did"))
                     .join(shared, ["a", "span", "did"]).select("a", "did", "uid", "ws", "n"))

@@ -132,7 +132,7 @@ def repeated_windows(docs: DataFrame, units: R.Units = R.Units(False, WIDTH, GRA
     classes = R.block_classes(shared)
     mixed = R.classes_per_anchor(classes)
     first = "did = c_did and uid = c_uid and ws = c_ws"
-    settled = shared.join(classes.drop("n"), ["a", "span"]).filter(f"not ({first})").select("did", "uid", "ws", "n")
+    settled = R.with_earliest(shared, classes).filter(f"not ({first})").select("did", "uid", "ws", "n")
     # the earliest block of each kind speaks for its kind
     open_ = (classes.join(mixed.select("a"), "a")
              .selectExpr("a", "c_did as did", "c_uid as uid", "c_ws as ws", "n"))
