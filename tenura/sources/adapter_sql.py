@@ -35,47 +35,47 @@ SELECT p_partkey AS id, concat('I', CAST(p_partkey AS VARCHAR)) AS inst_no, 'TIN
 FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey, p_type, p_size) x""",
     "title_instrument_title": """SELECT DISTINCT l_partkey AS tin_id, concat('T', CAST(l_orderkey AS VARCHAR)) AS ttl_title_no
 FROM lineitem""",
-    "transaction_type": """SELECT DISTINCT 'TINT' AS grp, substr(p_type,1,4) AS type, p_type AS description
-FROM part WHERE p_type <> 'SMALL'""",
-    "title_document_reference": """SELECT p_partkey * 10 AS id, p_partkey AS tin_id, p_brand AS type, p_name AS reference
-FROM part WHERE p_partkey % 7 = 0""",
+    "transaction_type": """SELECT DISTINCT 'TINT' AS grp, CASE WHEN p_type = 'SMALL' THEN 'none' ELSE substr(p_type,1,4) END AS type, p_type AS description
+FROM part""",
+    "title_document_reference": """SELECT p_partkey * 10 AS id, CASE WHEN p_partkey % 7 = 0 THEN p_partkey ELSE -p_partkey - 1 END AS tin_id, p_brand AS type, p_name AS reference
+FROM part""",
     "title_encumbrance": f"""SELECT *, {_CUR} FROM (
-SELECT DISTINCT l_orderkey * 100000 + l_suppkey AS id, concat('T', CAST(l_orderkey AS VARCHAR)) AS ttl_title_no,
+SELECT DISTINCT l_orderkey * 100000 + l_suppkey AS id, CASE WHEN l_orderkey % 2 = 0 THEN concat('T', CAST(l_orderkey AS VARCHAR)) ELSE concat('X', CAST(l_orderkey AS VARCHAR)) END AS ttl_title_no,
  l_suppkey AS enc_id, CASE WHEN (l_orderkey + l_suppkey) % 3 = 0 THEN 'HIST' ELSE 'REGD' END AS status
-FROM lineitem WHERE l_orderkey % 2 = 0) x""",
+FROM lineitem) x""",
     "encumbrance": f"""SELECT *, {_CUR} FROM (
 SELECT s_suppkey AS id, CASE WHEN s_acctbal < 0 THEN 'HIST' ELSE 'REGD' END AS status,
  CASE WHEN s_suppkey % 2 = 0 THEN '99 years' END AS term
 FROM supplier) x""",
     "encumbrance_share": f"""SELECT *, {_CUR} FROM (
-SELECT s_suppkey * 10 + n_nationkey % 3 AS id, s_suppkey AS enc_id,
- CASE WHEN n_nationkey % 2 = 0 THEN 'REGD' ELSE 'HIST' END AS status
-FROM supplier JOIN nation ON n_nationkey < 3) x""",
-    "encumbrancee": """SELECT s_suppkey AS id, s_suppkey AS ens_id, 'REGD' AS status, s_name AS name
-FROM supplier WHERE s_suppkey % 3 <> 0""",
+SELECT s_suppkey * 10 + n AS id, s_suppkey AS enc_id,
+ CASE WHEN n % 2 = 0 THEN 'REGD' ELSE 'HIST' END AS status
+FROM supplier CROSS JOIN (VALUES (0), (1), (2)) AS share(n)) x""",
+    "encumbrancee": """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey ELSE -s_suppkey - 1 END AS ens_id, 'REGD' AS status, s_name AS name
+FROM supplier""",
     "title_hierarchy": f"""SELECT *, {_CUR} FROM (
 SELECT o_orderkey * 2 AS id, CASE WHEN o_orderkey % 13 = 0 THEN 'HIST' ELSE 'CURR' END AS status,
- concat('T', CAST(CAST(floor(o_orderkey / 2) AS BIGINT) AS VARCHAR)) AS ttl_title_no_prior,
+ CASE WHEN o_orderkey > 0 THEN concat('T', CAST(CAST(floor(o_orderkey / 2) AS BIGINT) AS VARCHAR)) END AS ttl_title_no_prior,
  concat('T', CAST(o_orderkey AS VARCHAR)) AS ttl_title_no_flw
-FROM orders WHERE o_orderkey > 0
+FROM orders
 UNION ALL SELECT o_orderkey * 2 + 1, 'CURR', concat('T', CAST(CAST(floor(o_orderkey / 3) AS BIGINT) AS VARCHAR)),
  concat('T', CAST(o_orderkey AS VARCHAR)) FROM orders WHERE o_orderkey > 0 AND o_orderkey % 11 = 0) x""",
-    "title_parcel_association": """SELECT o_orderkey AS id, concat('T', CAST(o_orderkey AS VARCHAR)) AS ttl_title_no,
+    "title_parcel_association": """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 <> 0 THEN concat('T', CAST(o_orderkey AS VARCHAR)) ELSE concat('X', CAST(o_orderkey AS VARCHAR)) END AS ttl_title_no,
  o_custkey AS par_id, 'LINK' AS source
-FROM orders WHERE o_orderkey % 4 <> 0""",
+FROM orders""",
     "appellation": """SELECT c_custkey AS id, c_custkey AS par_id, CASE WHEN c_custkey % 5 = 0 THEN 'N' ELSE 'Y' END AS title_flag,
  CASE WHEN c_custkey % 6 = 0 THEN 'HIST' ELSE 'CURR' END AS status, 'LOT' AS parcel_type,
  CAST(c_custkey AS VARCHAR) AS parcel_value, concat('DP ', CAST(c_custkey % 97 AS VARCHAR)) AS appellation_value,
  CASE WHEN c_custkey % 9 = 0 THEN 'II' END AS block_number
 FROM customer""",
     "legal_description": """SELECT o_orderkey AS id,
- CASE WHEN o_orderkey % 3 = 0 THEN CAST(NULL AS VARCHAR) ELSE concat('T', CAST(o_orderkey AS VARCHAR)) END AS ttl_title_no,
+ CASE WHEN o_orderkey % 2 = 0 THEN concat('X', CAST(o_orderkey AS VARCHAR)) WHEN o_orderkey % 3 = 0 THEN CAST(NULL AS VARCHAR) ELSE concat('T', CAST(o_orderkey AS VARCHAR)) END AS ttl_title_no,
  'FSIM' AS type, 'REGD' AS status, concat('Lot ', CAST(o_custkey AS VARCHAR)) AS legal_desc_text,
  CAST(o_totalprice AS DECIMAL(20,4)) AS total_area
-FROM orders WHERE o_orderkey % 2 = 1""",
-    "legal_description_parcel": """SELECT o_orderkey AS lgd_id, o_custkey AS par_id, 1 AS sequence FROM orders WHERE o_orderkey % 2 = 1""",
+FROM orders""",
+    "legal_description_parcel": """SELECT o_orderkey AS lgd_id, o_custkey AS par_id, 1 AS sequence FROM orders""",
     "estate_share": f"""SELECT *, {_CUR} FROM (
-SELECT id * 10 AS id, id AS ett_id, status, '1/1' AS share FROM title_estate WHERE id % 3 <> 0) x""",
+SELECT id * 10 AS id, CASE WHEN id % 3 <> 0 THEN id ELSE -id - 1 END AS ett_id, status, '1/1' AS share FROM title_estate) x""",
     "proprietor": """SELECT es.id + c.c_custkey % 2 AS id, es.id AS ets_id,
  CASE WHEN es.id % 70 = 0 THEN CAST(NULL AS VARCHAR) ELSE es.status END AS status,
  CASE c.c_custkey % 3 WHEN 0 THEN 'CORP' WHEN 1 THEN 'INDV' ELSE 'OTHR' END AS type,
@@ -84,8 +84,8 @@ SELECT id * 10 AS id, id AS ett_id, status, '1/1' AS share FROM title_estate WHE
 FROM estate_share es JOIN title_estate te ON es.ett_id = te.id
  JOIN orders o ON te.ttl_title_no = concat('T', CAST(o.o_orderkey AS VARCHAR))
  JOIN customer c ON o.o_custkey = c.c_custkey""",
-    "land_district": """SELECT CAST(n_nationkey AS BIGINT) AS ldt_loc_id, n_name AS name, substr(n_name, 1, 3) AS abbrev
-FROM nation WHERE n_nationkey < 20""",
+    "land_district": """SELECT CASE WHEN n_nationkey < 20 THEN CAST(n_nationkey AS BIGINT) ELSE -CAST(n_nationkey AS BIGINT) - 1 END AS ldt_loc_id, n_name AS name, substr(n_name, 1, 3) AS abbrev
+FROM nation""",
     "address_point": """SELECT c_custkey AS address_id, c_custkey AS parcel_id,
  CASE WHEN c_custkey % 8 = 0 THEN 'Retired' ELSE 'Current' END AS status, 'Road' AS address_class
 FROM customer""",

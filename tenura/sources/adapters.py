@@ -5,7 +5,9 @@ adapters give the driver's parquet tables the shapes of the registry's silver
 tables (title, estate, instrument, link, hierarchy, ...) so every operator can
 be run and checked at any scale factor.  The mapping is a test fixture: each
 view is a plain projection / aggregate / join, so Catalyst prunes columns and
-pushes filters into the parquet scans.
+pushes filters into the parquet scans.  Every view keeps all rows of its table;
+where an operator needs rows that find no partner, their key is one that matches
+nothing (a negative number, a title number that begins with X).
 
 Every table with a ``status`` column also carries the silver ``is_current``
 flag (``status IN ('LIVE', 'REGD')``, NULL status -> false).
@@ -28,6 +30,16 @@ def _title_key(col) -> F.Column:
     return F.concat(F.lit(_T), col.cast("string"))
 
 
+def _no_title(col) -> F.Column:
+    """A title number that no title has."""
+    return F.concat(F.lit("X"), col.cast("string"))
+
+
+def _known(key: F.Column, known: F.Column) -> F.Column:
+    """``key`` where ``known``, else a key that matches nothing."""
+    return F.when(known, key).otherwise(-key - 1)
+
+
 class RegistryTables:
     """Lazily built registry views for one scale-factor directory."""
 
@@ -107,18 +119,18 @@ class RegistryTables:
     @cached_property
     def transaction_type(self) -> DataFrame:
         p = self.raw("part")
-        return p.where(F.col("p_type") != "SMALL").select(
+        return p.select(
             F.lit("TINT").alias("grp"),
-            F.substring("p_type", 1, 4).alias("type"),
+            F.when(F.col("p_type") == "SMALL", "none").otherwise(F.substring("p_type", 1, 4)).alias("type"),
             F.col("p_type").alias("description"),
         ).distinct()
 
     @cached_property
     def title_document_reference(self) -> DataFrame:
         p = self.raw("part")
-        return p.where(F.col("p_partkey") % 7 == 0).select(
+        return p.select(
             (F.col("p_partkey") * 10).alias("id"),
-            F.col("p_partkey").alias("tin_id"),
+            _known(F.col("p_partkey"), F.col("p_partkey") % 7 == 0).alias("tin_id"),
             F.col("p_brand").alias("type"),
             F.col("p_name").alias("reference"),
         )
@@ -127,9 +139,10 @@ class RegistryTables:
     @cached_property
     def title_encumbrance(self) -> DataFrame:
         li = self.raw("lineitem")
-        df = li.where(F.col("l_orderkey") % 2 == 0).select(
+        df = li.select(
             (F.col("l_orderkey") * 100000 + F.col("l_suppkey")).alias("id"),
-            _title_key(F.col("l_orderkey")).alias("ttl_title_no"),
+            F.when(F.col("l_orderkey") % 2 == 0, _title_key(F.col("l_orderkey")))
+             .otherwise(_no_title(F.col("l_orderkey"))).alias("ttl_title_no"),
             F.col("l_suppkey").alias("enc_id"),
             F.when((F.col("l_orderkey") + F.col("l_suppkey")) % 3 == 0, "HIST")
              .otherwise("REGD").alias("status"),
@@ -148,22 +161,21 @@ class RegistryTables:
 
     @cached_property
     def encumbrance_share(self) -> DataFrame:
-        # Three shares per encumbrance, one per nation key 0..2.  Expressed as an
-        # explode of those keys rather than a supplier x nation theta join.
+        # three shares per encumbrance, numbered 0 to 2
         s = self.raw("supplier").select("s_suppkey")
-        df = s.select("s_suppkey", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("n_nationkey")).select(
-            (F.col("s_suppkey") * 10 + F.col("n_nationkey") % 3).alias("id"),
+        df = s.select("s_suppkey", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("n")).select(
+            (F.col("s_suppkey") * 10 + F.col("n")).alias("id"),
             F.col("s_suppkey").alias("enc_id"),
-            F.when(F.col("n_nationkey") % 2 == 0, "REGD").otherwise("HIST").alias("status"),
+            F.when(F.col("n") % 2 == 0, "REGD").otherwise("HIST").alias("status"),
         )
         return df.withColumn("is_current", current_flag("status"))
 
     @cached_property
     def encumbrancee(self) -> DataFrame:
         s = self.raw("supplier")
-        return s.where(F.col("s_suppkey") % 3 != 0).select(
+        return s.select(
             F.col("s_suppkey").alias("id"),
-            F.col("s_suppkey").alias("ens_id"),
+            _known(F.col("s_suppkey"), F.col("s_suppkey") % 3 != 0).alias("ens_id"),
             F.lit("REGD").alias("status"),
             F.col("s_name").alias("name"),
         )
@@ -171,15 +183,16 @@ class RegistryTables:
     # -- lineage ------------------------------------------------------------
     @cached_property
     def title_hierarchy(self) -> DataFrame:
-        o = self.raw("orders").select("o_orderkey").where(F.col("o_orderkey") > 0)
+        o = self.raw("orders").select("o_orderkey")
         k = F.col("o_orderkey")
+        # key 0 would be its own prior title; its edge has none
         first = o.select(
             (k * 2).alias("id"),
             F.when(k % 13 == 0, "HIST").otherwise("CURR").alias("status"),
-            _title_key(F.floor(k / 2).cast("bigint")).alias("ttl_title_no_prior"),
+            F.when(k > 0, _title_key(F.floor(k / 2).cast("bigint"))).alias("ttl_title_no_prior"),
             _title_key(k).alias("ttl_title_no_flw"),
         )
-        second = o.where(k % 11 == 0).select(
+        second = o.where((k > 0) & (k % 11 == 0)).select(         # a second edge of some titles
             (k * 2 + 1).alias("id"),
             F.lit("CURR").alias("status"),
             _title_key(F.floor(k / 3).cast("bigint")).alias("ttl_title_no_prior"),
@@ -191,9 +204,10 @@ class RegistryTables:
     @cached_property
     def title_parcel_association(self) -> DataFrame:
         o = self.raw("orders")
-        return o.where(F.col("o_orderkey") % 4 != 0).select(
+        return o.select(
             F.col("o_orderkey").alias("id"),
-            _title_key(F.col("o_orderkey")).alias("ttl_title_no"),
+            F.when(F.col("o_orderkey") % 4 != 0, _title_key(F.col("o_orderkey")))
+             .otherwise(_no_title(F.col("o_orderkey"))).alias("ttl_title_no"),
             F.col("o_custkey").alias("par_id"),
             F.lit("LINK").alias("source"),
         )
@@ -218,9 +232,10 @@ class RegistryTables:
     def legal_description(self) -> DataFrame:
         o = self.raw("orders")
         k = F.col("o_orderkey")
-        return o.where(k % 2 == 1).select(
+        return o.select(
             k.alias("id"),
-            F.when(k % 3 == 0, F.lit(None).cast("string")).otherwise(_title_key(k)).alias("ttl_title_no"),
+            F.when(k % 2 == 0, _no_title(k)).when(k % 3 == 0, F.lit(None).cast("string"))
+             .otherwise(_title_key(k)).alias("ttl_title_no"),
             F.lit("FSIM").alias("type"),
             F.lit("REGD").alias("status"),
             F.concat(F.lit("Lot "), F.col("o_custkey").cast("string")).alias("legal_desc_text"),
@@ -230,7 +245,7 @@ class RegistryTables:
     @cached_property
     def legal_description_parcel(self) -> DataFrame:
         o = self.raw("orders")
-        return o.where(F.col("o_orderkey") % 2 == 1).select(
+        return o.select(
             F.col("o_orderkey").alias("lgd_id"),
             F.col("o_custkey").alias("par_id"),
             F.lit(1).alias("sequence"),
@@ -240,9 +255,9 @@ class RegistryTables:
     @cached_property
     def estate_share(self) -> DataFrame:
         te = self.title_estate
-        df = te.where(F.col("id") % 3 != 0).select(
+        df = te.select(
             (F.col("id") * 10).alias("id"),
-            F.col("id").alias("ett_id"),
+            _known(F.col("id"), F.col("id") % 3 != 0).alias("ett_id"),
             "status",
             F.lit("1/1").alias("share"),
         )
@@ -272,8 +287,8 @@ class RegistryTables:
     @cached_property
     def land_district(self) -> DataFrame:
         n = self.raw("nation")
-        return n.where(F.col("n_nationkey") < 20).select(
-            F.col("n_nationkey").cast("bigint").alias("ldt_loc_id"),
+        return n.select(
+            _known(F.col("n_nationkey").cast("bigint"), F.col("n_nationkey") < 20).alias("ldt_loc_id"),
             F.col("n_name").alias("name"),
             F.substring("n_name", 1, 3).alias("abbrev"),
         )
