@@ -3,7 +3,8 @@
 Open-source Parquet has no ZORDER/CLUSTER BY, so co-location is done at write
 time: range-partition on the keys (sampled boundaries, no global sort on one
 task) and sort within each partition, so Parquet row-group min/max statistics
-prune reads on those keys.  ``bucketBy`` is offered for tables that are joined
+prune reads on those keys.  With several columns to filter by, ``z_ordered_write``
+interleaves the bits of their ranks, so a filter on any of them prunes.  ``bucketBy`` is offered for tables that are joined
 on a key again and again, so later sort-merge joins skip the shuffle.
 """
 
@@ -12,7 +13,10 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+Z_SAMPLE = 20_000          # rows that the driver sees to place the rank boundaries
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
@@ -35,6 +39,52 @@ def cluster_write(df: DataFrame, keys: list[str], path: str, n_files: int | None
        .write.mode(mode).parquet(path))
 
 
+def rank_bounds(df: DataFrame, cols: list[str], bits: int, sample: int = Z_SAMPLE) -> dict[str, list]:
+    """Up to 2**bits - 1 boundaries per column, evenly spaced among a random sample of at most
+    ``sample`` rows (a top-k: each task sends that many at most)."""
+    rows = df.select(*cols).orderBy(F.rand(7)).limit(sample).collect()
+    out = {}
+    for c in cols:
+        seen = sorted(r[c] for r in rows if r[c] is not None)
+        cuts = {seen[len(seen) * i >> bits] for i in range(1, 1 << bits)} if seen else set()
+        out[c] = sorted(cuts)
+    return out
+
+
+def _rank(c: Column, bounds: list) -> Column:
+    """How many of the sorted bounds are <= c, by bisection; NULL is 0."""
+    def between(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(c < F.lit(bounds[mid]), between(lo, mid)).otherwise(between(mid + 1, hi))
+    return F.when(c.isNull(), F.lit(0)).otherwise(between(0, len(bounds))) if bounds else F.lit(0)
+
+
+def z_key(bounds: dict[str, list], bits: int) -> Column:
+    """The interleaved bits of the columns' ranks; the first column gives the highest bit."""
+    n = len(bounds)
+    if n * bits > 62:
+        raise ValueError(f"{n} columns of {bits} bits do not fit a long")
+    key = F.lit(0).cast("long")
+    for j, (c, b) in enumerate(bounds.items()):
+        rank = _rank(F.col(c), b).cast("long")
+        for i in range(bits):
+            key = key.bitwiseOR(F.shiftleft(F.shiftright(rank, i).bitwiseAND(F.lit(1).cast("long")), i * n + n - 1 - j))
+    return key
+
+
+def z_ordered_write(df: DataFrame, cols: list[str], path: str, n_files: int | None = None, bits: int = 6,
+                    mode: str = "overwrite") -> None:
+    """K1 for several columns: files are ranges of the Z-order of the columns' sampled ranks, so a
+    range of any of the columns touches only some files.  Rows of one Z cell are cut by the
+    columns themselves, so a cell that holds very many rows is several files."""
+    n = n_files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("__z", z_key(rank_bounds(df, cols, bits), bits))
+    (keyed.repartitionByRange(n, "__z", *cols).sortWithinPartitions("__z", *cols).drop("__z")
+        .write.mode(mode).parquet(path))
+
+
 def bucketed_table(df: DataFrame, table: str, keys: list[str], buckets: int, mode: str = "overwrite",
                    path: str | None = None) -> None:
     """K1 (join layout): a bucketed, sorted catalog table on the join keys.

@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenura.operators.filters import current_flag
 from tenura.sources.adapters import RegistryTables
 from tenura.plans import gold as G
+from tenura.plans import incremental as IN
+from tenura.plans import layout as K
 
 _CACHE: dict = {}
 
@@ -1040,7 +1043,8 @@ def q_audit_table_counts(spark, sf_dir):
 # ---------------------------------------------------------------------------
 import uuid as _uuid  # noqa: E402
 
-from tenura.session import checkpoint_dir  # noqa: E402
+from tenura.session import checkpoint_dir, ship_package  # noqa: E402
+from tenura.sources import csv_extract as CX  # noqa: E402
 from tenura.sources import fixed_width as FW  # noqa: E402
 
 
@@ -1074,19 +1078,119 @@ def q_scan_shards(spark, sf_dir):
     return typed.withColumnsRenamed({"ttl_title_": "ttl_title_no"})
 
 
-@register("read_csv_by_name")
-def q_read_csv_by_name(spark, sf_dir):
-    te = tables(spark, sf_dir).title_estate
-    path = _scratch(spark, "csv")
-    # header order differs from the target order; loading is by name
-    LD.write_extract_csv(te.select(F.col("share").alias("SHARE"), F.col("status").alias("STATUS"),
-                                   F.col("ttl_title_no").alias("TTL_TITLE_"), F.col("id").alias("ID"),
-                                   F.col("type").alias("TYPE")), path)
-    df = LD.read_extract_csv(spark, path, {"ttl_title_": "ttl_title_no"})
-    return df.select(P.to_long(F.col("id")).alias("id"), "ttl_title_no", "type", "status", "share")
+def _shared(spark, name: str) -> str:
+    """A new folder for Spark's own writers: any URI."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tenura-{name}-{_uuid.uuid4().hex}"
+
+
+def _csv_text(columns) -> F.Column:
+    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+              for c in columns]
+    return F.concat_ws(",", *quoted)
+
 
+def _estate_extract(spark, t) -> str:
+    """The estates as CSV files in two column orders, with a quoted line break in ``purpose`` and one
+    row in fifty without its last field."""
+    te = t.title_estate.withColumn("purpose", F.concat(F.lit('line 1\nline "2", '), F.col("type")))
+    path = _shared(spark, "csv")
+    ship_package(spark)
+    for half, cols in enumerate((("share", "status", "purpose", "ttl_title_no", "id", "type"),
+                                 ("id", "purpose", "type", "ttl_title_no", "share", "status"))):
+        header = ",".join("TTL_TITLE_" if c == "ttl_title_no" else c.upper() for c in cols)
+        line = F.when(F.col("id") % 50 == 0, _csv_text(cols[:-1])).otherwise(_csv_text(cols))
+        lines = te.where(F.col("id") % 2 == half).select(line.alias("value")).repartition(4)
+        lines.mapInArrow(lambda b, h=header: _with_first(b, h), "value string").write.text(f"{path}/{half}")
+    return path
 
-from tenura.session import checkpoint_dir  # noqa: E402
+
+def _with_first(batches, header):
+    """A file's header line before its rows."""
+    import pyarrow as pa
+    yield pa.RecordBatch.from_pydict({"value": [header]})
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
+
+
+@register("read_csv_by_name")
+def q_read_csv_by_name(spark, sf_dir):
+    path = _estate_extract(spark, tables(spark, sf_dir))
+    df = LD.read_extract_csv(spark, f"{path}/*", {"ttl_title_": "ttl_title_no"})
+    return df.select(P.to_long(F.col("id")).alias("id"), "ttl_title_no", "type", "status", "share", "purpose")
+
+
+@register("read_csv_rejects")
+def q_read_csv_rejects(spark, sf_dir):
+    path = _estate_extract(spark, tables(spark, sf_dir))
+    bad = CX.read_csv_extract(spark, f"{path}/*").rejects
+    return bad.select("header", "record")
+
+
+class _Earlier:
+    """The registry as it was before some changes: titles that are new since, changed since and gone
+    since, another share of an estate, an encumbrance less and an older address."""
+
+    def __init__(self, t):
+        self._t = t
+
+    def __getattr__(self, name):
+        df = getattr(self._t, name)
+        number = F.substring("title_no", 2, 20).cast("bigint") if name == "title" else None
+        if name == "title":
+            old = df.where(number % 11 != 0).withColumn("status", F.when(number % 7 == 0, "HIST").otherwise(F.col("status")))
+            gone = df.where(number % 13 == 0).withColumn("title_no", F.concat(F.lit("G"), "title_no"))
+            return old.withColumn("is_current", current_flag("status")).unionByName(gone)
+        if name == "title_encumbrance":
+            return df.where(F.col("id") % 17 != 0)
+        if name == "title_estate":
+            return df.withColumn("type", F.when(F.col("id") % 19 == 0, "LEAS").otherwise(F.col("type")))
+        if name == "address_component":
+            return df.withColumn("component_value", F.when((F.col("address_id") % 23 == 0) & (
+                F.col("component_type") == "Address Number"), "1").otherwise(F.col("component_value")))
+        return df
+
+
+@register("refresh_search_table")
+def q_refresh_search_table(spark, sf_dir):
+    """K3: the search table of an earlier state, then brought up to date for the changed titles only."""
+    now = tables(spark, sf_dir)
+    then = _Earlier(now)
+    path = _shared(spark, "search-table")
+    IN.materialise(G.title_search_table(G.title_360(then)), path, "title_no", 8)
+    IN.refresh_changed(spark, path, "title_no", 8, IN.changed_titles(then, now),
+                       lambda keys: G.title_search_table(G.title_360(IN.OfTitles(now, keys))))
+    return IN.read_materialised(spark, path)
+
+
+@register("layout_clustered")
+def q_layout_clustered(spark, sf_dir):
+    """K1: instruments clustered by lodged date and priority, and read by either."""
+    path = _shared(spark, "clustered")
+    K.z_ordered_write(tables(spark, sf_dir).title_instrument, ["lodged_date", "priority_no"], path, n_files=8)
+    back = spark.read.parquet(path)
+    early = back.where(F.col("lodged_date") < F.lit("1993-01-01").cast("date")).select(F.lit("early").alias("pick"), "id", "inst_no")
+    first = back.where(F.col("priority_no") <= 5).select(F.lit("first").alias("pick"), "id", "inst_no")
+    return early.unionByName(first)
+
+
+@register("reflag_files")
+def q_reflag_files(spark, sf_dir):
+    """P8 on a stored table: only the files whose flags change are rewritten."""
+    path = _shared(spark, "titles")
+    t = tables(spark, sf_dir).title.select("title_no", "status", "is_current")
+    t.repartitionByRange(8, "status", "title_no").write.parquet(path)
+    IN.reflag_files(spark, path, ("LIVE",))
+    return spark.read.parquet(path)
+
+
+@register("upsert_code_files")
+def q_upsert_code_files(spark, sf_dir):
+    """P9 on a stored table: files with a missing description are rewritten, new codes are added."""
+    t = tables(spark, sf_dir)
+    path = _shared(spark, "codes")
+    _code_target(t).repartition(4, "code_group").write.parquet(path)
+    IN.upsert_code_files(spark, path, t.system_code)
+    return spark.read.parquet(path)
 
 
 @register("search_batch")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura.plans.conform import numeric_text, to_long
+from tenura.sources.csv_extract import read_csv_extract
 
 # Characters Python's str.strip() treats as ASCII whitespace.
 _WS = "\t\n\x0b\x0c\r "
@@ -85,25 +86,9 @@ def _has_metadata(df: DataFrame) -> bool:
 
 
 def read_extract_csv(spark: SparkSession, path: str, col_map: dict[str, str] | None = None,
-                     timestamp_cols: tuple[str, ...] = (), schema: str | None = None) -> DataFrame:
-    """CSV extract loaded by header name (not position).
-
-    Header skipped, quoted fields, '', 'NULL' and 'null' -> NULL, malformed rows
-    dropped, unparseable timestamps -> NULL, header names mapped to targets.
-    Splittable: Spark reads the files in parallel byte ranges.
-    """
-    r = (spark.read.option("header", True).option("mode", "DROPMALFORMED").option("quote", '"')
-         .option("escape", '"').option("multiLine", False))
-    if schema:
-        r = r.schema(schema)
-    df = r.csv(path)
-    df = df.select(*[F.when(F.col(c).isin("", "NULL", "null"), F.lit(None).cast("string"))
-                      .otherwise(F.col(c).cast("string")).alias(c.strip().lower()) for c in df.columns])
-    if col_map:
-        df = df.withColumnsRenamed({k.lower(): v for k, v in col_map.items()})
-    for c in timestamp_cols:
-        df = df.withColumn(c, F.try_to_timestamp(F.col(c)))
-    return df
+                     timestamp_cols: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of a CSV extract by header name; see ``csv_extract`` for its rejects."""
+    return read_csv_extract(spark, path, col_map, timestamp_cols).rows.drop("source_file")
 
 
 def write_extract_csv(df: DataFrame, path: str) -> None:
