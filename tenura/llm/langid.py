@@ -39,7 +39,8 @@ SAMPLE = 4000
 ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")          # letters, and numbers like the vulgar fractions that go below
-CACHE = 200_000
+CACHE = 60_000             # vectors kept ready, of each table
+FLUSH = 200_000            # words that a task counts before it sends them on
 BROADCAST_LANGS = 10_000
 MIN_SCORE = 0.5
 
@@ -87,7 +88,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             counts.setdefault(lang, Counter()).update(words_of(text))
-            if sum(map(len, counts.values())) > CACHE:
+            if sum(map(len, counts.values())) > FLUSH:
                 yield flush()
     yield flush()
 
