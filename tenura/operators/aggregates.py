@@ -60,6 +60,24 @@ def latest_by_raw(value, date, tie) -> Column:
     return F.max_by(_c(value), order)
 
 
+def latest_key(date, tie, default_date: str | None = "1900-01-01") -> Column:
+    """A6/A7 in a hash aggregate: one number that orders by date, then by the BIGINT ``tie``, so
+    ``max`` of it finds the latest row without carrying its attributes through the shuffle.  With
+    ``default_date`` None a NULL date gives NULL and never wins.  ``key_tie`` gives the tie back."""
+    day = _c(date) if default_date is None else F.coalesce(_c(date), F.lit(default_date).cast("date"))
+    number = F.unix_date(day).cast("decimal(10,0)") + F.lit(10_000_000).cast("decimal(10,0)")      # year 1 is positive
+    return (number * F.lit(str(_TIES)).cast("decimal(20,0)") + _c(tie).cast("decimal(20,0)")
+            + F.lit(str(_TIES // 2)).cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
+def key_tie(key) -> Column:
+    """The ``tie`` of a ``latest_key``."""
+    return (_c(key) % F.lit(str(_TIES)).cast("decimal(38,0)") - F.lit(str(_TIES // 2)).cast("decimal(38,0)")).cast("bigint")
+
+
+_TIES = 20_000_000_000_000_000_000       # more than there are BIGINTs
+
+
 def collect_structs(*fields) -> Column:
     """Sorted array of structs (sorted by the first field, then the rest)."""
     return F.array_sort(F.collect_list(F.struct(*[_c(f) for f in fields])))

@@ -270,13 +270,28 @@ def address_search_text(a: DataFrame, comp: DataFrame, ref: DataFrame | None = N
 # ---------------------------------------------------------------------------
 # G12 360 view and G18 its search table
 # ---------------------------------------------------------------------------
-def _instrument_latest(d: DataFrame, latest: str) -> list[Column]:
-    attrs = F.struct("tin_id", "inst_no", "trt_grp", "trt_type", "transaction_type_desc")
-    if latest == "raw":
-        pick = A.latest_by_raw(attrs, "lodged_date", "tin_id")
-    else:
-        pick = A.latest_by(attrs, "lodged_date", "tin_id")
-    return [pick.alias("__latest")]
+def latest_instruments(tit: DataFrame, ti: DataFrame, tt: DataFrame, latest: str = "struct") -> DataFrame:
+    """Per title (k): instrument_count, registered_instrument_count, latest_lodged_date and the latest
+    instrument's tin_id, inst_no, trt_grp, trt_type and transaction_type_desc.
+
+    Only ids, dates and a flag are shuffled and aggregated, by hash: links and dates meet on the
+    instrument, which also makes (title, instrument) distinct without another exchange, and the
+    winner is the largest (date, id) in one number.  Its attributes and label are joined to one
+    row per title."""
+    links = tit.select(F.col("ttl_title_no").alias("k"), F.col("tin_id").alias("__tin"))
+    dates = ti.select(F.col("id").alias("__id"), "lodged_date",
+                      F.when(in_codes("status", ("REGD", "LIVE")), F.lit(1)).otherwise(F.lit(0)).alias("__live"))
+    per = (links.join(dates, F.col("__tin") == F.col("__id")).groupBy("__tin", "k")
+           .agg(F.max("lodged_date").alias("lodged_date"), F.sum("__live").alias("__live")))
+    key = A.latest_key("lodged_date", "__tin", None if latest == "raw" else "1900-01-01")
+    best = per.groupBy("k").agg(A.n_rows().alias("instrument_count"), F.sum("__live").cast("bigint").alias("registered_instrument_count"),
+                                F.max("lodged_date").alias("latest_lodged_date"), F.max(key).alias("__key"))
+    named = ti.select(F.col("id").alias("tin_id"), "inst_no", "trt_grp", "trt_type")
+    label = tt.select(F.col("grp").alias("__grp"), F.col("type").alias("__type"), F.col("description").alias("transaction_type_desc"))
+    return (best.withColumn("__latest", A.key_tie("__key"))
+            .join(named, F.col("__latest") == F.col("tin_id"), "left")
+            .join(label, (F.col("trt_grp") == F.col("__grp")) & (F.col("trt_type") == F.col("__type")), "left")
+            .drop("__key", "__latest", "__grp", "__type"))
 
 
 def title_360(t, latest: str = "struct", appellation_status: str = "CURR", edge_status: str = "CURR",
@@ -303,16 +318,11 @@ def title_360(t, latest: str = "struct", appellation_status: str = "CURR", edge_
         A.list_ordered(party_name("type", "prime_other_names", "prime_surname"), "prime_surname", p["id"],
                        " | ").alias("proprietors"))
     # instruments
-    d = instrument_detail(t.title_instrument_title, t.title_instrument, t.transaction_type)
-    instr = d.groupBy(F.col("title_no").alias("k")).agg(
-        A.n_distinct("tin_id").alias("instrument_count"),
-        F.max("lodged_date").alias("latest_instrument_date"),
-        *_instrument_latest(d, latest)).select(
-        "k", "instrument_count", "latest_instrument_date",
-        F.col("__latest.inst_no").alias("latest_inst_no"),
-        F.when(F.col("__latest").isNotNull(),
-               type_code(F.col("__latest.trt_grp"), F.col("__latest.trt_type"))).alias("latest_inst_type"),
-        F.col("__latest.transaction_type_desc").alias("latest_inst_type_desc"))
+    instr = latest_instruments(t.title_instrument_title, t.title_instrument, t.transaction_type, latest).select(
+        "k", "instrument_count", F.col("latest_lodged_date").alias("latest_instrument_date"),
+        F.col("inst_no").alias("latest_inst_no"),
+        F.when(F.col("tin_id").isNotNull(), type_code("trt_grp", "trt_type")).alias("latest_inst_type"),
+        F.col("transaction_type_desc").alias("latest_inst_type_desc"))
     # encumbrances, parcels
     enc = t.title_encumbrance.groupBy(F.col("ttl_title_no").alias("k")).agg(
         A.n_rows().alias("encumbrance_count"), A.n_where("is_current").alias("current_encumbrance_count"))
@@ -390,27 +400,17 @@ def _search_branches(t, with_arrays: bool, latest: str = "struct", primary_estat
         ]
     estate = te.groupBy(F.col("ttl_title_no").alias("k")).agg(*est_aggs)
 
-    d = instrument_detail(t.title_instrument_title, t.title_instrument, t.transaction_type)
-    attrs = F.struct("tin_id", "inst_no", "trt_type", "transaction_type_desc")
-    pick = A.latest_by_raw(attrs, "lodged_date", "tin_id") if latest == "raw" else \
-        A.latest_by(attrs, "lodged_date", "tin_id")
-    ins_aggs = [
-        A.n_distinct("tin_id").alias("instrument_count"),
-        A.n_where_sum(in_codes("instrument_status", ("REGD", "LIVE"))).alias("registered_instrument_count"),
-        pick.alias("__latest"),
-        F.max("lodged_date").alias("latest_lodged_date"),
-    ]
+    instr = latest_instruments(t.title_instrument_title, t.title_instrument, t.transaction_type, latest).select(
+        "k", "instrument_count", "registered_instrument_count", "latest_lodged_date",
+        F.col("tin_id").alias("latest_instrument_id"), F.col("inst_no").alias("latest_instrument_no"),
+        F.col("trt_type").alias("latest_instrument_type"),
+        F.col("transaction_type_desc").alias("latest_instrument_description"))
     if with_arrays:
-        ins_aggs.append(A.collect_structs("tin_id", "inst_no", "trt_grp", "trt_type",
-                                          F.col("transaction_type_desc").alias("description"),
-                                          F.col("instrument_status").alias("status"), "lodged_date",
-                                          "priority_no").alias("instruments"))
-    instr = d.groupBy(F.col("title_no").alias("k")).agg(*ins_aggs)
-    instr = instr.select("k", *[c for c in instr.columns if c not in ("k", "__latest")],
-                         F.col("__latest.tin_id").alias("latest_instrument_id"),
-                         F.col("__latest.inst_no").alias("latest_instrument_no"),
-                         F.col("__latest.trt_type").alias("latest_instrument_type"),
-                         F.col("__latest.transaction_type_desc").alias("latest_instrument_description"))
+        d = instrument_detail(t.title_instrument_title, t.title_instrument, t.transaction_type)
+        lists = d.groupBy(F.col("title_no").alias("__k")).agg(
+            A.collect_structs("tin_id", "inst_no", "trt_grp", "trt_type", F.col("transaction_type_desc").alias("description"),
+                              F.col("instrument_status").alias("status"), "lodged_date", "priority_no").alias("instruments"))
+        instr = instr.join(lists, F.col("k") == F.col("__k"), "left").drop("__k")
 
     ten = t.title_encumbrance
     enc_aggs = [
