@@ -6,8 +6,14 @@ estimates, from the counts of all vote patterns of the corpus (at most 3**9, cou
 Spark), each labeller's vote probabilities given the hidden class.  The posterior of a
 document's pattern is its soft label.  A logistic scorer over hashed features (letter runs,
 their first bytes, beginnings and endings of words by character class, repeated neighbours) is trained on a
-bounded sample of documents (``sample``, chosen by hash) with these soft labels, and a
-second head on labelled toxic documents (also bounded).  Every document is then scored.
+bounded sample of documents with these soft labels, and a second head on labelled toxic
+documents (also bounded).  Every document is then scored.
+
+The sample: about ``sample`` distinct documents (id and text), chosen by hash, for the first head;
+the texts of about ``sample`` labelled ids, at most about twice ``sample`` distinct ones, for the
+second.  Repeated rows are one document with a weight, so an id or text that holds a third of
+the rows is one row of the sample.  A training document brings at most ``FEATURES`` distinct
+buckets (the first by a hash, their counts scaled up); scoring reads all of them.
 
 Defined results: a null or wordless text has quality 0; repeated rows are scored each for
 itself; without documents the result is empty; without toxic labels the toxic score is 0;
@@ -21,14 +27,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura.llm import textops as T
-from tenura.llm.frames import text_uid
+from tenura.llm.frames import cut_lineage, text_uid
 
 LABELLERS = ("symbols", "bars", "capitals", "repeats", "lines", "word_length", "stops", "variety", "prose")
 SAMPLE = 12_000
+FEATURES = 4_096
 BUCKETS = 1 << 20
 STEPS = 100
 CHUNK = 1 << 18
@@ -126,7 +133,6 @@ def em(patterns: np.ndarray, counts: np.ndarray, labellers: int, steps: int = 20
     vote = patterns[:, None] // 3 ** np.arange(labellers) % 3
     table = np.tile(np.array([[0.5, 0.3, 0.2], [0.1, 0.3, 0.6]]), (labellers, 1, 1))
     prior = 0.8
-    j = np.arange(labellers)
     for _ in range(steps):
         good = _posterior(vote, prior, table)
         weight = np.stack([counts * (1 - good), counts * good])
@@ -135,7 +141,6 @@ def em(patterns: np.ndarray, counts: np.ndarray, labellers: int, steps: int = 20
             new[:, :, v] = ((vote == v).T @ weight.T)
         table = (new + 1.0) / (new.sum(axis=2, keepdims=True) + 3.0)
         prior = float(np.clip(weight[1].sum() / max(1, counts.sum()), 0.01, 0.99))
-    del j
     return prior, table
 
 
@@ -145,50 +150,81 @@ def _posterior(vote: np.ndarray, prior: float, table: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
 
+SAMPLED = ("doc_id long, uid long, weight long, n long, pattern long, toxic int, for_quality boolean, "
+           "bucket array<int>, count array<double>")
+
+
+def _sampled(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 9
+    types = [pa.int64()] * 5 + [pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.float64())]
+    names = [x.split()[0] for x in SAMPLED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document its distinct buckets, counts, pattern and toxic label."""
+    """Each document of the partition once: its distinct buckets, counts, pattern and toxic label.
+
+    Its further rows leave as one row without features at the end, which carries their number."""
     powers = T.Powers()
+    again: dict[tuple, int] = {}
     for batch in batches:
+        ids = list(zip(batch.column("doc_id").to_pylist(), batch.column("uid").to_pylist(), strict=True))
+        fresh = []
+        for i, doc in enumerate(ids):
+            if doc in again:
+                again[doc] += 1
+            else:
+                again[doc] = 0
+                fresh.append(i)
+        batch = batch.take(pa.array(fresh, pa.int64()))
+        ids = [ids[i] for i in fresh]
+        toxic, for_quality = batch.column("toxic").to_pylist(), batch.column("for_quality").to_pylist()
         for lo, hi, buf, off in T.chunks(batch.column("text"), CHUNK):
             n, votes, row, bucket = describe(buf, off, powers)
             key, count = np.unique(row * BUCKETS + bucket, return_counts=True)
             at = np.searchsorted(key, np.arange(len(n) + 1) * BUCKETS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(n), pa.array(pattern(votes)), batch.column("toxic").slice(lo, hi - lo),
-                 batch.column("for_quality").slice(lo, hi - lo),
-                 pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array((key % BUCKETS).astype(np.int32))),
-                 pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32)))],
-                names=["n", "pattern", "toxic", "for_quality", "bucket", "count"])
-
-
-def logistic(x_row, x_col, x_val, y, rows: int, l2: float, steps: int = STEPS, rate: float = 0.5):
-    """Weights and bias of a logistic model over sparse rows, by AdaGrad on full gradients."""
+            kinds = pattern(votes)
+            rows = []
+            for i in range(hi - lo):
+                b, c = key[at[i]:at[i + 1]] % BUCKETS, count[at[i]:at[i + 1]].astype(float)
+                if len(b) > FEATURES:
+                    use = np.sort(np.argsort(T.mix(b.astype(np.uint64)), kind="stable")[:FEATURES])
+                    b, c = b[use], c[use] * (c.sum() / c[use].sum())
+                rows.append((*ids[lo + i], 1, int(n[i]), int(kinds[i]), toxic[lo + i], for_quality[lo + i],
+                             b.astype(np.int32), c))
+            yield _sampled(rows)
+    yield _sampled([(*doc, more, *[None] * 6) for doc, more in again.items() if more])
+
+
+def logistic(x_row, x_col, x_val, y, weight, l2: float, steps: int = STEPS, rate: float = 0.5):
+    """Weights and bias of a logistic model over weighted sparse rows, by AdaGrad on full gradients."""
+    rows, total = len(y), weight.sum()
     w, b = np.zeros(BUCKETS), 0.0
     gw, gb = np.full(BUCKETS, 1e-8), 1e-8
     for _ in range(steps):
         z = np.bincount(x_row, weights=x_val * w[x_col], minlength=rows) + b
-        err = 1.0 / (1.0 + np.exp(-np.clip(z, -50, 50))) - y
-        g = np.bincount(x_col, weights=x_val * err[x_row], minlength=BUCKETS) / rows + l2 * w
+        err = weight * (1.0 / (1.0 + np.exp(-np.clip(z, -50, 50))) - y)
+        g = np.bincount(x_col, weights=x_val * err[x_row], minlength=BUCKETS) / total + l2 * w
         gw += g * g
         w -= rate * g / np.sqrt(gw)
-        g = err.mean()
+        g = err.sum() / total
         gb += g * g
         b -= rate * g / np.sqrt(gb)
     return w, b
 
 
-def telling(x_row, x_col, y, least: int = 8, deviations: float = 5.0) -> np.ndarray:
+def telling(x_row, x_col, y, weight, least: int = 8, deviations: float = 5.0) -> np.ndarray:
     """Buckets whose rows are positive far more often than all rows; the rest is noise to a rare class."""
-    n = np.bincount(x_col, minlength=BUCKETS)
-    k = np.bincount(x_col, weights=y[x_row], minlength=BUCKETS)
-    p = y.mean()
+    n = np.bincount(x_col, weights=weight[x_row], minlength=BUCKETS)
+    k = np.bincount(x_col, weights=(weight * y)[x_row], minlength=BUCKETS)
+    p = (weight * y).sum() / weight.sum()
     return (n >= least) & (k - n * p > deviations * np.sqrt(n * p * (1 - p)))
 
 
 def _train(prior: float, table: np.ndarray):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        pdf = pdf[pdf["n"] > 0].sort_values(["n", "pattern"], kind="stable")
+        pdf = pdf[pdf["n"] > 0].sort_values(["doc_id", "uid"], kind="stable")
         for head in ("quality", "toxic"):
             part = pdf[pdf["for_quality"]] if head == "quality" else pdf[pdf["toxic"].notna()]
             if not len(part):
@@ -200,20 +236,51 @@ def _train(prior: float, table: np.ndarray):
                 y = part["toxic"].to_numpy(dtype=float)
                 if not y.any():
                     continue
-            lengths = part["bucket"].map(len).to_numpy()
+            lengths, weight = part["bucket"].map(len).to_numpy(), part["weight"].to_numpy(dtype=float)
             row = np.repeat(np.arange(len(part)), lengths)
             col = np.concatenate(part["bucket"].to_list()).astype(np.int64)
             if head == "quality":      # shares of the words
                 val = np.concatenate(part["count"].to_list()) / part["n"].to_numpy()[row]
-                w, b = logistic(row, col, val, y, len(part), 1e-6)
+                w, b = logistic(row, col, val, y, weight, 1e-6)
             else:                      # presence of telling buckets
-                use = telling(row, col, y)[col]
-                w, b = logistic(row[use], col[use], np.ones(int(use.sum())), y, len(part), 1e-5)
+                use = telling(row, col, y, weight)[col]
+                w, b = logistic(row[use], col[use], np.ones(int(use.sum())), y, weight, 1e-5)
             out.append(pd.DataFrame({"head": [head], "weights": [w.astype(np.float32).tobytes()], "bias": [float(b)]}))
         return pd.concat(out) if out else pd.DataFrame({"head": [], "weights": [], "bias": []})
     return run
 
 
+def _share(*of: str) -> Column:
+    """A number in [0, 1) by hash; the first argument names the draw."""
+    return F.pmod(F.xxhash64(F.lit(of[0]), *of[1:]), F.lit(1 << 20)) / float(1 << 20)
+
+
+def training_labels(spark: SparkSession, labels: DataFrame | None, sample: int) -> DataFrame:
+    """(doc_id, toxic) of about ``sample`` labelled ids; a label seen twice with two values is toxic."""
+    if labels is None:
+        return spark.createDataFrame([], "doc_id long, toxic int")
+    toxic = labels.filter("doc_id is not null and toxic is not null").groupBy(
+        F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    return toxic.filter(_share("toxic", "doc_id") < float(sample) / max(1, toxic.count()))
+
+
+def training_features(rows: DataFrame, chosen: DataFrame, total: int, sample: int) -> DataFrame:
+    """The sampled documents, each once with its weight: columns of SAMPLED.
+
+    rows: doc_id, uid, text; chosen: a bounded set of labelled ids, broadcast, so no text moves but the drawn ones."""
+    chosen = F.broadcast(cut_lineage(chosen))
+    labelled = rows.select("doc_id").join(chosen, "doc_id", "left_semi").count()
+    drawn = (rows.join(chosen, "doc_id", "left")
+             .withColumn("toxic", F.when(_share("texts", "doc_id", "uid") < 2.0 * sample / max(1, labelled), F.col("toxic")))
+             .withColumn("for_quality", _share("quality", "doc_id", "uid") < float(sample) / max(1, total))
+             .filter("for_quality or toxic is not null"))
+    feats = drawn.select("doc_id", "uid", "text", "toxic", "for_quality").mapInArrow(_sample_features, SAMPLED)
+    of = ["n", "pattern", "toxic", "for_quality", "bucket", "count"]
+    one = F.first(F.when(F.col("n").isNotNull(), F.struct(*of)), ignorenulls=True).alias("one")
+    return feats.groupBy("doc_id", "uid").agg(F.sum("weight").alias("weight"), one).select(
+        "doc_id", "uid", "weight", "one.*")
+
+
 def fit(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE):
     """(prior, labeller table, {head: (weights, bias)})."""
     counts = (docs.select("text").mapInArrow(_patterns, "pattern long, n long").groupBy("pattern")
@@ -224,23 +291,12 @@ def fit(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE):
         return prior, table, {}
     total = sum(r.n for r in counts)
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    if labels is None:
-        labels = spark.createDataFrame([], "doc_id long, toxic int")
-    toxic = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(
-        F.max(F.col("toxic").cast("int")).alias("toxic"))
-    n_labelled = toxic.count()
-    draw = F.pmod(F.xxhash64(F.lit("quality"), "doc_id", text_uid("text")), F.lit(1 << 20)) / float(1 << 20)
-    # about ``sample`` (id, label) rows: a bounded broadcast, so no text moves but the drawn ones
-    chosen = toxic.filter(F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-                          < float(sample) / max(1, n_labelled))
-    drawn = (rows.withColumn("u", draw).join(F.broadcast(chosen), "doc_id", "left")
-             .withColumn("for_quality", F.col("u") < float(sample) / total)
-             .filter("for_quality or toxic is not null"))
-    feats = drawn.select("text", "toxic", "for_quality").mapInArrow(
-        _sample_features, "n long, pattern long, toxic int, for_quality boolean, bucket array<int>, count array<int>")
-    # one bounded group: about 2 * sample documents as sparse counts
-    got = feats.groupBy(F.lit("all")).applyInPandas(_train(prior, table), "head string, weights binary, bias double").collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       text_uid("text").alias("uid")).filter(F.col("text").isNotNull())
+    got = training_features(rows, training_labels(spark, labels, sample), total, sample)
+    # one bounded group: about 3 * sample documents of at most FEATURES counts
+    got = (got.groupBy(F.lit("all"))
+           .applyInPandas(_train(prior, table), "head string, weights binary, bias double").collect())
     return prior, table, {r.head: (np.frombuffer(r.weights, dtype=np.float32), r.bias) for r in got}
 
 

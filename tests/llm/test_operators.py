@@ -445,3 +445,64 @@ def test_scripts_that_were_never_seen_have_no_score(spark):
     assert got[902].lang_pred == "en" and got[902].score > 0.5
     kept = {r.doc_id for r in langid.known_language(df).collect()}
     assert kept == set(range(60)) | {902}
+
+
+def test_quality_sample_takes_repeated_rows_once(spark, hard):
+    """A row that holds most of the table is one row of the sample, with its number as weight."""
+    long_text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(6000))
+    rows = hard + [row(5003, "one")] * 400 + [row(7000, long_text)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(6).select("doc_id", "text", quality.text_uid("text").alias("uid"))
+    docs = docs.filter("text is not null")
+    toxic = spark.createDataFrame([(5003, 1), (5004, 0), (9999, 1), (5003, None), (None, 1)], "doc_id long, toxic int")
+    chosen = quality.training_labels(spark, toxic, 10 ** 6)
+    assert rows_of(chosen, "doc_id", "toxic") == [(5003, 1), (5004, 0), (9999, 1)]
+    got = quality.training_features(docs, chosen, 1, 10 ** 6).collect()
+    want = Counter((r[0], r[1]) for r in rows if r[1] is not None)
+    assert len(got) == len(want) and sorted(r.weight for r in got) == sorted(want.values())
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[5003].weight == 401 and by_id[5003].toxic == 1 and by_id[5004].toxic == 0
+    assert max(len(r.bucket) for r in got) == len(by_id[7000].bucket) == quality.FEATURES
+    assert abs(sum(by_id[7000]["count"]) - 4 * 6000) < 1e-3
+    few = quality.training_features(docs, chosen, len(rows), 20).collect()
+    assert len(few) < 80 and all(r.for_quality or r.toxic is not None for r in few)
+
+
+def test_quality_of_repeated_rows_is_as_of_weights():
+    rng = np.random.default_rng(3)
+    row_, col = np.repeat(np.arange(40), 5), rng.integers(0, 30, 200)
+    val, y, times = rng.random(200), rng.random(40), rng.integers(1, 4, 40)
+    at = np.repeat(np.arange(40), times)
+    w, b = quality.logistic(row_, col, val, y, times.astype(float), 1e-6)
+    many = np.concatenate([np.flatnonzero(row_ == i) for i in at])
+    w2, b2 = quality.logistic(np.repeat(np.arange(len(at)), 5), col[many], val[many], y[at], np.ones(len(at)), 1e-6)
+    assert np.abs(w - w2).max() < 1e-9 and abs(b - b2) < 1e-9
+
+
+@pytest.mark.parametrize("name", ["quality", "langid"])
+def test_empty_repeated_and_clashing_columns(spark, hard_df, name):
+    labels = spark.createDataFrame([(5007, 1, 0), (None, 1, 1), (5008, None, None)], "doc_id long, quality int, toxic int")
+    op = {"quality": lambda d: quality.quality_report(d, labels), "langid": langid.language_report}[name]
+    assert op(hard_df.limit(0)).collect() == []
+    few = hard_df.filter("doc_id >= 5000 or doc_id is null")
+    clash = few
+    for c in ("uid", "row", "toxic", "weight", "n", "count", "for_quality", "kind", "item", "score"):
+        clash = clash.selectExpr("*", f"1 as `{c}`")
+    once, twice = op(few).collect(), op(clash.unionByName(clash)).collect()
+    assert len(twice) == 2 * len(once)
+    of = lambda rows: Counter(str(r.doc_id) for r in rows)
+    assert of(twice) == Counter({k: 2 * n for k, n in of(once).items()})
+    if name == "langid":
+        said = {r.doc_id: r.lang_pred for r in once}
+        assert all(said[r.doc_id] == r.lang_pred for r in twice)
+
+
+def test_url_filter_empty_and_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (2, None), (None, "ftp://www.example.com/en/q"), (1, "http://a.com/x")],
+                                  "page_id long, url string")
+    assert urlcascade.url_report(spark, pages.limit(0)).collect() == []
+    clash = pages
+    for c in ("row", "host", "path", "keys", "full", "hit", "rule", "verdict"):
+        clash = clash.selectExpr("*", f"1 as {c}")
+    key = lambda r: str(r)
+    got = sorted(urlcascade.url_report(spark, clash).collect(), key=key)
+    assert got == sorted(urlcascade.url_report(spark, pages).collect(), key=key) and len(got) == 4
