@@ -736,6 +736,15 @@ def q_lineage_ancestors(spark, sf_dir):
     return L.ancestors(t.title.select("title_no"), t.title_hierarchy, t.title)
 
 
+@register("lineage_cycles")
+def q_lineage_cycles(spark, sf_dir):
+    """Titles on a cycle where lapsed links lead both ways and the others forward."""
+    links = tables(spark, sf_dir).title_hierarchy.select("status", "ttl_title_no_prior", "ttl_title_no_flw")
+    back = links.where("status <> 'CURR'").select(
+        "status", F.col("ttl_title_no_flw").alias("ttl_title_no_prior"), F.col("ttl_title_no_prior").alias("ttl_title_no_flw"))
+    return L.cycles(links.unionByName(back), edge_status=None)
+
+
 @register("lineage_neighbours")
 def q_lineage_neighbours(spark, sf_dir):
     t = tables(spark, sf_dir)
