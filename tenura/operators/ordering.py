@@ -29,12 +29,24 @@ def page_bounds(limit, offset) -> tuple[int, int]:
     return bounds[0], bounds[1]
 
 
+def sort_column(sort_by: str | None, columns: dict[str, str] = SEARCH_SORT_COLUMNS) -> str:
+    """The table's column behind a request's sort name."""
+    name = (sort_by or "").strip().lower() or "issue_date"
+    if name not in columns:
+        raise ValueError(f"sort_by must be one of {', '.join(columns)}, not {sort_by!r}")
+    return columns[name]
+
+
 def search_order(sort_by: str = "issue_date", sort_dir: str = "desc", key: str = "title_no",
                  columns: dict[str, str] = SEARCH_SORT_COLUMNS) -> list[Column]:
-    """O1: current first, then the whitelisted column (NULLs last), then key ascending."""
-    col = columns.get((sort_by or "").strip().lower(), columns["issue_date"])
-    c = F.col(col)
-    second = c.asc_nulls_last() if (sort_dir or "").strip().upper() == "ASC" else c.desc_nulls_last()
+    """O1: current first, then the named column (NULLs last), then key ascending.
+
+    No name means the issue date, no direction descending; other names and directions are refused."""
+    c = F.col(sort_column(sort_by, columns))
+    way = (sort_dir or "").strip().upper() or "DESC"
+    if way not in ("ASC", "DESC"):
+        raise ValueError(f"sort_dir must be asc or desc, not {sort_dir!r}")
+    second = c.asc_nulls_last() if way == "ASC" else c.desc_nulls_last()
     return [F.col("is_current").desc_nulls_last(), second, F.col(key).asc()]
 
 

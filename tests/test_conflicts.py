@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenura.operators.filters import current_flag
+from tenura.operators import ordering as O
 from tenura.plans import conform as P
 from tenura.plans import gold as G
 from tenura.plans import lineage as L
@@ -165,3 +166,15 @@ def test_c22_empty_list_is_null(spark):
     from tenura.operators import aggregates as A
     df = spark.createDataFrame([("k", None)], "k string, v string")
     assert df.groupBy("k").agg(A.list_distinct("v").alias("x")).first()["x"] is None
+
+
+def test_unknown_sort_names_are_refused(spark):
+    tbl = spark.createDataFrame([("T1", True, "2020-01-01", 3)], "title_no string, is_current boolean, issue_date string, "
+                                                                 "instrument_count int")
+    assert O.sort_column(None) == O.sort_column(" Issue_Date ") == "issue_date"
+    assert O.sort_rows(tbl, "instrument_count", "asc").count() == O.sort_rows(tbl, "", None).count() == 1
+    for by, way in (("owner", "asc"), ("issue_date; drop", "desc"), ("issue_date", "up")):
+        with pytest.raises(ValueError):
+            O.sort_rows(tbl, by, way)
+    with pytest.raises(ValueError, match="updated_at"):
+        S.title_search(tbl, "", "updated_at")
