@@ -40,7 +40,7 @@ SILVER_SPECS: dict[str, list[tuple[str, str, str]]] = {
     "title_instrument": [
         ("id", "id", "long"), ("inst_no", "inst_no", "str"), ("trt_grp", "trt_grp", "str"),
         ("trt_type", "trt_type", "str"), ("ldt_loc_id", "ldt_loc_id", "long"), ("status", "status", "str"),
-        ("lodged_datetime", "lodged_dat", "date"), ("dlg_id", "dlg_id", "long"),
+        ("lodged_date", "lodged_dat", "date"), ("dlg_id", "dlg_id", "long"),
         ("priority_no", "priority_n", "long"), ("tin_id_parent", "tin_id_par", "long"),
         ("audit_id", "audit_id", "long"), ("is_current", "status", "flag"),
     ],
@@ -94,12 +94,12 @@ SILVER_SPECS: dict[str, list[tuple[str, str, str]]] = {
         ("sur_wrk_id", "sur_wrk_id", "long"),
     ],
     "appellation": [
-        ("id", "id", "long"), ("par_id", "par_id", "long"), ("type", "type", "str"), ("title", "title", "str"),
-        ("survey", "survey", "str"), ("status", "status", "str"), ("part_indicator", "part_indic", "str"),
+        ("id", "id", "long"), ("par_id", "par_id", "long"), ("type", "type", "str"), ("title_flag", "title", "str"),
+        ("survey_flag", "survey", "str"), ("status", "status", "str"), ("part_indicator", "part_indic", "str"),
         ("maori_name", "maori_name", "nstr"), ("sub_type", "sub_type", "str"),
         ("appellation_value", "appellatio", "nstr"), ("parcel_type", "parcel_typ", "str"),
         ("parcel_value", "parcel_val", "nstr"), ("second_parcel_type", "second_par", "str"),
-        ("second_parcel_value", "second_prc", "nstr"), ("block_number", "block_numb", "nstr"),
+        ("second_prcl_value", "second_prc", "nstr"), ("block_number", "block_numb", "nstr"),
         ("sub_type_position", "sub_type_p", "str"), ("other_appellation", "other_appe", "nstr"),
         ("act_id_crt", "act_id_crt", "long"), ("act_tin_id_crt", "act_tin_id", "long"),
         ("act_id_ext", "act_id_ext", "long"), ("act_tin_id_ext", "act_tin__1", "long"),
@@ -128,6 +128,7 @@ SILVER_SPECS: dict[str, list[tuple[str, str, str]]] = {
     "address_point": [
         ("address_id", "address_id", "long"), ("change_id", "change_id", "long"),
         ("primary_address", "primary_ad", "str"), ("address_lifecycle_stage", "address_li", "str"),
+        ("status", "address_li", "str"),
         ("address_position_type", "address_pr", "str"), ("alternative_address_type", "address_ma", "str"),
         ("addressable_object_id", "addressabl", "long"), ("address_class", "address_cl", "str"),
         ("parcel_id", "parcel_id", "long"),
@@ -136,7 +137,7 @@ SILVER_SPECS: dict[str, list[tuple[str, str, str]]] = {
         ("address_component_id", "address_co", "long"), ("address_id", "address_id", "long"),
         ("component_type", "address__1", "str"), ("component_value", "address__2", "nstr"),
         ("sequence", "address__3", "long"), ("language_code", "address__4", "str"),
-        ("begin_lifespan", "begin_life", "date"), ("end_lifespan", "end_lifesp", "date"),
+        ("begin_lifecycle", "begin_life", "str"), ("end_lifecycle", "end_lifesp", "str"),      # text: an open end is spelled in several ways
     ],
     "address_component_type": [
         ("component_type", "address_co", "str"), ("description", "address__1", "nstr"),

@@ -69,6 +69,7 @@ def dim_title(title: DataFrame, land_district: DataFrame, active_codes=CURRENT_C
         opt(t, "provisional"), opt(t, "maori_land"), opt(t, "ste_id", "bigint"), opt(t, "sur_wrk_id", "bigint"),
         "is_current",
         current_flag("status", active_codes).alias("is_active"),
+        opt(t, "ttl_title_no_srs"), opt(t, "ttl_title_no_head_srs"),
     )
 
 
@@ -79,7 +80,8 @@ def dim_appellation(a: DataFrame) -> DataFrame:
         opt(a, "type").alias("appellation_type"), "status", "title_flag",
         opt(a, "survey_flag"), opt(a, "part_indicator"), "parcel_type", "parcel_value",
         opt(a, "second_parcel_type"), opt(a, "second_prcl_value"), "block_number",
-        opt(a, "sub_type"), opt(a, "maori_name"),
+        opt(a, "sub_type"), opt(a, "sub_type_position"), opt(a, "maori_name"),
+        opt(a, "height_limited"), opt(a, "other_appellation"),
     )
 
 
@@ -94,7 +96,8 @@ def bridge_title_parcel(tpa: DataFrame) -> DataFrame:
 def fact_title_estate(te: DataFrame, es: DataFrame, p: DataFrame) -> DataFrame:
     """Estate -> share -> proprietor (left, left; fan-out intended)."""
     es2 = es.select(F.col("id").alias("estate_share_id"), F.col("ett_id").alias("__ett"),
-                    F.col("share").alias("share_fraction"), F.col("is_current").alias("share_is_current"))
+                    F.col("share").alias("share_fraction"), F.col("is_current").alias("share_is_current"),
+                    opt(es, "executorship"), opt(es, "share_memorial"))
     p2 = p.select(F.col("id").alias("proprietor_id"), F.col("ets_id").alias("__ets"),
                   F.col("type").alias("proprietor_type"), "prime_surname", "prime_other_names",
                   "name_suffix", F.col("status").alias("proprietor_status"))
@@ -103,8 +106,9 @@ def fact_title_estate(te: DataFrame, es: DataFrame, p: DataFrame) -> DataFrame:
     return j.select(
         F.col("id").alias("title_estate_id"), F.col("ttl_title_no").alias("title_no"),
         F.col("type").alias("estate_type"), F.col("status").alias("estate_status"),
-        F.col("share").alias("estate_share_fraction"), "is_current",
-        "estate_share_id", "share_fraction", "share_is_current",
+        F.col("share").alias("estate_share_fraction"), opt(te, "purpose"), opt(te, "timeshare_week_no"),
+        opt(te, "term"), opt(te, "original_flag"), opt(te, "lgd_id", "bigint"), "is_current",
+        "estate_share_id", "share_fraction", "executorship", "share_memorial", "share_is_current",
         "proprietor_id", "proprietor_type", "prime_surname", "prime_other_names", "name_suffix",
         "proprietor_status",
         party_name("proprietor_type", "prime_other_names", "prime_surname", "name_suffix").alias("proprietor_name"),
@@ -115,6 +119,7 @@ def instrument_detail(tit: DataFrame, ti: DataFrame, tt: DataFrame) -> DataFrame
     """Link x instrument x transaction type, one row per (title, instrument)."""
     ti2 = ti.select(F.col("id").alias("tin_id"), "inst_no", "trt_grp", "trt_type",
                     F.col("status").alias("instrument_status"), "lodged_date", "priority_no",
+                    opt(ti, "tin_id_parent", "bigint"), opt(ti, "dlg_id", "bigint"), opt(ti, "ldt_loc_id", "bigint"),
                     F.col("is_current").alias("instrument_is_current"))
     tt2 = tt.select(F.col("grp").alias("__grp"), F.col("type").alias("__type"),
                     F.col("description").alias("transaction_type_desc"))
@@ -130,7 +135,8 @@ def fact_title_instrument(tit: DataFrame, ti: DataFrame, tt: DataFrame) -> DataF
     return d.select(
         "title_no", "tin_id", "inst_no", "trt_grp", "trt_type", "transaction_type_desc",
         type_code("trt_grp", "trt_type").alias("instrument_code"), "priority_no",
-        "instrument_status", "lodged_date", F.col("instrument_is_current").alias("is_current"),
+        "instrument_status", "lodged_date", "tin_id_parent", "dlg_id", "ldt_loc_id",
+        F.col("instrument_is_current").alias("is_current"),
     )
 
 
@@ -183,20 +189,23 @@ def title_appellation(tpa: DataFrame, a: DataFrame, title_flag: str = "Y") -> Da
     """Appellations of a title through its parcels (inner join + flag in ON)."""
     a2 = a.where(F.col("title_flag") == title_flag).select(
         F.col("par_id").alias("__par"), F.col("id").alias("appellation_id"), "appellation_value",
-        F.col("status").alias("appellation_status"), "title_flag", "parcel_type", "parcel_value",
-        "block_number")
+        opt(a, "type").alias("appellation_type"), F.col("status").alias("appellation_status"), "title_flag",
+        opt(a, "part_indicator"), "parcel_type", "parcel_value", opt(a, "second_parcel_type"),
+        opt(a, "second_prcl_value"), "block_number", opt(a, "sub_type"), opt(a, "maori_name"),
+        opt(a, "height_limited"), opt(a, "other_appellation"))
     j = tpa.join(a2, tpa["par_id"] == a2["__par"], "inner")
-    return j.select(F.col("ttl_title_no").alias("title_no"), "par_id", "appellation_id", "appellation_value",
-                    "appellation_status", "title_flag", "parcel_type", "parcel_value", "block_number")
+    return j.select(F.col("ttl_title_no").alias("title_no"), "par_id", *[c for c in a2.columns if c != "__par"])
 
 
 def title_legal(ld: DataFrame, ldp: DataFrame) -> DataFrame:
     """Legal descriptions with their parcels (left join)."""
-    p = ldp.select(F.col("lgd_id").alias("__lgd"), "par_id", F.col("sequence").alias("parcel_sequence"))
+    p = ldp.select(F.col("lgd_id").alias("__lgd"), "par_id", F.col("sequence").alias("parcel_sequence"),
+                   opt(ldp, "part_affected"), opt(ldp, "share").alias("parcel_share"), opt(ldp, "sur_wrk_id", "bigint"))
     j = ld.join(p, ld["id"] == p["__lgd"], "left")
     return j.select(F.col("ttl_title_no").alias("title_no"), F.col("id").alias("legal_desc_id"),
                     F.col("type").alias("legal_desc_type"), F.col("status").alias("legal_desc_status"),
-                    "total_area", "legal_desc_text", "par_id", "parcel_sequence")
+                    "total_area", "legal_desc_text", "par_id", "parcel_sequence", "part_affected", "parcel_share",
+                    "sur_wrk_id")
 
 
 # ---------------------------------------------------------------------------
@@ -260,7 +269,8 @@ def address_search_text(a: DataFrame, comp: DataFrame, ref: DataFrame | None = N
     comp_text = F.coalesce(F.col("component_text"), F.lit(""))
     ref_text = F.coalesce(F.col("reference_text"), F.lit(""))
     return out.select(
-        "address_id", "parcel_id", "address_class",
+        "address_id", "parcel_id", opt(a, "primary_address"), "address_class", opt(a, "address_lifecycle_stage"),
+        opt(a, "address_position_type"), opt(a, "alternative_address_type"), opt(a, "addressable_object_id", "bigint"),
         comp_text.alias("component_text"), ref_text.alias("reference_text"),
         F.lower(F.concat_ws(" ", F.col("address_id").cast("string"), comp_text, ref_text,
                             F.col("parcel_id").cast("string"))).alias("search_text"),
@@ -346,7 +356,7 @@ def title_360(t, latest: str = "struct", appellation_status: str = "CURR", edge_
     cols = [
         "title_no", "title_status", "title_status_desc", "title_type", "title_type_desc",
         "register_type", "register_type_desc", "issue_date", "is_current", "is_active",
-        "land_district_name", "ldt_loc_id", "guarantee_status", "guarantee_status_desc",
+        "land_district_name", "ldt_loc_id", "maori_land", "guarantee_status", "guarantee_status_desc",
         F.coalesce("proprietor_count", zero).alias("proprietor_count"), "proprietors",
         F.coalesce("estate_count", zero).alias("estate_count"),
         F.coalesce("current_estate_count", zero).alias("current_estate_count"),
@@ -496,7 +506,8 @@ def title_search_wide(t, latest: str = "struct", as_of: Column | None = None,
     base = tt.select("title_no", F.col("status").alias("title_status"), F.col("type").alias("title_type"),
                      "register_type", "issue_date", "guarantee_status", opt(tt, "provisional"),
                      opt(tt, "maori_land"), opt(tt, "ste_id", "bigint"), opt(tt, "sur_wrk_id", "bigint"),
-                     "ldt_loc_id", "is_current", F.coalesce(F.col("status") == "LIVE", F.lit(False)).alias("is_live"))
+                     "ldt_loc_id", opt(tt, "ttl_title_no_srs"), opt(tt, "ttl_title_no_head_srs"),
+                     "is_current", F.coalesce(F.col("status") == "LIVE", F.lit(False)).alias("is_live"))
     j = star_left(base, _search_branches(t, with_arrays=True, latest=latest, primary_estate=primary_estate),
                   "title_no", "k")
     zero = F.lit(0).cast("bigint")
@@ -506,7 +517,8 @@ def title_search_wide(t, latest: str = "struct", as_of: Column | None = None,
     lineage = (F.coalesce("prior_title_count", zero) > 0) | (F.coalesce("follow_on_title_count", zero) > 0)
     cols = [
         "title_no", "title_status", "title_type", "register_type", "issue_date", "guarantee_status",
-        "provisional", "maori_land", "ste_id", "sur_wrk_id", "ldt_loc_id", "is_current", "is_live",
+        "provisional", "maori_land", "ste_id", "sur_wrk_id", "ldt_loc_id", "ttl_title_no_srs",
+        "ttl_title_no_head_srs", "is_current", "is_live",
         F.coalesce("estate_count", zero).alias("estate_count"),
         F.coalesce("current_estate_count", zero).alias("current_estate_count"),
         "primary_estate_type", arr("estate_types"), "estate_share_summary", "estate_purpose_summary",

@@ -99,6 +99,31 @@ def bucketed_table(df: DataFrame, table: str, keys: list[str], buckets: int, mod
     w.saveAsTable(table)
 
 
+# K2: rows written once to learn how many bytes a row takes in a file.
+SIZE_SAMPLE = 100_000
+
+
+def file_bytes_per_row(df: DataFrame, scratch: str, sample: int = SIZE_SAMPLE, seed: int = 11) -> float:
+    """Compressed Parquet bytes a row, from at most ``sample`` random rows written to ``scratch`` (a
+    top-k: each task sends that many at most); 0.0 for an empty table."""
+    spark = df.sparkSession
+    df.withColumn("__r", F.rand(seed)).orderBy("__r").limit(sample).drop("__r").coalesce(1).write.mode("overwrite").parquet(scratch)
+    n = spark.read.schema(df.schema).parquet(scratch).count()
+    size = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(scratch).agg(F.sum("length")).first()[0]
+    return (size or 0) / n if n else 0.0
+
+
+def byte_sized_write(df: DataFrame, path: str, bytes_per_file: int, scratch: str | None = None,
+                     mode: str = "overwrite") -> int:
+    """K2 by bytes: files of about ``bytes_per_file``, and how many.  The size of a row is that of a sample
+    as it is written, compressed; rows are then dealt evenly over as many files as the table needs."""
+    from tenura.session import checkpoint_dir
+    scratch = scratch or f"{checkpoint_dir(df.sparkSession).rstrip('/')}/file-size-{uuid.uuid4().hex}"
+    files = max(1, round(file_bytes_per_row(df, scratch) * df.count() / bytes_per_file))
+    df.repartition(files).write.mode(mode).parquet(path)
+    return files
+
+
 def sized_write(df: DataFrame, path: str, rows_per_file: int, mode: str = "overwrite") -> None:
     """K2: cap file size by rows; a REBALANCE hint lets AQE even out partitions
     first, so small partitions are merged and big ones split."""

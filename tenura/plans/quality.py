@@ -27,8 +27,11 @@ def table_counts(dfs: dict[str, DataFrame], extract_date: str | None = None,
 
 
 def present_tables(dfs: dict[str, DataFrame]) -> DataFrame:
-    """Names of the tables that exist and hold at least one row."""
-    return table_counts(dfs).where(F.col("row_count") > 0).select("table_name")
+    """One row for each table that exists and can be read, an empty one too; ``has_rows`` looks at
+    one row of it and counts nothing."""
+    looked = [df.limit(1).agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(name).alias("table_name"), (F.col("n") > 0).alias("has_rows")) for name, df in dfs.items()]
+    return reduce(DataFrame.unionByName, looked)
 
 
 def require_tables(spark: SparkSession, required: list[str], present: DataFrame,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura.operators.filters import current_flag
-from tenura.sources.adapters import RegistryTables
+from tenura.sources.adapters import ConformedTables, RegistryTables
 from tenura.plans import gold as G
 from tenura.plans import incremental as IN
 from tenura.plans import layout as K
@@ -43,7 +43,7 @@ def register(key):
 # ---------------------------------------------------------------------------
 @register("title_search_core")
 def q_title_search_core(spark, sf_dir) -> DataFrame:
-    return G.title_search_core(tables(spark, sf_dir)).drop("maori_land", "ste_id")
+    return G.title_search_core(tables(spark, sf_dir))
 
 
 def as_json(df: DataFrame, *cols: str) -> DataFrame:
@@ -508,14 +508,12 @@ def _dim_address(t):
 @register("dim_title")
 def q_dim_title(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return G.dim_title(t.title, t.land_district).drop("provisional", "maori_land", "ste_id", "sur_wrk_id")
+    return G.dim_title(t.title, t.land_district)
 
 
 @register("dim_appellation")
 def q_dim_appellation(spark, sf_dir):
-    d = G.dim_appellation(tables(spark, sf_dir).appellation)
-    return d.select("appellation_id", "par_id", "appellation_value", "status", "title_flag", "parcel_type",
-                    "parcel_value", "block_number")
+    return G.dim_appellation(tables(spark, sf_dir).appellation)
 
 
 @register("bridge_title_parcel")
@@ -544,7 +542,7 @@ def q_fact_title_encumbrance(spark, sf_dir):
 @register("v_title_lineage")
 def q_v_title_lineage(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return G.title_lineage(t.title_hierarchy, t.title).drop("tdr_id")
+    return G.title_lineage(t.title_hierarchy, t.title)
 
 
 @register("v_title_appellation")
@@ -576,8 +574,10 @@ def q_title_360(spark, sf_dir):
 
 @register("title_search_wide")
 def q_title_search_wide(spark, sf_dir):
-    w = G.title_search_wide(tables(spark, sf_dir))
-    w = w.drop("provisional", "maori_land", "ste_id", "sur_wrk_id")
+    return _wide_json(G.title_search_wide(tables(spark, sf_dir)))
+
+
+def _wide_json(w):
     return as_json(w, "estate_types", "estates", "instruments", "encumbrances", "prior_titles", "follow_on_titles",
                    "document_references")
 
@@ -585,14 +585,14 @@ def q_title_search_wide(spark, sf_dir):
 @register("title_search_enriched")
 def q_title_search_enriched(spark, sf_dir):
     t = tables(spark, sf_dir)
-    e = G.title_search_enriched(G.title_search_core(t).drop("maori_land", "ste_id"), t)
+    e = G.title_search_enriched(G.title_search_core(t), t)
     return as_json(e, "parcel_ids")
 
 
 @register("address_search_text")
 def q_address_search_text(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return G.address_search_text(t.address_point, t.address_component)
+    return G.address_search_text(t.address_point, t.address_component, t.address_reference)
 
 
 @register("address_search_table")
@@ -605,6 +605,67 @@ def q_title_search_table(spark, sf_dir):
     return G.title_search_table(G.title_360(tables(spark, sf_dir)))
 
 
+# Gold from text extracts that were landed and conformed to silver (P1 -> G), with the results of the same products above
+def _conformed(spark, sf_dir):
+    return ConformedTables(tables(spark, sf_dir))
+
+
+@register("conformed_dim_title")
+def q_conformed_dim_title(spark, sf_dir):
+    t = _conformed(spark, sf_dir)
+    return G.dim_title(t.title, t.land_district)
+
+
+@register("conformed_dim_appellation")
+def q_conformed_dim_appellation(spark, sf_dir):
+    return G.dim_appellation(_conformed(spark, sf_dir).appellation)
+
+
+@register("conformed_fact_title_estate")
+def q_conformed_fact_title_estate(spark, sf_dir):
+    t = _conformed(spark, sf_dir)
+    return G.fact_title_estate(t.title_estate, t.estate_share, t.proprietor)
+
+
+@register("conformed_fact_title_instrument")
+def q_conformed_fact_title_instrument(spark, sf_dir):
+    t = _conformed(spark, sf_dir)
+    return G.fact_title_instrument(t.title_instrument_title, t.title_instrument, t.transaction_type)
+
+
+@register("conformed_v_title_appellation")
+def q_conformed_v_title_appellation(spark, sf_dir):
+    t = _conformed(spark, sf_dir)
+    return G.title_appellation(t.title_parcel_association, t.appellation)
+
+
+@register("conformed_v_title_legal")
+def q_conformed_v_title_legal(spark, sf_dir):
+    t = _conformed(spark, sf_dir)
+    return G.title_legal(t.legal_description, t.legal_description_parcel)
+
+
+@register("conformed_address_search_table")
+def q_conformed_address_search_table(spark, sf_dir):
+    return G.address_search_table(_dim_address(_conformed(spark, sf_dir)))
+
+
+@register("conformed_address_search_text")
+def q_conformed_address_search_text(spark, sf_dir):
+    t = _conformed(spark, sf_dir)
+    return G.address_search_text(t.address_point, t.address_component, t.address_reference)
+
+
+@register("conformed_title_search_table")
+def q_conformed_title_search_table(spark, sf_dir):
+    return G.title_search_table(G.title_360(_conformed(spark, sf_dir)))
+
+
+@register("conformed_title_search_wide")
+def q_conformed_title_search_wide(spark, sf_dir):
+    return _wide_json(G.title_search_wide(_conformed(spark, sf_dir)))
+
+
 @register("rpt_instrument_activity")
 def q_rpt_instrument_activity(spark, sf_dir):
     t = tables(spark, sf_dir)
@@ -1063,7 +1124,7 @@ def _scratch(spark, name: str) -> str:
 
 
 # 10-character field names of the instrument extract -> silver names.
-INSTRUMENT_RENAMES = {"lodged_dat": "lodged_date", "priority_n": "priority_no", "is_current": "is_current"}
+INSTRUMENT_RENAMES = {"lodged_dat": "lodged_date", "priority_n": "priority_no", "tin_id_par": "tin_id_parent"}
 
 
 @register("scan_fixed_width")

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from tenura.functions.codes import system_code_df
 from tenura.operators.filters import current_flag
+from tenura.plans.conform import SILVER_SPECS, conform
+from tenura.sources.landing import land
 
 _T = "T"
 
@@ -67,6 +69,12 @@ class RegistryTables:
             F.col("o_orderdate").cast("date").alias("issue_date"),
             F.when(F.col("o_orderkey") % 5 == 0, F.lit(None).cast("string"))
              .otherwise("GURT").alias("guarantee_status"),
+            F.when(F.col("o_orderkey") % 8 == 0, "Y").otherwise("N").alias("provisional"),
+            F.when(F.col("o_orderkey") % 7 == 0, F.lit("Y")).alias("maori_land"),
+            (F.col("o_custkey") % 50).alias("ste_id"),
+            F.when(F.col("o_orderkey") % 4 == 1, F.col("o_orderkey")).alias("sur_wrk_id"),
+            F.when(F.col("o_orderkey") % 10 == 3, _title_key(F.col("o_orderkey") + 1)).alias("ttl_title_no_srs"),
+            F.when(F.col("o_orderkey") % 10 == 3, _title_key(F.col("o_orderkey") - 3)).alias("ttl_title_no_head_srs"),
         )
         return df.withColumn("is_current", current_flag("status"))
 
@@ -88,6 +96,12 @@ class RegistryTables:
             F.when(F.col("t") == 0, "FSIM").when(F.col("t") == 1, "LEAS").otherwise("QQQQ").alias("type"),
             F.when(F.col("s") == 1, "REGD").otherwise("HIST").alias("status"),
             F.when(F.col("h") == 1, F.lit("1/2")).alias("share"),
+            F.col("l_orderkey").alias("lgd_id"),
+            F.when(F.col("l_partkey") % 10 == 0, (F.col("l_partkey") % 52 + 1).cast("string")).alias("timeshare_week_no"),
+            F.when(F.col("l_partkey") % 6 == 0, F.lit("Road reserve"))
+             .when(F.col("l_partkey") % 6 == 1, F.lit("Recreation")).alias("purpose"),
+            F.when(F.col("l_suppkey") % 5 == 0, F.lit("21 years")).alias("term"),
+            F.when(F.col("l_partkey") % 2 == 0, "Y").otherwise("N").alias("original_flag"),
         )
         return df.withColumn("is_current", current_flag("status"))
 
@@ -105,6 +119,9 @@ class RegistryTables:
             F.when(F.col("p_size") % 10 == 0, F.lit(None).cast("date"))
              .otherwise(F.col("first_ship").cast("date")).alias("lodged_date"),
             F.col("p_size").alias("priority_no"),
+            F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey") + 1).alias("tin_id_parent"),
+            (F.col("p_partkey") * 2).alias("dlg_id"),
+            (F.col("p_partkey") % 25).alias("ldt_loc_id"),
         )
         return df.withColumn("is_current", current_flag("status"))
 
@@ -146,6 +163,8 @@ class RegistryTables:
             F.col("l_suppkey").alias("enc_id"),
             F.when((F.col("l_orderkey") + F.col("l_suppkey")) % 3 == 0, "HIST")
              .otherwise("REGD").alias("status"),
+            (F.col("l_suppkey") * 7).alias("act_tin_id_crt"),
+            F.when(F.col("l_orderkey") % 4 == 0, F.col("l_orderkey")).alias("act_id_crt"),
         ).distinct()
         return df.withColumn("is_current", current_flag("status"))
 
@@ -191,12 +210,14 @@ class RegistryTables:
             F.when(k % 13 == 0, "HIST").otherwise("CURR").alias("status"),
             F.when(k > 0, _title_key(F.floor(k / 2).cast("bigint"))).alias("ttl_title_no_prior"),
             _title_key(k).alias("ttl_title_no_flw"),
+            (k * 3).alias("tdr_id"),
         )
         second = o.where((k > 0) & (k % 11 == 0)).select(         # a second edge of some titles
             (k * 2 + 1).alias("id"),
             F.lit("CURR").alias("status"),
             _title_key(F.floor(k / 3).cast("bigint")).alias("ttl_title_no_prior"),
             _title_key(k).alias("ttl_title_no_flw"),
+            F.lit(None).cast("bigint").alias("tdr_id"),
         )
         return first.unionByName(second).withColumn("is_current", current_flag("status"))
 
@@ -225,6 +246,16 @@ class RegistryTables:
             k.cast("string").alias("parcel_value"),
             F.concat(F.lit("DP "), (k % 97).cast("string")).alias("appellation_value"),
             F.when(k % 9 == 0, F.lit("II")).alias("block_number"),
+            F.when(k % 2 == 0, "GNRL").otherwise("OTHR").alias("type"),
+            F.when(k % 3 == 0, "N").otherwise("Y").alias("survey_flag"),
+            F.when(k % 4 == 0, "PART").otherwise("WHOL").alias("part_indicator"),
+            F.when(k % 10 == 0, F.lit("UNIT")).alias("second_parcel_type"),
+            F.when(k % 10 == 0, (k % 30).cast("string")).alias("second_prcl_value"),
+            F.when(k % 2 == 0, F.lit("DP")).alias("sub_type"),
+            F.when(k % 2 == 0, F.lit("PREFIX")).alias("sub_type_position"),
+            F.when(k % 25 == 0, F.lit("Te Ākau")).alias("maori_name"),
+            F.when(k % 50 == 0, "Y").otherwise("N").alias("height_limited"),
+            F.when(k % 2 == 1, F.concat(F.lit("Block "), k.cast("string"))).alias("other_appellation"),
         )
         return df
 
@@ -249,6 +280,9 @@ class RegistryTables:
             F.col("o_orderkey").alias("lgd_id"),
             F.col("o_custkey").alias("par_id"),
             F.lit(1).alias("sequence"),
+            F.when(F.col("o_orderkey") % 3 == 0, F.lit("PART")).alias("part_affected"),
+            F.when(F.col("o_orderkey") % 4 == 0, F.lit("1/2")).alias("share"),
+            F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderkey") + 1).alias("sur_wrk_id"),
         )
 
     # -- ownership ----------------------------------------------------------
@@ -260,6 +294,8 @@ class RegistryTables:
             _known(F.col("id"), F.col("id") % 3 != 0).alias("ett_id"),
             "status",
             F.lit("1/1").alias("share"),
+            F.when(F.col("id") % 7 == 0, F.lit("EXEC")).alias("executorship"),
+            F.when(F.col("id") % 11 == 0, F.lit("Memorial")).alias("share_memorial"),
         )
         return df.withColumn("is_current", current_flag("status"))
 
@@ -303,6 +339,22 @@ class RegistryTables:
             k.alias("parcel_id"),
             F.when(k % 8 == 0, "Retired").otherwise("Current").alias("status"),
             F.lit("Road").alias("address_class"),
+            F.when(k % 2 == 0, "Y").otherwise("N").alias("primary_address"),
+            F.when(k % 8 == 0, "Retired").otherwise("Current").alias("address_lifecycle_stage"),
+            F.when(k % 3 == 0, F.lit("CENT")).alias("address_position_type"),
+            F.when(k % 12 == 0, F.lit("ALT")).alias("alternative_address_type"),
+            (k * 4).alias("addressable_object_id"),
+        )
+
+    @cached_property
+    def address_reference(self) -> DataFrame:
+        # an order of a customer refers to the customer's address
+        o = self.raw("orders")
+        return o.select(
+            F.col("o_orderkey").alias("address_reference_id"),
+            F.col("o_custkey").alias("address_id"),
+            F.lit("Parcel").alias("reference_object_type"),
+            F.when(F.col("o_orderkey") % 6 != 0, F.concat(F.lit("Ref "), F.col("o_orderkey").cast("string"))).alias("reference_value"),
         )
 
     @cached_property
@@ -337,3 +389,34 @@ class RegistryTables:
     @cached_property
     def system_code(self) -> DataFrame:
         return system_code_df(self.spark)
+
+
+def to_extract(df: DataFrame, spec) -> DataFrame:
+    """``df`` as an extract delivers it: text under the source names of ``spec``, dates as yyyyMMdd
+    (none: zeros), no value of a blank-to-null column: blank.  Columns that ``df`` lacks are left out."""
+    out = {}
+    for target, source, kind in spec:
+        if kind == "flag" or target not in df.columns or source in out:
+            continue
+        c = F.col(target).cast("string")
+        if kind == "date":
+            c = F.coalesce(F.date_format(target, "yyyyMMdd"), F.lit("00000000"))
+        elif kind == "nstr":
+            c = F.coalesce(c, F.lit(""))
+        out[source] = c.alias(source)
+    return df.select(*out.values())
+
+
+class ConformedTables:
+    """The tables of ``t`` taken the whole way: as text extracts, landed, and conformed to silver by
+    their specs, so that gold is built from what an ingest writes."""
+
+    def __init__(self, t):
+        self._t = t
+
+    def __getattr__(self, name: str) -> DataFrame:
+        df = getattr(self._t, name)
+        if name in SILVER_SPECS:
+            df = conform(land(to_extract(df, SILVER_SPECS[name])), name)
+        setattr(self, name, df)
+        return df
