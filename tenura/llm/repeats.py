@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenura.llm import textops as T
-from tenura.llm.frames import cut_lineage, written
+from tenura.llm.frames import NO_ID, cut_lineage, written
 
 BLOCK_SCHEMA = "did long, uid long, a long, span long, ws int, n int"
 CONTEXT_SCHEMA = "a long, did long, uid long, ws int, n int, ctx binary"
@@ -215,6 +215,9 @@ def grouped_windows(rows: DataFrame, units: Units, judge: Callable) -> DataFrame
 
 
 def covered_units(docs: DataFrame, hits: DataFrame, digest: Callable, schema: str) -> DataFrame:
-    """docs (did, uid, doc_id, text) with the windows ``hits`` of each, passed to ``digest``."""
+    """docs (did, uid, text) with the windows ``hits`` of each and their doc_id, passed to ``digest``.
+
+    Nothing is added to docs before the join, so its exchange can be the one of ``contexts``."""
     per_doc = hits.groupBy("did", "uid").agg(F.collect_list(F.struct("ws", "n")).alias("hits"))
-    return docs.join(per_doc, ["did", "uid"], "left").mapInArrow(digest, schema)
+    return (docs.join(per_doc, ["did", "uid"], "left")
+            .withColumn("doc_id", F.nullif(F.col("did"), F.lit(NO_ID))).mapInArrow(digest, schema))

@@ -165,9 +165,8 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, text
     """Per document: doc_id, n_words, n_removed, kept_sha256 and (``texts``) the kept text."""
     rows, documents = keyed(docs)
     hits = repeated_windows(documents, R.Units(True, width, gram))
-    full = rows.withColumn("doc_id", F.nullif(F.col("did"), F.lit((1 << 63) - 1)))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "")
-    return R.covered_units(full, hits, _digest(width, texts), schema)
+    return R.covered_units(rows, hits, _digest(width, texts), schema)
 
 
 def substring_report(docs: DataFrame) -> DataFrame:

@@ -137,12 +137,13 @@ def repeated_windows(docs: DataFrame, units: R.Units = R.Units(False, WIDTH, GRA
     open_ = (classes.join(mixed.select("a"), "a")
              .selectExpr("a", "c_did as did", "c_uid as uid", "c_ws as ws", "n"))
     wide = mixed.filter(F.col("kinds") > R.GROUP_ROWS).select("a", F.lit(True).alias("wide"))
-    ctx = cut_lineage(R.contexts(docs, open_, units).join(wide, "a", "left"))
+    ctx = R.contexts(docs, open_, units)
+    if wide.isEmpty():
+        # not cut: this job and the caller's join then share one exchange of the texts
+        return settled.unionByName(R.grouped_windows(ctx, units, double))
+    ctx = cut_lineage(ctx.join(wide, "a", "left"))
     hits = R.grouped_windows(ctx.filter("wide is null").drop("wide"), units, double)
-    wide_ctx = ctx.filter("wide").drop("wide")
-    if not wide_ctx.isEmpty():
-        hits = hits.unionByName(doubled_in_spark(wide_ctx, units))
-    return settled.unionByName(hits)
+    return settled.unionByName(hits).unionByName(doubled_in_spark(ctx.filter("wide").drop("wide"), units))
 
 
 def _digest(width: int, texts: bool):
@@ -182,10 +183,9 @@ def dedup_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, texts: bo
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (``texts``) the kept bytes."""
     rows, documents = keyed(docs)
     hits = repeated_windows(documents, R.Units(False, width, gram))
-    full = rows.withColumn("doc_id", F.nullif(F.col("did"), F.lit((1 << 63) - 1)))
     schema = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
               + (", kept binary" if texts else ""))
-    return R.covered_units(full, hits, _digest(width, texts), schema)
+    return R.covered_units(rows, hits, _digest(width, texts), schema)
 
 
 def suffix_report(docs: DataFrame) -> DataFrame:
