@@ -57,3 +57,20 @@ def test_a_folder_without_data_and_a_name_that_stands_twice(spark, tmp_path):
     assert e.rows.count() == e.rejects.count() == 0
     with pytest.raises(ValueError, match="twice"):
         read_csv_extract(spark, write(tmp_path / "y", a="id,x ,X\n1,2,3\n"))
+
+
+def test_files_of_the_extract_query_follow_the_data(spark):
+    """A file with quoted line breaks is one task, so a fixed number of files grows without bound."""
+    from tenura.plans.queries import _estate_extract
+    from tenura.sources.adapters import RegistryTables
+    names = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    old = {n: spark.conf.get(n, None) for n in names}
+    for n in names:
+        spark.conf.set(n, "1k")
+    try:
+        path = _estate_extract(spark, RegistryTables(spark, "/root/testdata/sf0.001"))
+        files = spark.read.format("binaryFile").load(f"{path}/*").select("path").collect()
+        assert len(files) > 8
+    finally:
+        for n, v in old.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
