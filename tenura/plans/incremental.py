@@ -44,8 +44,8 @@ def refresh_changed(spark: SparkSession, path: str, key: str, buckets: int, chan
 
     ``build(keys)`` returns the table's rows of these keys (none for a deleted one).  The rows
     of other keys in the same buckets are kept; other buckets are not read.  New partitions are
-    written to the shared folder first, so a failed rebuild changes nothing.  Returns the
-    buckets rewritten.
+    written beside the table first, under a name that readers skip, so a failed rebuild changes
+    nothing, and moved in.  Returns the buckets rewritten.
     """
     folder = f"{checkpoint_dir(spark).rstrip('/')}/refresh-{uuid.uuid4().hex}"
     changed.select(F.col(key), _bucket(key, buckets)).distinct().write.parquet(f"{folder}/keys")
@@ -56,14 +56,17 @@ def refresh_changed(spark: SparkSession, path: str, key: str, buckets: int, chan
     now = spark.read.parquet(path).where(F.col(BUCKET).isin(touched))
     kept = now.join(keys.select(F.col(key).alias("__k")), F.col(key).eqNullSafe(F.col("__k")), "left_anti")
     fresh = build(keys.select(key)).select("*", _bucket(key, buckets))
-    kept.unionByName(fresh).write.parquet(f"{folder}/rows")
-    rows = spark.read.schema(kept.unionByName(fresh).schema).parquet(f"{folder}/rows")
-    _write(rows, path, key)
-    # a bucket without rows is not overwritten: its old files go
-    left = {r[0] for r in rows.select(BUCKET).distinct().collect()}
+    staged = f"{path.rstrip('/')}/_rewrite-{uuid.uuid4().hex}"
+    _write(kept.unionByName(fresh), staged, key)
+    fs, _ = _fs(spark, staged)
     for b in touched:
-        if b not in left:
-            _delete(spark, f"{path.rstrip('/')}/{BUCKET}={b}")
+        name = f"{BUCKET}={b}"
+        new, old = _fs(spark, f"{staged}/{name}")[1], _fs(spark, f"{path.rstrip('/')}/{name}")[1]
+        fs.delete(old, True)                        # of a bucket without rows no files are left
+        if fs.exists(new) and not fs.rename(new, old):
+            raise OSError(f"{new} could not be moved to {old}")
+    _delete(spark, staged)
+    _delete(spark, folder)
     return touched
 
 
@@ -77,6 +80,24 @@ VIA = {"title_instrument": ("id", "title_instrument_title", "tin_id"),
        "address_point": ("parcel_id", "title_parcel_association", "par_id"),
        "land_district": ("ldt_loc_id", "title", "ldt_loc_id")}
 
+# The columns that the search table (G18) is made of; a change of any other leaves its rows alone.
+SEARCH_COLUMNS = {
+    "title": ("title_no", "ldt_loc_id", "status", "type", "register_type", "issue_date", "guarantee_status", "maori_land",
+              "is_current"),
+    "land_district": ("ldt_loc_id", "name"),
+    "title_estate": ("id", "ttl_title_no", "type", "is_current"),
+    "estate_share": ("id", "ett_id"),
+    "proprietor": ("id", "ets_id", "status", "type", "prime_surname", "prime_other_names"),
+    "title_instrument_title": ("ttl_title_no", "tin_id"),
+    "title_instrument": ("id", "inst_no", "trt_grp", "trt_type", "status", "lodged_date"),
+    "title_encumbrance": ("ttl_title_no", "is_current"),
+    "title_parcel_association": ("ttl_title_no", "par_id"),
+    "title_hierarchy": ("id", "status", "ttl_title_no_prior", "ttl_title_no_flw"),
+    "address_point": ("address_id", "parcel_id", "status"),
+    "address_component": ("address_id", "component_type", "component_value", "end_lifecycle"),
+    "appellation": ("par_id", "title_flag", "status", "appellation_value"),
+}
+
 
 def changed_keys(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """(k): values of ``key`` whose rows are not the same bag before and after."""
@@ -88,18 +109,23 @@ def changed_keys(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 
 def changed_titles(before, after) -> DataFrame:
     """(title_no): titles whose row in the search table may differ between two states of the
-    silver tables.  A changed code list or transaction type asks for a full refresh."""
-    found = [changed_keys(getattr(before, n), getattr(after, n), k) for n, k in TITLE_KEYS.items()]
+    silver tables.  Only the columns the table is made of are compared, and shuffled.  A changed
+    code list or transaction type asks for a full refresh."""
+    def changed(table: str, key: str) -> DataFrame:
+        old, new = getattr(before, table), getattr(after, table)
+        cols = [c for c in SEARCH_COLUMNS[table] if c in new.columns]
+        return changed_keys(old.select(*cols), new.select(*cols), key)
+    found = [changed(n, k) for n, k in TITLE_KEYS.items()]
 
     def titles_of(keys: DataFrame, table: str, column: str) -> list[DataFrame]:
         # of both states: a link that went away still names a title to rebuild
         return [getattr(t, table).join(keys, F.col(column) == F.col("k"), "left_semi")
                 .select(F.col(TITLE_KEYS[table]).alias("k")) for t in (before, after)]
     for name, (column, table, other) in VIA.items():
-        found += titles_of(changed_keys(getattr(before, name), getattr(after, name), column), table, other)
+        found += titles_of(changed(name, column), table, other)
     # owners hang on a share, components on an address point
-    owners = changed_keys(before.proprietor, after.proprietor, "ets_id")
-    points = changed_keys(before.address_component, after.address_component, "address_id")
+    owners = changed("proprietor", "ets_id")
+    points = changed("address_component", "address_id")
     for t in (before, after):
         shares = t.estate_share.join(owners, F.col("id") == F.col("k"), "left_semi").select(F.col("ett_id").alias("k"))
         parcels = t.address_point.join(points, F.col("address_id") == F.col("k"), "left_semi").select(

@@ -127,6 +127,28 @@ def test_changed_titles_cover_every_row_that_differs(spark, table):
     assert part == {k: v for k, v in full["after"].items() if k in found}
 
 
+def test_columns_outside_the_search_table_change_no_title(spark):
+    """What is not compared cannot matter: the table is the same with those columns blanked."""
+    t = RegistryTables(spark, SF)
+    blank = {n: getattr(t, n).select(*[F.col(f.name) if f.name in cols else F.lit(None).cast(f.dataType).alias(f.name)
+                                       for f in getattr(t, n).schema.fields]) for n, cols in IN.SEARCH_COLUMNS.items()}
+    assert bag(G.title_search_table(G.title_360(Changed(t, **blank)))) == bag(G.title_search_table(G.title_360(t)))
+    other = t.title_estate.withColumn("purpose", F.lit("other"))
+    assert IN.changed_titles(t, Changed(t, title_estate=other)).isEmpty()
+
+
+def test_refresh_leaves_no_second_copy(spark, tmp_path):
+    from tenura.session import checkpoint_dir
+    path, shared = str(tmp_path / "t"), checkpoint_dir(spark).replace("file:", "")
+    before = spark.range(400).selectExpr("concat('T', id) as k", "id as v")
+    IN.materialise(before, path, "k", 4)
+    after = before.withColumn("v", F.when(F.col("v") == 9, -9).otherwise(F.col("v")))
+    old = set(glob.glob(f"{shared}/refresh-*"))
+    IN.refresh_changed(spark, path, "k", 4, IN.changed_keys(before, after, "k"), lambda ks: after.join(ks, "k", "left_semi"))
+    assert bag(IN.read_materialised(spark, path)) == bag(after)
+    assert set(glob.glob(f"{shared}/refresh-*")) == old and not glob.glob(f"{path}/_rewrite*")
+
+
 # -- P8 / P9 ----------------------------------------------------------------
 def test_reflag_rewrites_only_files_with_a_changed_flag(spark, tmp_path):
     path = str(tmp_path / "t")
