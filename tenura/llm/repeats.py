@@ -112,9 +112,10 @@ def shared_blocks(docs: DataFrame, units: Units) -> DataFrame:
 
 
 def block_classes(shared: DataFrame) -> DataFrame:
-    """(a, span, c_did, c_uid, c_ws, n): the earliest occurrence of each kind of block."""
-    return written(shared.groupBy("a", "span").agg(F.min(F.struct("did", "uid", "ws", "n")).alias("c"))
-                       .select("a", "span", F.col("c.n").alias("n"), F.col("c.did").alias("c_did"), F.col("c.uid").alias("c_uid"),
+    """(a, span, n, k, c_did, c_uid, c_ws): the earliest occurrence of each kind of block, of k in all."""
+    return written(shared.groupBy("a", "span").agg(F.min(F.struct("did", "uid", "ws", "n")).alias("c"),
+                                                       F.count(F.lit(1)).alias("k"))
+                       .select("a", "span", F.col("c.n").alias("n"), "k", F.col("c.did").alias("c_did"), F.col("c.uid").alias("c_uid"),
                                F.col("c.ws").alias("c_ws")))
 
 

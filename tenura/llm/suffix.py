@@ -12,9 +12,9 @@ ones; round 1 reranks the rest by the pair (gram rank, block rank), which settle
 block that equals an earlier one.  Only where blocks of one anchor differ are single
 byte positions ranked, by doubling from 25 over 50 to 100 bytes.
 
-Anchors with more than GROUP_ROWS different blocks are doubled through Spark joins on
-(block, position + h); the others are sorted by Spark into one task per anchor range and
-doubled there.  Counts and earliest occurrences aggregate before the shuffle; no group
+Anchors with more than GROUP_ROWS different blocks are doubled block by block, to hashes,
+and Spark sorts their windows by (anchor, rank); the others are sorted by Spark into one
+task per anchor range and doubled there.  Counts and earliest occurrences aggregate before the shuffle; no group
 is collected.
 
 Defined results: a null text has no bytes; matches never cross documents; earlier means
@@ -30,12 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenura.llm import repeats as R
 from tenura.llm import textops as T
-from tenura.llm.frames import cut_lineage, keyed
+from tenura.llm.frames import keyed
 
 WIDTH = 100
 GRAM = 16
@@ -84,46 +84,41 @@ def double(units, a, did, uid, ws, n, ctx, powers):
     return row[hit], win[hit]
 
 
-def _short_ranks(units, step: int):
-    """Position rows (a, blk, p, r, keep, did, uid, at) with the hash of ``step`` bytes as rank."""
+def _window_ranks(units):
+    """Window rows (a, did, uid, at, r): the rank of a window is the pair of the ranks of its halves,
+    from ``width >> DOUBLINGS`` bytes on, hashed; both halves lie in the block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = T.Spans()
+        powers, step = T.Spans(), units.width >> DOUBLINGS
         for batch in batches:
             if not batch.num_rows:
                 continue
             a, did, uid, ws, n = (batch.column(c).to_numpy() for c in ("a", "did", "uid", "ws", "n"))
             _, _, _, h = R.windows_in(units, batch.column("ctx"), n, powers)
             s = powers.sums(h)
-            lengths = n.astype(np.int64) + units.width - 1
-            count = lengths - step + 1
-            pos = T.expand(np.cumsum(lengths) - lengths, count)
-            own = np.repeat(np.arange(len(n)), count)
-            p = T.expand(np.zeros(len(n), dtype=np.int64), count)
+            count = n.astype(np.int64) + units.width - step
+            pos = T.expand(np.cumsum(count + step - 1) - (count + step - 1), count)
+            rank = powers.hashes(s, pos, pos + step)
+            length = step
+            while length < units.width:
+                more = count - length
+                left = T.expand(np.cumsum(count) - count, more)
+                rank = T.mix(rank[left] * np.uint64(0x9E3779B97F4A7C15) + rank[left + length])
+                count = more
+                length *= 2
+            own = np.repeat(np.arange(len(n)), n)
+            at = T.expand(ws.astype(np.int64), n.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a[own]), pa.array(did[own]), pa.array(uid[own]), pa.array(ws[own]),
-                 pa.array(p.astype(np.int32)), pa.array(n[own]),
-                 pa.array(powers.hashes(s, pos, pos + step).view(np.int64))],
-                names=["a", "did", "uid", "ws", "p", "n", "r"])
+                [pa.array(a[own]), pa.array(did[own]), pa.array(uid[own]), pa.array(at.astype(np.int32)),
+                 pa.array(rank.view(np.int64))], names=["a", "did", "uid", "at", "r"])
     return run
 
 
 def doubled_in_spark(ctx: DataFrame, units: R.Units) -> DataFrame:
-    """The same ranks as ``double`` through Spark joins, for anchors with very many blocks."""
-    step = units.width >> DOUBLINGS
-    rows = ctx.mapInArrow(_short_ranks(units, step), "a long, did long, uid long, ws int, p int, n int, r long")
-    block = ["a", "did", "uid", "ws"]
-    length = step
-    while True:
-        again = rows.groupBy("a", "r").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("did", "uid", F.expr(
-            "ws + p").alias("at"))).alias("first")).filter("k > 1")
-        rows = rows.join(again.select("a", "r", "first"), ["a", "r"])     # unique ranks leave
-        if length >= units.width:
-            return (rows.filter("p < n and struct(did, uid, ws + p) > first")
-                    .select("did", "uid", F.expr("ws + p").cast("int").alias("ws"), F.lit(1).alias("n")))
-        rows = cut_lineage(rows.drop("first"))
-        right = rows.select(*block, (F.col("p") - length).alias("p"), F.col("r").alias("r2"))
-        rows = (rows.join(right, [*block, "p"]).withColumn("r", F.xxhash64("r", "r2")).drop("r2"))
-        length *= 2
+    """The same ranks as ``double`` for anchors with very many blocks: Spark sorts the windows by rank."""
+    rows = ctx.mapInArrow(_window_ranks(units), "a long, did long, uid long, at int, r long")
+    nth = F.row_number().over(Window.partitionBy("a", "r").orderBy("did", "uid", "at"))
+    return (rows.withColumn("nth", nth).filter("nth > 1")
+            .select("did", "uid", F.col("at").alias("ws"), F.lit(1).alias("n")))
 
 
 def repeated_windows(docs: DataFrame, units: R.Units = R.Units(False, WIDTH, GRAM)) -> DataFrame:
@@ -132,18 +127,22 @@ def repeated_windows(docs: DataFrame, units: R.Units = R.Units(False, WIDTH, GRA
     classes = R.block_classes(shared)
     mixed = R.classes_per_anchor(classes)
     first = "did = c_did and uid = c_uid and ws = c_ws"
-    settled = shared.join(classes.drop("n"), ["a", "span"]).filter(f"not ({first})").select("did", "uid", "ws", "n")
-    # the earliest block of each kind speaks for its kind
-    open_ = (classes.join(mixed.select("a"), "a")
-             .selectExpr("a", "c_did as did", "c_uid as uid", "c_ws as ws", "n"))
-    wide = mixed.filter(F.col("kinds") > R.GROUP_ROWS).select("a", F.lit(True).alias("wide"))
-    ctx = R.contexts(docs, open_, units)
-    if wide.isEmpty():
-        # not cut: this job and the caller's join then share one exchange of the texts
-        return settled.unionByName(R.grouped_windows(ctx, units, double))
-    ctx = cut_lineage(ctx.join(wide, "a", "left"))
-    hits = R.grouped_windows(ctx.filter("wide is null").drop("wide"), units, double)
-    return settled.unionByName(hits).unionByName(doubled_in_spark(ctx.filter("wide").drop("wide"), units))
+    # a block that is alone in its class is its first
+    settled = (shared.join(classes.filter("k > 1").drop("n", "k"), ["a", "span"]).filter(f"not ({first})")
+               .select("did", "uid", "ws", "n"))
+
+    def contexts(kinds: str) -> DataFrame:
+        # the earliest block of each kind speaks for its kind; not cut: all contexts and the caller's
+        # join share one exchange of the texts
+        open_ = (classes.join(mixed.filter(kinds).select("a"), "a")
+                 .selectExpr("a", "c_did as did", "c_uid as uid", "c_ws as ws", "n"))
+        return R.contexts(docs, open_, units)
+
+    wide = f"kinds > {R.GROUP_ROWS}"
+    hits = settled.unionByName(R.grouped_windows(contexts(f"not {wide}"), units, double))
+    if mixed.filter(wide).isEmpty():
+        return hits
+    return hits.unionByName(doubled_in_spark(contexts(wide), units))
 
 
 def _digest(width: int, texts: bool):
