@@ -105,20 +105,24 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 class Table:
-    """Log frequency per language of the entries of one kind, add-half smoothed; only seen pairs are stored."""
+    """Log frequency per language of the entries of one kind, add-half smoothed; only seen pairs are stored.
+
+    The entries stay an Arrow array until the first is asked for, so the driver, which only ships the
+    table, never holds them as Python strings."""
 
     def __init__(self, items: pa.ChunkedArray, lang: np.ndarray, n: np.ndarray, n_langs: int) -> None:
         coded = items.combine_chunks().dictionary_encode()
         code = coded.indices.to_numpy()
         order = np.argsort(code, kind="stable")
-        self.at = {item: i for i, item in enumerate(coded.dictionary.to_pylist())}
-        self.begin = np.concatenate(([0], np.cumsum(np.bincount(code, minlength=len(self.at)))))
-        size = np.bincount(lang, weights=n, minlength=n_langs) + 0.5 * len(self.at)
+        self.items, self.at = coded.dictionary, None
+        kinds = len(self.items)
+        self.begin = np.concatenate(([0], np.cumsum(np.bincount(code, minlength=kinds))))
+        size = np.bincount(lang, weights=n, minlength=n_langs) + 0.5 * kinds
         self.lang = lang[order]
         logs = np.log((n[order] + 0.5) / size[self.lang])
-        self.unseen = np.log(0.5 / size) if len(self.at) else size
+        self.unseen = np.log(0.5 / size) if kinds else size
         # vectors are relative to the languages' mean
-        more = np.bincount(code[order], weights=logs - self.unseen[self.lang], minlength=len(self.at))
+        more = np.bincount(code[order], weights=logs - self.unseen[self.lang], minlength=kinds)
         self.mean = (self.unseen.sum() + more) / max(1, n_langs)
         self.logs = logs - self.mean[code[order]]
         self.made: dict[str, np.ndarray] = {}
@@ -126,6 +130,8 @@ class Table:
     def get(self, item: str) -> np.ndarray | None:
         v = self.made.get(item)
         if v is None:
+            if self.at is None:
+                self.at, self.items = {x: i for i, x in enumerate(self.items.to_pylist())}, None
             i = self.at.get(item)
             if i is None:
                 return None

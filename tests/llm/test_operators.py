@@ -268,6 +268,16 @@ def test_every_labelled_language_and_sampled_word_is_known(spark):
     assert model.predict("vuzzy zuxy")[0] == "zz" and model.predict(rows[3][1])[0] == "aa"
 
 
+def test_language_model_is_shipped_without_python_strings(spark):
+    import pickle
+    rows = [row(k, t, lang) for k, (t, lang) in enumerate([("the house and the dog", "en"), ("la maison et le chien", "fr")] * 30)]
+    model = langid.fit(spark.createDataFrame(rows, SCHEMA))
+    assert all(t.at is None for t in (model.words, *model.grams.values()))
+    sent = pickle.loads(pickle.dumps(model))
+    for text, lang in (("the dog", "en"), ("le chien", "fr"), ("houses", "en")):
+        assert sent.predict(text) == model.predict(text) and sent.predict(text)[0] == lang
+
+
 def test_language_backs_off():
     import numpy as np
     m = langid.Model(["a", "b"], {"known": np.array([1.0, -1.0])},
