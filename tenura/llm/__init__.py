@@ -2,5 +2,5 @@
 
 Each module is one operator with its own general interface; ``queries`` holds the
 thin ``opN_`` queries of the driver contract.  Nothing else in the library imports
-this package.
+this package, but for ``components`` (the lineage cycles).
 """
