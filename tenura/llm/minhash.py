@@ -106,6 +106,7 @@ def _band_keys(sig: np.ndarray) -> np.ndarray:
 
 def _sketch(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.give_back()
         powers = T.Spans()
         for batch in batches:
             if not batch.num_rows:

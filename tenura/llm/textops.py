@@ -8,6 +8,7 @@ bounded by the chunk size, or by the longest single document where that is large
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,6 +166,16 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         at = end
 
 
+def give_back() -> None:
+    """Memory that earlier tasks of this worker freed goes back to the system: a worker is kept for
+    later stages, and what a released model leaves in pieces would count beside their own."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):                  # not glibc
+        pass
+
+
 def word_spans(buf: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of the words of a chunk, and the first word of each row (rows + 1)."""
     if not len(buf):
