@@ -22,13 +22,18 @@ def clean_value(c: Column) -> Column:
     """C15 (strictest): strip; blank, all-'*' and all-NUL filler -> NULL.
 
     Plain trims instead of regular expressions: this runs on every landed value.
-    A value is filler when trimming its filler character leaves nothing.
+    A value is filler when trimming its filler character leaves nothing; only a value
+    that begins with the character is trimmed.
     """
     s = strip(c.cast("string"))
-    filler = (s == "") | (F.btrim(s, F.lit("*")) == "") | (F.btrim(s, F.lit("\x00")) == "")
+    filler = (s == "") | _all_of(s, "*") | _all_of(s, "\x00")
     return F.when(filler, F.lit(None).cast("string")).otherwise(s)
 
 
+def _all_of(s: Column, char: str) -> Column:
+    return s.startswith(char) & (F.btrim(s, F.lit(char)) == "")
+
+
 def land(df: DataFrame) -> DataFrame:
     """Bronze landing — lower-case names, every value a cleaned STRING."""
     return df.select(*[clean_value(F.col(c)).alias(c.lower()) for c in df.columns])
