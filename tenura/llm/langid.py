@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from tenura.llm import textops as T
 from tenura.llm.frames import cut_lineage, text_uid
 
 SAMPLE = 4000
@@ -222,12 +223,19 @@ def identify(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
         packed.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
+def _learn_and_identify(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The model is the driver's only until it is broadcast; what it took goes back to the system."""
+    out = identify(docs, fit(docs), columns)
+    T.give_back()
+    return out
+
+
 def language_report(docs: DataFrame) -> DataFrame:
-    out = identify(docs, fit(docs), ["doc_id"])
+    out = _learn_and_identify(docs, ["doc_id"])
     return out.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
 
 
 def known_language(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """docs without those of no recognisable language (``und`` or a score below ``min_score``)."""
-    out = identify(docs, fit(docs), docs.columns)
+    out = _learn_and_identify(docs, docs.columns)
     return out.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("row.*")

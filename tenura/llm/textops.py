@@ -168,7 +168,8 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
 
 def give_back() -> None:
     """Memory that earlier tasks of this worker freed goes back to the system: a worker is kept for
-    later stages, and what a released model leaves in pieces would count beside their own."""
+    later stages, and what a released model leaves in pieces would count beside their own.  The same
+    holds for the driver, when a model that it collected has been broadcast."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
