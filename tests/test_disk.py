@@ -78,3 +78,13 @@ def test_estates_already_dealt_by_title_are_not_dealt_again(spark):
     te = RegistryTables(spark, SF).title_estate
     plan = te.repartition("ttl_title_no").groupBy("ttl_title_no").agg(F.max("id"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+# -- rows, not lists of one ---------------------------------------------------
+def test_owners_are_shuffled_as_rows(spark):
+    assert not [b for _, b in exchanged(G.title_360(RegistryTables(spark, SF))) if "partial_collect_list" in b]
+
+
+def test_labels_of_360_are_not_shuffled(spark):
+    found = exchanged(G.title_360(RegistryTables(spark, SF)))
+    assert not [b for _, b in found if re.search("title_status_desc|guarantee_status_desc", b)]
