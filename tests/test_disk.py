@@ -88,3 +88,9 @@ def test_owners_are_shuffled_as_rows(spark):
 def test_labels_of_360_are_not_shuffled(spark):
     found = exchanged(G.title_360(RegistryTables(spark, SF)))
     assert not [b for _, b in found if re.search("title_status_desc|guarantee_status_desc", b)]
+
+
+@pytest.mark.parametrize("tables", [RegistryTables, lambda s, d: ConformedTables(RegistryTables(s, d))])
+def test_wide_tables_shuffle_rows(spark, tables):
+    found = exchanged(G.title_search_wide(tables(spark, SF)))
+    assert found and not [b for _, b in found if "partial_collect_list(struct" in b]
