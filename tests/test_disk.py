@@ -94,3 +94,12 @@ def test_labels_of_360_are_not_shuffled(spark):
 def test_wide_tables_shuffle_rows(spark, tables):
     found = exchanged(G.title_search_wide(tables(spark, SF)))
     assert found and not [b for _, b in found if "partial_collect_list(struct" in b]
+
+
+def test_enriched_reads_its_children_once(spark):
+    t = RegistryTables(spark, SF)
+    e = G.title_search_enriched(spark.createDataFrame([("T1", "x")], "title_no string, search_text string"), t)
+    assert not [b for _, b in exchanged(e) if "collect_set" in b and "par_id" not in b]
+    plan = final_plan(e)
+    # legal descriptions and appellations feed a text and a preview each
+    assert len([x for x in plan.split("\n") if "FileScan parquet [c_custkey" in x]) == 1
