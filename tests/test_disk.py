@@ -103,3 +103,26 @@ def test_enriched_reads_its_children_once(spark):
     plan = final_plan(e)
     # legal descriptions and appellations feed a text and a preview each
     assert len([x for x in plan.split("\n") if "FileScan parquet [c_custkey" in x]) == 1
+
+
+# -- wide rows once -----------------------------------------------------------
+def test_estates_meet_their_shares_and_proprietors_in_one_shuffle(spark):
+    te = spark.createDataFrame([(1, "T1"), (2, "T1"), (3, "T2"), (None, "T3")], "id long, ttl_title_no string") \
+        .withColumns({c: F.lit("x") for c in ("type", "status", "share")}).withColumn("is_current", F.lit(True))
+    es = spark.createDataFrame([(10, 1), (11, 1), (20, 2), (None, 2), (30, None)], "id long, ett_id long") \
+        .withColumns({"share": F.lit("1/1"), "is_current": F.lit(True)})
+    p = spark.createDataFrame([(100, 10), (101, 10), (102, None), (103, 30), (104, 99)], "id long, ets_id long") \
+        .withColumns({c: F.lit("y") for c in ("type", "prime_surname", "prime_other_names", "name_suffix", "status")})
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = G.fact_title_estate(te, es, p)
+        keys = [re.search(r"hashpartitioning\((\w+)#", a).group(1) for a, _ in exchanged(out)]
+        got = sorted((tuple(r) for r in out.select("title_no", "title_estate_id", "estate_share_id", "proprietor_id").collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == sorted([("T1", 1, 10, 100), ("T1", 1, 10, 101), ("T1", 1, 11, None), ("T1", 2, 20, None), ("T1", 2, None, None),
+                          ("T2", 3, None, None), ("T3", None, None, None)], key=str)
+    assert sorted(keys) == sorted(["id", "__ett", "estate_share_id", "__ets"])
+    below = [b for a, b in exchanged(out) if "hashpartitioning(estate_share_id" in a]
+    assert below and not [b for b in below if "SortMergeJoin" in b or "ttl_title_no" in b]
