@@ -10,11 +10,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenura.operators.filters import CURRENT_CODES, current_flag
-from tenura.session import checkpoint_dir
+from tenura.session import checkpoint_dir, release
 
 BUCKET = "bucket"
 
@@ -23,15 +23,22 @@ def _bucket(key: str, buckets: int):
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias(BUCKET)
 
 
-def _write(df: DataFrame, path: str, key: str) -> None:
+def _write(df: DataFrame, path: str, key: str, derive: Callable[[DataFrame], DataFrame] | None) -> None:
     """One file per bucket; only the buckets of ``df`` are replaced."""
-    (df.repartition(BUCKET).sortWithinPartitions(BUCKET, key).write.mode("overwrite")
+    out = df.repartition(BUCKET)
+    out = out if derive is None else derive(out)
+    (out.sortWithinPartitions(BUCKET, key).write.mode("overwrite")
        .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path))
 
 
-def materialise(df: DataFrame, path: str, key: str, buckets: int) -> None:
-    """K3, first load: ``df`` in ``buckets`` partitions by a hash of ``key`` (about a file's worth each)."""
-    _write(df.select("*", _bucket(key, buckets)), path, key)
+def materialise(df: DataFrame, path: str, key: str, buckets: int,
+                derive: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """K3, first load: ``df`` in ``buckets`` partitions by a hash of ``key`` (about a file's worth each).
+
+    ``derive`` adds columns that follow from the row alone; it runs where the rows are written, so
+    the columns are not shuffled."""
+    _write(df.select("*", _bucket(key, buckets)), path, key, derive)
+    release(df.sparkSession)
 
 
 def read_materialised(spark: SparkSession, path: str) -> DataFrame:
@@ -39,25 +46,36 @@ def read_materialised(spark: SparkSession, path: str) -> DataFrame:
 
 
 def refresh_changed(spark: SparkSession, path: str, key: str, buckets: int, changed: DataFrame,
-                    build: Callable[[DataFrame], DataFrame]) -> list[int]:
+                    build: Callable[[DataFrame], DataFrame],
+                    derive: Callable[[DataFrame], DataFrame] | None = None) -> list[int]:
     """K3: make the table at ``path`` equal to a full rebuild, given the keys that may differ.
 
-    ``build(keys)`` returns the table's rows of these keys (none for a deleted one).  The rows
-    of other keys in the same buckets are kept; other buckets are not read.  New partitions are
-    written beside the table first, under a name that readers skip, so a failed rebuild changes
-    nothing, and moved in.  Returns the buckets rewritten.
+    ``build(keys)`` returns the table's rows of these keys (none for a deleted one), without the
+    columns of ``derive``.  The rows of other keys in the same buckets are kept; other buckets are not
+    read.  Stored rows, changed keys and new rows meet in the one shuffle by bucket that the write needs.
+    New partitions are written beside the table first, under a name that readers skip, so a failed
+    rebuild changes nothing, and moved in.  Returns the buckets rewritten.
     """
     folder = f"{checkpoint_dir(spark).rstrip('/')}/refresh-{uuid.uuid4().hex}"
     changed.select(F.col(key), _bucket(key, buckets)).distinct().write.parquet(f"{folder}/keys")
+    release(spark)
     keys = spark.read.parquet(f"{folder}/keys")
     touched = sorted(r[0] for r in keys.select(BUCKET).distinct().collect())     # at most ``buckets``
     if not touched:
         return []
-    now = spark.read.parquet(path).where(F.col(BUCKET).isin(touched))
-    kept = now.join(keys.select(F.col(key).alias("__k")), F.col(key).eqNullSafe(F.col("__k")), "left_anti")
     fresh = build(keys.select(key)).select("*", _bucket(key, buckets))
+    now = spark.read.parquet(path).where(F.col(BUCKET).isin(touched)).select(*fresh.columns)
+    rows = (now.select("*", F.lit("stored").alias("__row")).unionByName(fresh.select("*", F.lit("new").alias("__row")))
+            .unionByName(keys.select("*", F.lit("key").alias("__row")), allowMissingColumns=True))
+
+    def current(df: DataFrame) -> DataFrame:
+        # one group per key, null among them
+        rebuilt = F.bool_or(F.col("__row") == "key").over(Window.partitionBy(BUCKET, key))
+        out = (df.withColumn("__rebuilt", rebuilt)
+               .where((F.col("__row") == "new") | ((F.col("__row") == "stored") & ~F.col("__rebuilt"))).drop("__row", "__rebuilt"))
+        return out if derive is None else derive(out)
     staged = f"{path.rstrip('/')}/_rewrite-{uuid.uuid4().hex}"
-    _write(kept.unionByName(fresh), staged, key)
+    _write(rows, staged, key, current)
     fs, _ = _fs(spark, staged)
     for b in touched:
         name = f"{BUCKET}={b}"
@@ -67,6 +85,7 @@ def refresh_changed(spark: SparkSession, path: str, key: str, buckets: int, chan
             raise OSError(f"{new} could not be moved to {old}")
     _delete(spark, staged)
     _delete(spark, folder)
+    release(spark)
     return touched
 
 

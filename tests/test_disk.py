@@ -126,3 +126,23 @@ def test_estates_meet_their_shares_and_proprietors_in_one_shuffle(spark):
     assert sorted(keys) == sorted(["id", "__ett", "estate_share_id", "__ets"])
     below = [b for a, b in exchanged(out) if "hashpartitioning(estate_share_id" in a]
     assert below and not [b for b in below if "SortMergeJoin" in b or "ttl_title_no" in b]
+
+
+def test_refresh_shuffles_stored_rows_once_and_no_derived_columns(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    before = spark.range(300).selectExpr("concat('T', id) as k", "id as v").unionByName(
+        spark.createDataFrame([(None, 1), (None, 2)], "k string, v long"))
+    after = (before.where("v not in (5, 6)").withColumn("v", F.when(F.col("k").isNull(), F.col("v") + 1).otherwise(F.col("v")))
+             .unionByName(spark.createDataFrame([("T900", 900)], "k string, v long")))
+
+    def derive(df):
+        return df.withColumn("d", F.concat_ws("-", "k", F.col("v").cast("string")))
+    written, real = [], IN._write
+    monkeypatch.setattr(IN, "_write", lambda df, *a: written.append(df) or real(df, *a))
+    IN.materialise(before, path, "k", 8, derive)
+    assert bag(IN.read_materialised(spark, path)) == bag(derive(before))
+    IN.refresh_changed(spark, path, "k", 8, IN.changed_keys(before, after, "k"),
+                       lambda ks: after.join(ks.withColumnRenamed("k", "c"), F.col("k").eqNullSafe(F.col("c")), "left_semi"), derive)
+    assert bag(IN.read_materialised(spark, path)) == bag(derive(after))
+    assert len(written) == 2 and not [df for df in written if "d" in df.columns]
+    assert "LeftAnti" not in written[1]._jdf.queryExecution().optimizedPlan().toString()
